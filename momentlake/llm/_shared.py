@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 <
     """Cuts batches so that each holds about `limit` bytes of text, but one whole row at least."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for k, size in enumerate(sizes.tolist()):
             if total and total + size > limit:

@@ -58,9 +58,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word [^\\x20\\x09-\\x0D]+."""
-    inside = ~_SEP[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word [^\\x20\\x09-\\x0D]+, or of each run of bytes that are inside; none crosses rows."""
+    inside = ~_SEP[data] if inside is None else inside
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
