@@ -199,4 +199,5 @@ def read_warc(spark: SparkSession, path: str, split_bytes: int = 32 << 20, with_
         return files.select("path", "content").mapInArrow(whole, _SCHEMA)
     scheme = F.regexp_replace("path", "^s3a:", "s3:")
     splits = files.filter("length > 0").select(scheme.alias("path"), "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"))
-    return splits.repartition(F.col("path"), F.col("start")).mapInArrow(by_range, _SCHEMA)
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    return splits.repartition(tasks).mapInArrow(by_range, _SCHEMA)
