@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import chat, line_dedup, near_dedup, packing, toxicity, warc
+from momentlake.llm import chat, decontaminate, line_dedup, near_dedup, packing, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -54,6 +54,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    leaks = decontaminate.find_leaks(docs, benchmark)
+    return leaks.select(
+        "doc_id",
+        F.size("leaks").cast("long").alias("n_windows"),
+        F.size(F.array_distinct("leaks.item_id")).cast("long").alias("n_items"),
+        F.array_min("leaks.item_id").alias("first_item"),
+        (F.size("leaks") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -61,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 SQL: dict[str, str] = {
