@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become template tokens: words lower-cased and stripped of punctuation; a number is the placeholder
-<number>, a unit right after a number <unit>, and a capitalised word that does not open a sentence <name>;
+<number>, a unit right after a number <unit>, and a capitalised word (one upper-case letter, then a lower-case one) that does not
+open a sentence <name>;
 each placeholder keeps its value as a slot. Windows of `window` tokens of the benchmark items (the whole
 item, where it is shorter) are matched with the documents' windows by hash, and a match counts only if its
 slots are consistent: equal slot values of the item stand for equal values in the document and the other way
@@ -70,10 +71,13 @@ class Templates:
         starts, ends, row, opens = starts[held], ends[held], row[held], opens[held]
         a, b = place[core[starts]], place[core[ends] - 1] + 1
         value = span_hash(prefix_sums(_lower(data)), a, b)
-        first, second = data[a], data[np.minimum(a + 1, len(data) - 1)] if len(data) else data[a]
+        more = np.concatenate([data, np.zeros(4, np.uint8)])
+        first, accented = more[a], more[a] == 0xC3
+        after = a + 1 + accented  # the letter that follows the first one
+        upper = ((first >= 0x41) & (first <= 0x5A)) | (accented & (more[a + 1] >= 0x80) & (more[a + 1] <= 0x9E))
+        lower = ((more[after] >= 0x61) & (more[after] <= 0x7A)) | ((more[after] == 0xC3) & (more[after + 1] >= 0x9F))
         kind = np.zeros(len(a), np.int8)
-        upper = ((first >= 0x41) & (first <= 0x5A)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        kind[upper & ~opens] = NAME
+        kind[upper & lower & (after < b) & ~opens] = NAME
         kind[(first >= 0x30) & (first <= 0x39)] = NUMBER
         if len(a):
             units = _unit_hashes()
