@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import chat, decontaminate, line_dedup, near_dedup, packing, toxicity, warc
+from momentlake.llm import chat, decontaminate, hmm, line_dedup, near_dedup, packing, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -66,6 +66,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_hmm_score": op10_hmm_score,
 }
 
 SQL: dict[str, str] = {
