@@ -128,7 +128,8 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 6, bound: int = 1_000_000) -> DataFrame:
-    """All columns of docs and leaks: array of (item_id, start, n) of the matching windows, start in template tokens."""
+    """All columns of docs and leaks (replacing a column so named): array of (item_id, start, n) of the matching windows, start in template tokens."""
+    docs = docs.drop("leaks")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
     windows = benchmark_windows(benchmark, window, least)

@@ -28,7 +28,8 @@ def _windows(lines: Column, size: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """doc_id, text and any further columns of docs, with text cut; adds n_lines and n_removed (long)."""
+    """doc_id, text and any further columns of docs, with text cut; adds n_lines and n_removed (long), replacing columns so named."""
+    docs = docs.drop("n_lines", "n_removed")
     rows = docs.withColumn("_th", F.xxhash64("text")).withColumn("_lines", F.split("text", "\n", -1))
     windows = (
         rows.select("doc_id", "_th", F.explode(_windows(F.col("_lines"), window)).alias("w"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import chat, decontaminate, hmm, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from momentlake.llm import ann, chat, decontaminate, hmm, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -46,6 +46,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ann": op4_ann,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,

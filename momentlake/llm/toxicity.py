@@ -145,19 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features:
     return fit_machine([np.asarray(x.values) for x in taken["features"]], y, place, len(chosen))
 
 
-def score(docs: DataFrame, model: Machine | None, threshold: float = 0.3) -> DataFrame:
-    """All columns of docs, and score (0 to 1) and predicted (1 if score >= threshold)."""
+def score(docs: DataFrame, model: Machine | None, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs, and by these names a score (0 to 1) and 1 if it reaches the threshold; columns so named are replaced."""
+    docs = docs.drop(*names)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return docs.withColumn(names[0], F.lit(0.0)).withColumn(names[1], F.lit(0))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a size fixed by BITS and the number of features
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             s = held.value.scores(b["text"])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, *names])
 
-    return docs.mapInArrow(scored, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(scored, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, **options: int) -> DataFrame:
