@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample (the first `sample` rows by a hash of vec
 down it to a leaf. A query goes through the tree best bin first: a priority queue by distance to the centres
 gives it its leaves in order of promise. How many of them are visited is calibrated: leaf visits are widened
 until the true neighbours of `calibration` rows, found by brute force over all rows, are reached at the
-recall asked for. Leaves are searched in blocks of bounded size, so a leaf that holds a third of all rows
-(copies of one vector) is shared by many tasks; so are the queries of a leaf. Distances are Euclidean, in
+recall asked for. Neighbouring leaves are dealt together as shards of bounded size; a leaf that holds a third of
+all rows (copies of one vector) is cut to many, and so are the queries of a shard. A shard's task searches the
+leaves that a query visits and gives its k best. Distances are Euclidean, in
 double precision on the vectors as given.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those
@@ -156,7 +157,7 @@ def _exact(index: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> Da
 
 
 def nearest_neighbours(
-    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.98, sample: int = 16384, leaf_rows: int = 256, calibration: int = 128, block_rows: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.96, sample: int = 16384, leaf_rows: int = 64, calibration: int = 256, shard_rows: int = 8192
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) with is_query its k nearest other rows found."""
     spark = vectors.sparkSession
@@ -185,34 +186,57 @@ def nearest_neighbours(
 
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
     bins = queries.select(F.col("query_id").alias("vec_id"), F.col("query").alias("embedding")).mapInArrow(routed, "query_id long, query array<double>, leaves array<int>")
-    bins = stage(bins.select("query_id", "query", F.explode("leaves").alias("leaf")), "bins")
-
-    # counts by leaf: one row for each of a bounded number of leaves
-    blocks = index.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    q_blocks = bins.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("q_blocks"))
-    sizes = F.broadcast(blocks.join(q_blocks, "leaf").limit(leaves))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block")
-    parts = index.join(sizes, "leaf").select("leaf", block, F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"), "vec_id", "embedding")
-    q_block = F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int").alias("q_block")
-    asked = bins.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), q_block, "query_id", "query")
+    places = F.broadcast(spark.createDataFrame(_shards(index, shard_rows), "leaf int, shard int, shards int"))  # a row for each leaf
+    own = (F.col("shard") + F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).alias("shard")
+    parts = index.join(places, "leaf").select(own, "leaf", "vec_id", "embedding")
+    every = F.explode(F.sequence(F.col("shard"), F.col("shard") + F.col("shards") - 1)).alias("shard")
+    each = bins.select("query_id", "query", F.explode("leaves").alias("leaf")).join(places, "leaf").select("query_id", "query", "leaf", every)
+    asked = stage(each.groupBy("query_id", "shard").agg(F.collect_list("leaf").alias("leaves"), F.first("query").alias("query")), "asked")
+
+    # queries of a shard go in groups too, each with the shard's rows
+    groups = asked.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("groups"))
+    asked = asked.join(groups, "shard").withColumn("g", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).drop("groups")
+    parts = parts.join(groups, "shard").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        if own.num_rows:
-            x, ids = _matrix(own["embedding"].combine_chunks(), own.num_rows), own["vec_id"].to_numpy()
-            for query, q in zip(asked["query_id"].to_pylist(), asked["query"], strict=True):
-                near, d = _top(np.asarray(q.values), query, x, ids, k)
-                for column, values in zip(out, ([query] * len(near), ids[near].tolist(), d.tolist()), strict=True):
+        if own.num_rows and asked.num_rows:
+            own = own.sort_by("leaf")
+            x, ids, leaf = _matrix(own["embedding"].combine_chunks(), own.num_rows), own["vec_id"].to_numpy(), own["leaf"].to_numpy()
+            seen = np.zeros(int(leaf[-1]) + 1, bool)
+            for query, q, leaves in zip(asked["query_id"].to_pylist(), asked["query"], asked["leaves"], strict=True):
+                at = np.asarray(leaves.values)
+                at = at[at < len(seen)]
+                seen[at] = True
+                rows = np.flatnonzero(seen[leaf])
+                seen[at] = False
+                near, d = _top(np.asarray(q.values), query, x[rows], ids[rows], k)
+                for column, values in zip(out, ([query] * len(near), ids[rows][near].tolist(), d.tolist()), strict=True):
                     column += values
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    key = ["leaf", "block", "q_block"]
+    key = ["shard", "g"]
     found = parts.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _shards(index: DataFrame, shard_rows: int) -> list[tuple[int, int, int]]:
+    """leaf, its first shard and how many it has: neighbouring leaves share a shard, a leaf over shard_rows has several of its own."""
+    out, shard, filled = [], 0, 0
+    for leaf, n in sorted((r.leaf, r.n) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()):  # a row for each leaf
+        if filled and filled + n > shard_rows:
+            shard, filled = shard + 1, 0
+        if n > shard_rows:
+            out.append((leaf, shard, -(-n // shard_rows)))
+            shard += out[-1][2]
+        else:
+            out.append((leaf, shard, 1))
+            filled += n
+    return out
+
+
 def _calibrated(tree: Tree, index: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int, recall: float) -> int:
     """Leaf visits, widened until the leaves of the calibration queries' true neighbours are reached at this recall."""
     leaves = max(1, tree.leaves)
