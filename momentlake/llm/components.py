@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from momentlake.llm._shared import stage
@@ -10,21 +10,28 @@ from momentlake.llm._shared import stage
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's larger neighbours (or its smaller ones and itself) to the least of them all."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    if large:
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    else:
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
     linked = both.join(least, "a")
-    out = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select("b", "m").union(linked.select("a", "m")).toDF("a", "b")
-    return out.filter("a <> b").distinct()
+    if large:
+        return linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    ends = F.explode(F.array(F.col("a"), F.col("b"))).alias("a")
+    return linked.select(ends, F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least reachable node) of all nodes in edges (a, b: long)."""
-    edges, last = stage(edges.filter("a <> b").distinct(), "edges"), None
+    edges, last = edges.filter("a <> b"), None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        step = _star(_star(edges, large=True), large=False)
+        edges = stage(step.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+        now = (seen.get["n"], seen.get["h"])
         if now == last or not now[0]:
             break
         last = now
-        edges = stage(_star(_star(edges, large=True), large=False), "edges")
-    pairs = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+    each = edges.select(F.explode(F.array(F.greatest("a", "b"), F.least("a", "b"))).alias("node"), F.least("a", "b").alias("component"))
+    return each.groupBy("node").agg(F.min("component").alias("component"))

@@ -2,16 +2,17 @@
 
 Each document is its set of distinct word shingles. MinHash samples give band keys and are folded into a
 parity bitmap (odd sketch): the number of ones in the XOR of two bitmaps estimates the similarity of two
-sets, most exactly where it is high. Documents with equal sets are one node. Nodes that share a band key
-are compared by sketch inside their bucket, and candidates are confirmed on the full sets:
-
-1. each bucket gives a spanning forest of its pairs that the sketches put at the threshold or above;
-2. after confirmed links are joined to components, every pair of a bucket that lies in different
-   components and may reach the threshold (four standard deviations of the estimate below it) is confirmed.
-
-So no link is lost that would join two documents, and a bucket of copies never turns into all its pairs.
-Buckets over `block` members are split: each block has its own forest, with the bucket's first node in all
-of them, and step 2, if the bucket still has several components, takes all pairs of blocks.
+sets, most exactly where it is high. Documents with equal sets are one node. Nodes that share band keys, on
+the way of others or not, are a family. Inside a family, pairs are tried by falling estimate and confirmed on
+the full sets, but only while they lie in different components: what is linked already is not tried again.
+Pairs are left out only if a sketch puts them four standard deviations of its samples and three of its bitmap
+below the threshold; where many are left to try, a second, far larger sketch does so once more.
+
+Families of over `block` nodes are split:
+1. each block is linked on its own, with the family's first node in all of them;
+2. nodes that are not in the family's largest component by then are tried against all of its nodes, block by
+   block. So no link is lost that would join two documents, no group turns into all its pairs, and a task
+   holds two blocks at most.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a null text, or one without words, is
 an empty set and linked with nothing; rows with one doc_id count as one document (linked); rows with a null
@@ -21,7 +22,6 @@ doc_id are linked with nothing, their component is null and they are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from momentlake.llm._shared import stage, text_slices
 from momentlake.llm._words import U, mix, words
 from momentlake.llm.components import components
 
-BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
+BANDS, ROWS = 32, 5
+SMALL, LARGE = (BANDS * ROWS, 1024), (2048, 16384)  # samples and bits of the sketches
 _RNG = np.random.default_rng(31)
-_ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_TIMES = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, LARGE[0], dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 31, LARGE[0], dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = U(0xD6E8FEB86659FD93)
 
 
@@ -68,16 +69,16 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], np.searchsorted(row[new], np.arange(len(n) + 1))
 
 
-def minhash(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS samples of each of the non-empty sets that begin at starts."""
+def minhash(sets: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """That many samples of each of the non-empty sets that begin at starts."""
     low = (sets >> U(32)).astype(np.uint32)
-    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
+    out = np.empty((len(starts), count), np.uint32)
     ends = np.append(starts[1:], len(sets))
     first = 0
     while first < len(starts):  # blocks that stay in the cache
         stop = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 15), "right")))
         part, at = low[starts[first] : ends[stop - 1]], starts[first:stop] - starts[first]
-        for k in range(BANDS * ROWS):
+        for k in range(count):
             out[first:stop, k] = np.minimum.reduceat((part ^ _ADD[k]) * _TIMES[k], at)
         first = stop
     return out
@@ -90,149 +91,180 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=U)).view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
+def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
     """Parity bitmaps: each sample, salted by its place, toggles one bit."""
-    bit = (mix(samples.astype(U) + (np.arange(BANDS * ROWS, dtype=U) << U(32))) % U(SKETCH_BITS)).astype(np.int64)
-    n = len(samples)
-    ones = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(ones.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+    n, k = samples.shape
+    bit = (mix(samples.astype(U) + (np.arange(k, dtype=U) << U(32))) % U(bits)).astype(np.int64)
+    ones = np.bincount((np.arange(n)[:, None] * bits + bit).ravel(), minlength=n * bits) & 1
+    return np.packbits(ones.astype(np.uint8).reshape(n, bits), axis=1)
 
 
-def most_ones(similarity: float) -> int:
-    """Ones in the XOR of two sketches whose estimate is this similarity."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * BANDS * ROWS * (1 - similarity) / SKETCH_BITS)))
+def most_ones(similarity: float, sketch: tuple[int, int], margin: bool = True) -> int:
+    """Ones in the XOR of two sketches of sets of that similarity: as expected, or, with margin, as good as never more."""
+    samples, bits = sketch
+    least = similarity - margin * 4 * np.sqrt(similarity * (1 - similarity) / samples)
+    ones = bits / 2 * (1 - np.exp(-4 * samples * (1 - least) / bits))
+    return int(ones + margin * 3 * np.sqrt(ones))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set; null if empty), keys, sketch of docs (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """doc_id, n_shingles, set_id (digest of the set; null if empty), keys of docs (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             sets, offsets = shingle_sets(b["text"], size)
             n = np.diff(offsets)
             full = np.flatnonzero(n)
-            ids, keys, sketches = [None] * len(n), [None] * len(n), [None] * len(n)
+            ids, keys = [None] * len(n), [None] * len(n)
             if len(full):
                 starts = offsets[:-1][full]
                 digest = np.stack([np.add.reduceat(mix(sets ^ U(salt)), starts) for salt in (0x5BF03635, 0x2545F491)], 1)
-                samples = minhash(sets, starts)
-                for i, d, k, s in zip(full.tolist(), digest, band_keys(samples), odd_sketches(samples), strict=True):
-                    ids[i], keys[i], sketches[i] = d.tobytes(), k, s.tobytes()
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+                for i, d, k in zip(full.tolist(), digest, band_keys(minhash(sets, starts, SMALL[0])), strict=True):
+                    ids[i], keys[i] = d.tobytes(), k
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, keys array<long>, sketch binary")
-
-
-def _bucket_pairs(rows: DataFrame, most: int, forest: bool) -> DataFrame:
-    """Pairs (a < b) of nodes within groups by (key, i, j) of rows (key, i, j, node, component, sketch), most ones apart at most.
-
-    forest: a spanning forest of such pairs, by smallest distance; else all pairs from different components.
+    return rows.mapInArrow(signed, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+
+
+class _Family:
+    """Nodes of one task: component labels, which grow together, sketches and full sets."""
+
+    def __init__(self, t: pa.Table, percent: int) -> None:
+        self.node, self.percent = t["node"].to_numpy(), percent
+        self.label = np.unique(t["component"].to_numpy(), return_inverse=True)[1]
+        self.sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(len(self.node), -1)
+        flat = t["shingles"].combine_chunks()
+        offsets = flat.offsets.to_numpy()
+        self.flat, self.starts = flat.flatten().to_numpy().view(U), offsets - offsets[0]
+        self.large: np.ndarray | None = None
+        self.most = [most_ones(percent / 100, k) for k in (SMALL, LARGE)]
+        self.links: list[tuple[int, int]] = []
+
+    def try_pair(self, a: int, b: int) -> None:
+        if self.label[a] == self.label[b]:
+            return
+        x, y = (self.flat[self.starts[k] : self.starts[k + 1]] for k in (a, b))
+        if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+            return
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= self.percent * (len(x) + len(y) - both):
+            self.links.append((self.node[a], self.node[b]))
+            self.label[self.label == self.label[b]] = self.label[a]
+
+    def forest(self) -> None:
+        """Tries a minimum spanning tree of the sketches' distances, shortest edges first."""
+        m = len(self.node)
+        best, link, left, edges, at = np.full(m, 1 << 30), np.zeros(m, np.int64), np.ones(m, bool), [], 0
+        for _ in range(m - 1):
+            left[at] = False
+            ones = np.bitwise_count(self.sketch ^ self.sketch[at]).sum(1, dtype=np.int64)
+            closer = ones < best
+            best[closer], link[closer] = ones[closer], at
+            at = int(np.where(left, best, 1 << 31).argmin())
+            edges.append((int(best[at]), int(link[at]), at))
+        for ones, a, b in sorted(edges):
+            if ones <= self.most[0]:
+                self.try_pair(a, b)
+
+    def across(self, k: int, others: np.ndarray) -> None:
+        """Tries k with all others that may reach the threshold, most similar first."""
+        near = others[self.label[others] != self.label[k]]
+        ones = np.bitwise_count(self.sketch[near] ^ self.sketch[k]).sum(1, dtype=np.int64)
+        near, ones = near[ones <= self.most[0]], ones[ones <= self.most[0]]
+        if len(near) > 32:
+            if self.large is None:
+                parts = [slice(i, min(i + 64, len(self.node))) for i in range(0, len(self.node), 64)]
+                sketches = [odd_sketches(minhash(self.flat[self.starts[p.start] : self.starts[p.stop]], self.starts[p] - self.starts[p.start], LARGE[0]), LARGE[1]) for p in parts]
+                self.large = np.concatenate(sketches).view(U)
+            ones = np.bitwise_count(self.large[near] ^ self.large[k]).sum(1, dtype=np.int64)
+            near, ones = near[ones <= self.most[1]], ones[ones <= self.most[1]]
+        for j in near[np.argsort(ones, kind="stable")].tolist():
+            self.try_pair(k, j)
+
+
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) from nodes to the least node they are linked with, within groups by (family, i, p) of rows (family, i, p, node, component, probe, sketch, shingles).
+
+    Components in which no link was found give no edges.
     """
 
-    def pairs_of(node: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if forest:
-            best, link, left = np.full(len(node), 1 << 30), np.zeros(len(node), np.int64), np.ones(len(node), bool)
-            a, b, at = [], [], 0
-            for _ in range(len(node) - 1):
-                left[at] = False
-                ones = np.bitwise_count(sketch ^ sketch[at]).sum(1, dtype=np.int64)
-                closer = ones < best
-                best[closer], link[closer] = ones[closer], at
-                at = int(np.where(left, best, 1 << 31).argmin())
-                if best[at] <= most:
-                    a.append(node[link[at]])
-                    b.append(node[at])
-            yield np.array(a, np.int64), np.array(b, np.int64)
-        else:
-            for k in range(len(node) - 1):
-                other = np.flatnonzero(component[k + 1 :] != component[k]) + k + 1
-                near = other[np.bitwise_count(sketch[other] ^ sketch[k]).sum(1, dtype=np.int64) <= most]
-                if len(near):
-                    yield np.full(len(near), node[k]), node[near]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
-            group = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-            cuts = np.concatenate([[0], cuts, [table.num_rows] if final else []]).astype(np.int64)
-            node, component = table["node"].to_numpy(), table["component"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U).reshape(table.num_rows, -1)
-            found = [p for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for p in pairs_of(node[s:e], component[s:e], sketch[s:e])]
-            held[:] = [] if final else table.slice(int(cuts[-1])).combine_chunks().to_batches()
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            yield from groups(pa.Table.from_batches([*held, batch]), final=False)
-        if held:
-            yield from groups(pa.Table.from_batches(held, schema), final=True)
-
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return dealt.mapInArrow(pairs, "a long, b long").distinct()
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+    def link(t: pa.Table) -> pa.Table:
+        f, probe = _Family(t, percent), t["probe"].to_numpy(zero_copy_only=False)
+        every = np.arange(len(f.node))
+        if not probe.any():
+            f.forest()
+            for k in every[:-1].tolist():
+                f.across(k, every[k + 1 :])
+        for k in np.flatnonzero(probe).tolist():
+            f.across(k, every)
+        ends = np.unique(np.array(f.links, np.int64).ravel())
+        least = np.full(int(f.label.max(initial=0)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, f.label, f.node)
+        at = np.isin(f.node, ends)
+        return pa.table({"a": f.node[at], "b": least[f.label[at]]})
+
+    return rows.groupBy("family", "i", "p").applyInArrow(link, "a long, b long").filter("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept: a row for each row of docs (doc_id, text)."""
     signed = stage(signatures(docs, size), "signatures")
-    nodes = signed.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-    members = stage(nodes, "nodes")
-    # a node's own row; where rows repeat its doc_id and set, one of them
-    own = signed.join(members.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_id"])
-    own = own.select(F.col("doc_id").alias("node"), "set_id", "keys", "sketch")
-    keyed = own.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("n > 1")
-    buckets = buckets.groupBy("n", "hub", "who").agg(F.min("key").alias("key")).drop("who")  # buckets of the same nodes count once
-    placed = keyed.join(buckets, "key").join(own.select("node", "sketch"), "node")
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = stage(placed.select("key", "node", "sketch", "hub", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("i")), "buckets")
-
-    hubs = placed.filter("blocks > 1 and node = hub").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "node", "sketch")
-    blocks = placed.filter("blocks = 1 or node <> hub").select("key", "i", "node", "sketch").unionByName(hubs)
-    blocks = blocks.select("key", "i", F.col("i").alias("j"), "node", F.col("node").alias("component"), "sketch")
-    likely = stage(_bucket_pairs(blocks, most_ones(percent / 100), forest=True), "pairs")
-
-    spread = 4 * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
-    links = [_links(docs, likely, size, percent)]
-    found = stage(components(links[0]), "components")
-    named = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    again = named.join(mixed, "key").select("key", "i", "node", "component", "sketch", other.alias("o"))
-    again = again.select("key", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "node", "component", "sketch")
-    late = stage(_bucket_pairs(again, most_ones(percent / 100 - spread), forest=False), "pairs")
-    if not late.isEmpty():
-        links.append(_links(docs, late, size, percent))
-        found = stage(components(reduce(DataFrame.unionByName, links)), "components")
-    named = members.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
+    least = F.min(F.struct("doc_id", "keys")).alias("m")  # a node's own row
+    members = signed.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(least)
+    members = stage(members.select("set_id", F.col("m.doc_id").alias("node"), "m.keys"), "nodes")
+    keyed = members.select("node", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = keyed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    placed = stage(components(shared).withColumnRenamed("component", "family"), "families")
+    sizes = placed.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    i = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i")
+    placed = placed.join(sizes, "family").select("family", "blocks", i, "node")
+    rows = stage(placed.join(_sets(docs, placed.select("node"), size), "node"), "sets")
+
+    data = ["node", "sketch", "shingles"]
+    first = rows.filter("blocks > 1 and node = family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), *data)
+    alone = rows.filter("blocks = 1 or node <> family").select("family", "i", *data).unionByName(first)
+    alone = alone.select("family", "i", F.lit(0).alias("p"), F.col("node").alias("component"), F.lit(False).alias("probe"), *data)
+    # in families of one block these edges are stars already
+    links = stage(_linked(alone, percent), "links")
+    found = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    wide = rows.filter("blocks > 1")
+    if not wide.isEmpty():
+        own = wide.select(F.col("node").alias("a")).distinct()
+        linked = links.join(own, "a", "left_semi")
+        joined = components(linked)
+        split = wide.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = split.groupBy("family", "component").agg(F.count("*").alias("n"))
+        main = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("probes")).filter("probes > 0")
+        main = main.withColumn("p_blocks", F.ceil(F.col("probes") / block).cast("int"))
+        split = stage(split.join(main, "family"), "split")
+        p = F.pmod(F.xxhash64("node", F.lit(1)), F.col("p_blocks")).cast("int").alias("p")
+        probes = split.filter("component <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), p, "component", F.lit(True).alias("probe"), *data)
+        base = split.select("family", "i", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("p"), "component", F.lit(False).alias("probe"), *data)
+        late = stage(_linked(probes.unionByName(base), percent), "links")
+        if not late.isEmpty():
+            joined = components(linked.unionByName(late))
+        found = links.join(own, "a", "left_anti").groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(joined)
+    named = members.drop("keys").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold on the full sets, which are taken from the texts again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, sketch and full set of shingles, from the texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             s, offsets = shingle_sets(b["text"], size)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(s.view(np.int64)))], ["node", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    full = stage(texts.mapInArrow(sets, "node long, shingles array<long>"), "sets")
-    return stage(_confirm(pairs, full, percent).distinct(), "links")
+            full = np.flatnonzero(np.diff(offsets))
+            starts = offsets[:-1][full]
+            sketches = odd_sketches(minhash(s, starts, SMALL[0]), SMALL[1]) if len(full) else []
+            ends = np.append(starts, len(s)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["node"].take(pa.array(full)), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(s.view(np.int64)))], ["node", "sketch", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return texts.mapInArrow(sets, "node long, sketch binary, shingles array<long>")
