@@ -104,3 +104,31 @@ def observations(rows: DataFrame) -> DataFrame:
     kept = rows.filter(F.col("normalized") != "").withColumn("n", best).filter("n = 1")
     ordered = F.array_sort(F.collect_list(F.struct("frame_ms", "text")))
     return kept.groupBy("segment_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+
+
+def table_counts(tables: dict[str, DataFrame], versions: DataFrame) -> DataFrame:
+    """name, n: rows of each table, and ready versions (status) among versions."""
+    rows = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    rows.append(versions.agg(F.count_if(F.col("status") == "ready").alias("n")).select(F.lit("ready_versions").alias("name"), "n"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def activate(aliases: DataFrame, versions: DataFrame, alias: str, version_id: object, at: object) -> DataFrame:
+    """The alias log (alias, index_version_id, updated_at) with a row more; raises ValueError unless the version is ready. Rolling back is the same."""
+    if versions.filter((F.col("index_version_id") == version_id) & (F.col("status") == "ready")).isEmpty():
+        raise ValueError(f"version {version_id!r} is not ready")
+    return aliases.unionByName(aliases.sparkSession.createDataFrame([(alias, version_id, at)], aliases.schema))
+
+
+def descriptors(hits: DataFrame, media_ids: Column) -> DataFrame:
+    """Hits with what a result list shows: file name, id of the medium, span as text."""
+    name = F.element_at(F.split("source_file", "/"), -1)
+    return hits.withColumns({"file_name": name, "media_id": media_ids, "span": F.format_string("%.1f-%.1f", "start_time", "end_time")})
+
+
+def requested_sources(requested: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Sources asked for that are indexed, each once; missing or not, order is by name."""
+    return requested.select("source_file").intersect(indexed.select("source_file")).orderBy("source_file")

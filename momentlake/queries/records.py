@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from momentlake.functions import sql
 from momentlake.functions import text as T
+from momentlake.functions.moments import chunk_id
 from momentlake.operators import records as R
 from momentlake.operators import structured
 from momentlake.operators.structured import Query
 from momentlake.plans import artifacts
-from momentlake.queries._tables import RECORDS, event_records, table
+from momentlake.queries._tables import CHUNKS, RECORDS, chunks, event_records, table
 from momentlake.sources import snapshots
 
 
@@ -167,6 +169,33 @@ def a24_distinct_moments(spark: SparkSession, d: str) -> DataFrame:
     return R.distinct_moments(li.groupBy("source_file", "start_time", "end_time").agg(F.min("rank").alias("rank"))).select("source_file", "rank")
 
 
+def g4_architecture_stats(spark: SparkSession, d: str) -> DataFrame:
+    versions = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "ready").otherwise("building").alias("status"))
+    return R.table_counts({n: table(spark, d, n) for n in ("documents", "pages", "events", "embeddings")}, versions)
+
+
+def p25_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk as a result: its file, its medium's id (the chunk id at 0) and its span."""
+    hits = chunks(spark, d)
+    return R.descriptors(hits, chunk_id(F.col("source_file"), F.lit(0.0))).select("id", "file_name", "media_id", "span")
+
+
+def u3_requested_sources(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "nation").select(F.format_string("/lib/%02d.mp4", F.col("n_nationkey") * 2).alias("source_file"))
+    return R.requested_sources(asked, chunks(spark, d))
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The temporary SQL functions over whole tables: spans of orders, similarity of the halves of vectors."""
+    sql.register(spark)
+    table(spark, d, "orders").createOrReplaceTempView("momentlake_orders")
+    table(spark, d, "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as v").createOrReplaceTempView("momentlake_vectors")
+    return spark.sql("""
+        SELECT 'order' AS kind, o_orderkey AS id, CAST(size(s) AS DOUBLE) AS x, CAST(element_at(s, -1).end_ms AS DOUBLE) AS y
+        FROM (SELECT o_orderkey, segment_spans(CAST(round(o_totalprice) AS BIGINT), 30000L, 5000L) AS s FROM momentlake_orders)
+        UNION ALL SELECT 'vector', vec_id, round(cosine_similarity(slice(v, 1, 32), slice(v, 33, 32)), 6), round(l2_normalize(slice(v, 1, 32))[0], 6) FROM momentlake_vectors""")
+
+
 QUERIES = {
     "f1_eq": _matching(("type", "eq", "error")),
     "f2_not_eq": _matching(("k", "not_eq", 5)),
@@ -174,7 +203,7 @@ QUERIES = {
     "f4_range": _matching(("k", "gt", 20), ("k", "lte", 60), ("type", "lt", "purchase")),
     "f5_contains": _matching(("tags", "contains", "u3"), ("type", "contains", "i")),
     "f4_missing": _matching(("detail.kind", "gte", "a"), ("detail.value", "lt", 50.5)),
-} | {f.__name__: f for f in (a12_sorted_page, g1_facet, g1_facet_nested, p9_semantic_text, p10_searchable_text, p24_rescued_json, p11_content_hash, i4_understand, g6_validate_versions, a19_resolve, g13_next_versions, j11_lineage, g14_progress, g9_run_report, g8_timings, g3_store_stats, g2_modality_counts, s9_upsert, s12_insert_absent, u5_merge_categories, j9_apply_categories, a24_distinct_moments)}
+} | {f.__name__: f for f in (a12_sorted_page, g1_facet, g1_facet_nested, p9_semantic_text, p10_searchable_text, p24_rescued_json, p11_content_hash, i4_understand, g6_validate_versions, a19_resolve, g13_next_versions, j11_lineage, g14_progress, g9_run_report, g8_timings, g3_store_stats, g2_modality_counts, s9_upsert, s12_insert_absent, u5_merge_categories, j9_apply_categories, a24_distinct_moments, g4_architecture_stats, p25_descriptors, u3_requested_sources, sql_functions)}
 
 _STATUS = "s AS (SELECT l_orderkey AS source_file, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'new' WHEN l_linenumber > 3 THEN 'still' ELSE 'skipped' END AS status FROM lineitem)"
 
@@ -224,4 +253,11 @@ SELECT min(doc_id) AS doc_id, key FROM t WHERE source <> 'src0' AND key NOT IN (
     "j9_apply_categories": "SELECT page_id AS path, coalesce(lang, 'Unsorted') AS category FROM pages LEFT JOIN documents ON doc_id = page_id",
     "a24_distinct_moments": """SELECT l_partkey AS source_file, min(l_orderkey * 8 + l_linenumber) AS rank FROM lineitem
 GROUP BY l_partkey, round(l_quantity / 0.01::DOUBLE), round((l_quantity + l_discount) / 0.01::DOUBLE)""",
+    "g4_architecture_stats": """SELECT 'documents' AS name, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'ready_versions', count(*) FROM orders WHERE o_orderstatus = 'F'""",
+    "p25_descriptors": f"""WITH {CHUNKS} SELECT id, substr(source_file, 6) AS file_name, substr(sha256(source_file || ':0'), 1, 16) AS media_id, printf('%.1f-%.1f', start_time, end_time) AS span FROM chunks""",
+    "u3_requested_sources": f"WITH {CHUNKS} SELECT DISTINCT source_file FROM chunks WHERE source_file IN (SELECT printf('/lib/%02d.mp4', n_nationkey * 2) FROM nation)",
+    "sql_functions": """WITH o AS (SELECT o_orderkey, round(o_totalprice)::BIGINT AS d FROM orders), h AS (SELECT vec_id, (embedding::DOUBLE[])[1:32] AS a, (embedding::DOUBLE[])[33:64] AS b FROM embeddings)
+SELECT 'order' AS kind, o_orderkey AS id, greatest(1, ceil((d - 5000) / 25000.0))::DOUBLE AS x, d::DOUBLE AS y FROM o
+UNION ALL SELECT 'vector', vec_id, round(list_cosine_similarity(a, b), 6), round(a[1] / sqrt(list_dot_product(a, a)), 6) FROM h""",
 }

@@ -210,3 +210,20 @@ def test_quality_and_resolution(spark):
     aliases = spark.createDataFrame([("live", 2, 5), ("live", 1, 9), ("live", 3, 10)], "alias string, index_version_id long, updated_at long")
     names = spark.createDataFrame([("n",), ("live",), ("none",)], "name string")
     assert {r.name: r.index_version_id for r in records.resolve(versions, aliases, names).collect()} == {"n": 2, "live": 1, "none": None}
+
+
+def test_manifest_alias_and_stats(spark, tmp_path):
+    import json
+
+    from momentlake.sources.manifests import read_manifests
+
+    record = {"segment_id": "s0", "start_ms": 0, "end_ms": 5000, "data": {"activity": "walking", "list": [1, 2]}, "metadata": {}}
+    (tmp_path / "m.json").write_text(json.dumps([{"name": "scene", "analyzer_type": "x", "config": {"a": 1}, "artifact_type": "scene", "schema_version": 1, "schema_definition": {}, "records": [record, {**record, "segment_id": "s1"}]}]))
+    rows = read_manifests(spark, str(tmp_path / "m.json"), "m", "k")
+    got = artifacts.understand(rows, spark.createDataFrame([], "media_id string, key string, request_hash string"))
+    assert got.records.count() == 2 and rows.filter(structured.predicate(F.col("data"), "list", "contains", 2)).count() == 2
+    versions = spark.createDataFrame([(1, "ready"), (2, "building")], "index_version_id long, status string")
+    log = spark.createDataFrame([], "alias string, index_version_id long, updated_at long")
+    assert records.activate(log, versions, "live", 1, 5).count() == 1
+    with pytest.raises(ValueError):
+        records.activate(log, versions, "live", 2, 6)
