@@ -176,7 +176,6 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "leaf"])
 
     index = stage(rows.mapInArrow(assigned, "vec_id long, embedding array<double>, leaf int"), "index")
-    leaves = max(1, tree.leaves)
     visits = _calibrated(tree, index, x[:calibration], ids[:calibration], k, recall)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
