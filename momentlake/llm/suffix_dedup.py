@@ -204,7 +204,7 @@ def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets:
     return answered(asked, sort, "bucket long, chunk_id long, answer binary", "suffixes")
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 4 << 20, bucket_rows: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 20, bucket_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, removed: array of (start, end) in bytes, kept: the bytes that stay, for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     chunks = bucketed(pack(docs, chunk_bytes), "chunks", "chunk_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
