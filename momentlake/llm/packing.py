@@ -4,8 +4,10 @@ Documents become pieces of at most `capacity` tokens. Pieces that fill a sequenc
 dealt at random to groups of about `group_rows` pieces and packed there by best-fit decreasing. Dual-feasible
 functions give a lower bound on each group's bin count. A group whose count equals the bound is certified and
 keeps its sequences (but gives up a last one less than half full); a group with a gap gives up its emptiest
-sequences, in proportion to the gap. What was given up is dealt anew to fewer groups and packed again, until
-one group holds the rest. No piece and no text passes the driver; it sees counts alone.
+sequences, in proportion to the gap but at most half of them. What was given up is dealt anew to fewer groups and
+packed again, until one group holds the rest. A group has the tokens of eight sequences or more on average, so a
+round gives up at most nine sixteenths of its tokens and the rounds end, whatever the lengths are. No piece and no
+text passes the driver; it sees counts alone.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed as they come,
 each with all its pieces; an empty table gives no rows.
@@ -105,8 +107,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 8192) -> Dat
     full = pieces.filter(F.col("length") >= capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, turn = pieces.filter(F.col("length") < capacity), [full], 0
     while True:
-        groups = max(1, math.ceil(rest.count() / group_rows))
-
+        rows, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(math.ceil(rows / group_rows), tokens // (8 * capacity)))
         result = stage(_packed(rest, groups, turn, capacity), "packed")
         done.append(result.filter(~F.col("_out")).drop("_out"))
         if groups == 1:
@@ -126,7 +128,7 @@ def _packed(rest: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame
         emptiest = np.argsort(fill, kind="stable")
         out = np.zeros(n, bool)
         if groups > 1:
-            out[emptiest[: min(n, 8 * gap)] if gap else emptiest[:1][fill[emptiest[:1]] < capacity // 2]] = True
+            out[emptiest[: min(n // 2, 8 * gap)] if gap else emptiest[:1][fill[emptiest[:1]] < capacity // 2]] = True
         group = table["_group"][0].as_py()
         return (
             table.drop_columns(["_group"])

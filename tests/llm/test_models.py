@@ -1,6 +1,8 @@
 import math
 import random
+import time
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from zlib import crc32
 
 import numpy as np
@@ -53,6 +55,34 @@ def test_lower_bound_holds():
     assert packing.lower_bound(np.array([16, 16, 16]), 30) == 3
 
 
+def test_packing_ends_where_gaps_stay(spark):
+    def packed(lengths, group_rows):
+        rows = [(i, 0, 0, n, 0) for i, n in enumerate(lengths)]
+        pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(2)
+        with ThreadPoolExecutor(1) as pool:
+            job = pool.submit(lambda: packing.pack(pieces, group_rows=group_rows).collect())
+            for _ in range(600):  # then the jobs fail, and the thread with them
+                if job.done():
+                    break
+                time.sleep(0.1)
+            else:
+                spark.sparkContext.cancelAllJobs()
+            out = job.result()
+        assert sorted(r.doc_id for r in out) == list(range(len(lengths)))
+        bins = {}
+        for r in out:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in bins.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+        return len(bins)
+
+    thirds = [(834, 738, 651)[i % 3] for i in range(600)]
+    alone = packing.best_fit_decreasing(np.array(thirds), 2048)[2]
+    assert packed(thirds, 60) <= 1.02 * alone + 3
+    assert packed([1] * 200, 20) == 1  # all groups together are less than half a sequence
+
+
 def _toxic_rows(n):
     rng = random.Random(2)
     clean = [f"word{i}" for i in range(200)]
