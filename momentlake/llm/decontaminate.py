@@ -8,11 +8,15 @@ item, where it is shorter) are matched with the documents' windows by hash, and
 slots are consistent: equal slot values of the item stand for equal values in the document and the other way
 round. So copies match, and so do questions with other numbers or names.
 
+Each window is read in three ways, each with its own hash: as it stands; with all capitalised words as names,
+where those that open a sentence on either side must be equal; and word for word. So a copy matches whatever
+stands before it, however its lines are broken and however few plain words it has.
+
 The benchmark's windows go to the tasks as sorted arrays of at most `bound` windows; a larger benchmark is
 taken in several passes, each within the bound. Documents are never shuffled.
 
 Defined cases: null or empty texts match nothing; items of under `least` tokens match nothing; windows less
-than half of which are plain words match nothing; repeated rows are judged each on its own.
+than half of which are plain words match word for word only; repeated rows are judged each on its own.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts joule joules meter meters metre metres kilometer kilometers"
 ).split()
 WORD, NUMBER, UNIT, NAME = range(4)
+TEMPLATE, NAMES, EXACT = range(3)  # readings of a window
 _CORE = np.zeros(256, bool)
 _CORE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]*_", np.uint8))
 _PLACE = mix(np.arange(1, 5, dtype=U))
 
 
@@ -52,6 +58,15 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hash(prefix_sums(data), offsets[:-1], offsets[1:]))
 
 
+def _before_closers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The last byte of each word that is no closing quote, bracket or emphasis (of up to four)."""
+    last = ends - 1
+    for _ in range(4):
+        curly = (last >= starts + 3) & np.isin(data[last], (0x99, 0x9D)) & (data[last - 1] == 0x80) & (data[last - 2] == 0xE2)
+        last = last - np.where(curly, 3, (_CLOSE[data[last]] & (last > starts)).astype(np.int64))
+    return last
+
+
 class Templates:
     """Template tokens of a text column: code (hash of the word or of the placeholder), kind, value (hash), row."""
 
@@ -63,12 +78,15 @@ class Templates:
         held = core[ends] > core[starts]
         stop = np.zeros(len(starts), bool)  # the word ends a sentence
         if len(starts):
-            stop = np.isin(data[ends - 1], np.frombuffer(b".!?:", np.uint8))
+            stop = np.isin(data[_before_closers(data, starts, ends)], np.frombuffer(b".!?:", np.uint8))
             breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
             stop[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
         opens = np.ones(len(starts), bool)
         opens[1:] = stop[:-1] | (row[1:] != row[:-1])
-        starts, ends, row, opens = starts[held], ends[held], row[held], opens[held]
+        seen = np.concatenate([[0], np.cumsum(opens)])
+        kept = np.flatnonzero(held)
+        opens = np.diff(seen[kept + 1], prepend=0) > 0  # words without letters pass it on
+        starts, ends, row = starts[held], ends[held], row[held]
         a, b = place[core[starts]], place[core[ends] - 1] + 1
         value = span_hash(prefix_sums(_lower(data)), a, b)
         more = np.concatenate([data, np.zeros(4, np.uint8)])
@@ -77,7 +95,8 @@ class Templates:
         upper = ((first >= 0x41) & (first <= 0x5A)) | (accented & (more[a + 1] >= 0x80) & (more[a + 1] <= 0x9E))
         lower = ((more[after] >= 0x61) & (more[after] <= 0x7A)) | ((more[after] == 0xC3) & (more[after + 1] >= 0x9F))
         kind = np.zeros(len(a), np.int8)
-        kind[upper & lower & (after < b) & ~opens] = NAME
+        capital = upper & lower & (after < b)
+        kind[capital & ~opens] = NAME
         kind[(first >= 0x30) & (first <= 0x39)] = NUMBER
         if len(a):
             units = _unit_hashes()
@@ -85,21 +104,30 @@ class Templates:
             known[1:] &= (kind[:-1] == NUMBER) & (row[1:] == row[:-1])
             known[0] = False
             kind[known] = UNIT
-        self.row, self.kind, self.value = row, kind, value
-        self.code = np.where(kind == WORD, value, _PLACE[kind])
+        self.row, self.value = row, value
+        names = np.where(capital & (kind == WORD), NAME, kind).astype(np.int8)
+        self.opens = names != kind
+        self.kinds = (kind, names, np.full(len(kind), WORD, np.int8))
         self.bounds = np.searchsorted(row, np.arange(len(column) + 1))
-        self._sums = np.zeros(len(a) + 1, U)
-        np.cumsum(self.code * powers(len(a) + 1)[0][: len(a)], out=self._sums[1:])
-        self._words = np.concatenate([[0], np.cumsum(kind == WORD)])
+        up = powers(len(a) + 1)[0][: len(a)]
+        self._sums = [np.concatenate([np.zeros(1, U), np.cumsum(np.where(k == WORD, value, _PLACE[k]) * up)]) for k in self.kinds]
+        self._words = [np.concatenate([[0], np.cumsum(k == WORD)]) for k in self.kinds]
+        self._capitals = np.concatenate([[0], np.cumsum(names == NAME)])
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of n tokens that lies in one row and has enough plain words."""
+    def windows(self, n: int, reading: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+        """First token and hash of each window of n tokens that lies in one row and has enough plain words for the reading."""
         at = np.arange(max(0, len(self.row) - n + 1))
-        at = at[(self.row[at] == self.row[at + n - 1]) & (2 * (self._words[at + n] - self._words[at]) >= n)]
-        return at, mix((self._sums[at + n] - self._sums[at]) * powers(len(self._sums))[1][at] + U(n))
+        sums, words = self._sums[reading], self._words[reading]
+        right = (self.row[at] == self.row[at + n - 1]) & (2 * (words[at + n] - words[at]) >= n)
+        if reading == NAMES:  # without capitalised words it is the template
+            right &= self._capitals[at + n] > self._capitals[at]
+        at = at[right]
+        return at, mix((sums[at + n] - sums[at]) * powers(len(sums))[1][at] + U(n))
 
-    def slots(self, at: int, n: int) -> np.ndarray:
-        return self.value[at : at + n][self.kind[at : at + n] != WORD]
+    def slots(self, at: int, n: int, reading: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the slots, and which of them are capitalised words that open a sentence."""
+        slot = np.flatnonzero(self.kinds[reading][at : at + n] != WORD) + at
+        return self.value[slot], self.opens[slot] if reading == NAMES else np.zeros(len(slot), bool)
 
 
 def consistent(one: np.ndarray, two: np.ndarray) -> bool:
@@ -109,7 +137,8 @@ def consistent(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """hash, n, item_id, slots of each window of benchmark (item_id, text)."""
+    """reading, hash, n, item_id, slots, opens of each window of benchmark (item_id, text)."""
+    shape = pa.schema([("reading", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()), ("item_id", pa.int64()), ("slots", pa.list_(pa.int64())), ("opens", pa.list_(pa.bool_()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
@@ -118,13 +147,16 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
             for n in np.unique(np.minimum(sizes, window)).tolist():
                 if n < least:
                     continue
-                at, hashes = t.windows(n)
-                right = np.minimum(sizes[t.row[at]], window) == n
-                out += [{"hash": int(h), "n": n, "item_id": b["item_id"][int(t.row[k])].as_py(), "slots": t.slots(k, n).view(np.int64)} for k, h in zip(at[right].tolist(), hashes[right].view(np.int64), strict=True)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("hash", pa.int64()), ("n", pa.int32()), ("item_id", pa.int64()), ("slots", pa.list_(pa.int64()))]))
+                for reading in (TEMPLATE, NAMES, EXACT):
+                    at, hashes = t.windows(n, reading)
+                    right = np.minimum(sizes[t.row[at]], window) == n
+                    for k, h in zip(at[right].tolist(), hashes[right].view(np.int64).tolist(), strict=True):
+                        slots, opens = t.slots(k, n, reading)
+                        out.append({"reading": reading, "hash": h, "n": n, "item_id": b["item_id"][int(t.row[k])].as_py(), "slots": slots.view(np.int64), "opens": opens})
+            yield pa.RecordBatch.from_pylist(out, shape)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(cut, "hash long, n int, item_id long, slots array<long>").dropDuplicates()
+    return items.mapInArrow(cut, "reading int, hash long, n int, item_id long, slots array<long>, opens array<boolean>").dropDuplicates()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 6, bound: int = 1_000_000) -> DataFrame:
@@ -137,27 +169,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: i
     out = docs.withColumn("leaks", F.array().cast("array<struct<item_id: bigint, start: int, n: int>>"))
     for k in range(passes):
         part = windows.filter(F.pmod("hash", F.lit(passes)) == k).toArrow()  # bound windows, give or take chance
-        keys = part["hash"].to_numpy().view(U)
-        order = np.argsort(keys, kind="stable")
-        table = (keys[order], part["n"].to_numpy()[order], part["item_id"].to_pylist(), part["slots"], order)
+        keys, sizes, readings = part["hash"].to_numpy().view(U), part["n"].to_numpy(), part["reading"].to_numpy()
+        order = np.lexsort((keys, readings, sizes))
+        edges = np.flatnonzero(np.diff(sizes[order], prepend=-1) | np.diff(readings[order], prepend=-1)).tolist()
+        kinds = [(int(sizes[order[i]]), int(readings[order[i]]), i, j) for i, j in zip(edges, [*edges[1:], len(order)], strict=False)]
+        table = (kinds, keys[order], part["item_id"].to_pylist(), part["slots"], part["opens"], order)
         held = docs.sparkSession.sparkContext.broadcast(table)
 
         def matched(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            keys, sizes, items, slots, order = held.value
+            kinds, every, items, slots, opens, order = held.value
             for b in text_slices(batches, "text"):
                 t, found = Templates(b["text"]), b["leaks"].to_pylist()
-                for n in np.unique(sizes).tolist():
-                    at, hashes = t.windows(n)
+                for n, reading, start, stop in kinds:
+                    keys = every[start:stop]
+                    at, hashes = t.windows(n, reading)
                     left = np.searchsorted(keys, hashes)
                     hits = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == hashes)
                     for i in hits.tolist():
-                        own, first = t.slots(int(at[i]), n).view(np.int64), int(left[i])
+                        own, opened = t.slots(int(at[i]), n, reading)
+                        own, first = own.view(np.int64), int(left[i])
                         while first < len(keys) and keys[first] == hashes[i]:
-                            other = np.asarray(slots[int(order[first])].as_py(), np.int64)
-                            if sizes[first] == n and len(other) == len(own) and consistent(own, other):
+                            k = int(order[start + first])
+                            other, first = np.asarray(slots[k].as_py(), np.int64), first + 1
+                            if len(other) != len(own):
+                                continue
+                            fixed = opened | np.asarray(opens[k].as_py(), bool)
+                            if (own[fixed] == other[fixed]).all() and consistent(own, other):
                                 r = int(t.row[at[i]])
-                                found[r].append({"item_id": items[int(order[first])], "start": int(at[i] - t.bounds[r]), "n": n})
-                            first += 1
+                                found[r].append({"item_id": items[k], "start": int(at[i] - t.bounds[r]), "n": n})
+                found = [list({tuple(x.values()): x for x in own}.values()) for own in found]  # several readings of a window count once
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, shape)], b.schema.names)
 
         out = out.mapInArrow(matched, f"{fields}, leaks array<struct<item_id: bigint, start: int, n: int>>")

@@ -144,6 +144,31 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find_leaks(docs(rows), bench.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_verbatim_copies_match(spark, docs):
+    items = [
+        "Find the next: 2 4 8 16 32 64 128 256 512",
+        "What is the capital of France today",
+        "When the sun is low\nIts light is red in the sky\nMost of the blue is gone\nWhere did it go then",
+        "Ask Anna Berta Carl Dora Emil Franz Gustav who came",
+    ]
+    rows = [
+        (1, f"so {items[0]} end"),
+        (2, f"a list\n- {items[1]}?"),
+        (3, f'he said "stop." {items[1]}'),
+        (4, "they all asked What is the capital of Spain today"),
+        (5, "> " + items[2].replace("\n", "\n> ")),
+        (6, "and so " + items[2].replace("\n", " ")),
+        (7, items[3]),
+        (8, "so Find the next: 3 9 27 81 243 729 1 7 5 end"),
+        (9, "they all asked Where is the capital of France today"),
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.leaks for r in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert {k: sorted({x.item_id for x in v}) for k, v in got.items()} == {1: [0], 2: [1], 3: [1], 4: [1], 5: [2], 6: [2], 7: [3], 8: [], 9: []}
+    assert len(got[5]) == len(got[6]) == len(items[2].split()) - 12
+    assert all(len(set(v)) == len(v) for v in got.values())
+
+
 def test_slot_consistency():
     one = np.array([1, 2, 1])
     assert decontaminate.consistent(one, np.array([7, 8, 7]))
