@@ -14,8 +14,9 @@ own document. Documents are bytes in UTF-8; strings never cross documents.
    earlier elsewhere. Two independent hashes, 64 bits and the bucket's, stand for the window.
 4. The verdicts go back to the chunks, where the windows of such suffixes are merged to spans.
 
-A task holds one chunk or one bucket, whatever the corpus holds; a bucket's size is set by the totals and,
-as buckets are ranges of hashes, repeats of one passage make it larger only by their own fingerprints.
+A chunk asks once for each distinct fingerprint, at its first place in the chunk; later places in the chunk are
+repeats at once. So a task holds one chunk or one bucket, a bucket's size is set by the totals, and a window or
+sample adds one entry a chunk to its bucket at most, however often it occurs.
 
 Defined cases: a null or empty text has no bytes and loses none; a null doc_id comes before all others;
 rows with one doc_id and different texts go by the digest of the text; identical rows (doc_id and text) are
@@ -106,6 +107,27 @@ class Chunk:
         return span_hash(self.sums, at, at + self.window), mix((other[at + self.window] - other[at]) * powers(len(other))[1][at])
 
 
+    def firsts(self, at: np.ndarray, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows at these places: which are the first of their kind in the chunk; of each, its first one's number; whether it repeats it."""
+        ids = np.array([_FIRST if i is None else i for i in self.row["doc_ids"]], np.int64)
+        ties = np.array([int.from_bytes(d[:8], "little", signed=True) for d in self.row["digests"]], np.int64)
+        by_place = np.lexsort((ties, ids))
+        rank = np.zeros(len(ids), np.int64)
+        rank[by_place[1:]] = np.cumsum((np.diff(ids[by_place]) != 0) | (np.diff(ties[by_place]) != 0))
+        doc = np.searchsorted(self.starts, at, "right") - 1
+        order = np.argsort(rank[doc], kind="stable")
+        order = order[np.argsort(h[order], kind="stable")]
+        new = np.ones(len(at), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+        run, head, doc = np.cumsum(new) - 1, order[new], doc[order]
+        again = rank[doc] > rank[doc[new]][run]
+        again[1:] |= ~new[1:] & (doc[1:] == doc[:-1])
+        first = np.sort(head)
+        number, repeats = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        number[order], repeats[order] = np.searchsorted(first, head)[run], again
+        return first, number, repeats
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
@@ -125,24 +147,27 @@ def _bits(replies: list[dict] | None, starts: np.ndarray) -> np.ndarray:
 
 def _tied_samples(c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     at = c.samples()
-    order, _, starts = _by_bucket(_bucket(c.sample_hashes(at), buckets))
-    tied = np.zeros(len(at), bool)
+    h, number = np.unique(c.sample_hashes(at), return_inverse=True)
+    order, _, starts = _by_bucket(_bucket(h, buckets))
+    tied = np.zeros(len(h), bool)
     tied[order] = _bits(c.row["ranks"], starts)
-    return at, tied
+    return at, tied[number]
 
 
 def rank_samples(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Per chunk and bucket, a bit for each of the chunk's samples: tied or one of a kind; ties: how many are tied."""
+    """Per chunk and bucket, a bit for each of the chunk's distinct samples: tied or one of a kind; ties: how many places are tied."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, window)
-                h = c.sample_hashes(c.samples())
+                h, counts = np.unique(c.sample_hashes(c.samples()), return_counts=True)
                 order, there, starts = _by_bucket(_bucket(h, buckets))
                 keys = h[order].view(np.uint8).reshape(-1, 8)[:, :5]  # with the bucket's, bits enough
                 blobs = [keys[s:e].tobytes() for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row["chunk_id"]] * len(there), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk_id", "keys"])
+                counts = counts[order].astype("<u4")
+                places = [counts[s:e].tobytes() for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row["chunk_id"]] * len(there), pa.int64()), pa.array(blobs, pa.binary()), pa.array(places, pa.binary())], ["bucket", "chunk_id", "keys", "places"])
 
     def rank(t: pa.Table) -> pa.Table:
         sizes = [len(x.as_py()) // 5 for x in t["keys"]]
@@ -151,17 +176,18 @@ def rank_samples(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
         keys = keys.view("<u8").ravel()
         order = np.argsort(keys)
         same = np.concatenate([[False], keys[order[1:]] == keys[order[:-1]], [False]])
-        tied = np.zeros(len(keys), bool)
-        tied[order] = same[1:] | same[:-1]
-        parts = np.split(tied, np.cumsum(sizes)[:-1])
-        return pa.table({"bucket": t["bucket"], "chunk_id": t["chunk_id"], "answer": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary()), "ties": pa.array([int(x.sum()) for x in parts], pa.int64())})
+        places = np.frombuffer(b"".join(t["places"].to_pylist()), "<u4")
+        tied = places > 1
+        tied[order] |= same[1:] | same[:-1]
+        parts, own = (np.split(x, np.cumsum(sizes)[:-1]) for x in (tied, np.where(tied, places, 0)))
+        return pa.table({"bucket": t["bucket"], "chunk_id": t["chunk_id"], "answer": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary()), "ties": pa.array([int(x.sum(dtype=np.int64)) for x in own], pa.int64())})
 
-    asked = chunks.mapInArrow(ask, "bucket long, chunk_id long, keys binary")
+    asked = chunks.mapInArrow(ask, "bucket long, chunk_id long, keys binary, places binary")
     return answered(asked, rank, "bucket long, chunk_id long, answer binary, ties long", "ranks")
 
 
 def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets: int) -> DataFrame:
-    """Per chunk and bucket, a bit for each candidate suffix: whether its window also starts earlier."""
+    """Per chunk and bucket, a bit for each candidate suffix that is the first of its kind in the chunk: whether its window also starts earlier."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,6 +195,8 @@ def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets:
                 c = Chunk(row, window)
                 at = c.candidates(*_tied_samples(c, buckets))
                 h, other = c.window_hashes(at)
+                own = c.firsts(at, h, other)[0]
+                at, h, other = at[own], h[own], other[own]
                 order, there, starts = _by_bucket(_bucket(other, suffix_buckets))
                 h, doc = h[order], np.searchsorted(c.starts, at[order], "right") - 1
                 out = []
@@ -222,8 +250,12 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 2
             for row in b.to_pylist():
                 c = Chunk(row, window)
                 at = c.candidates(*_tied_samples(c, buckets))
-                order, _, starts = _by_bucket(_bucket(c.window_hashes(at)[1], suffix_buckets))
-                gone = at[order][_bits(row["verdicts"], starts)]
+                h, other = c.window_hashes(at)
+                own, number, repeats = c.firsts(at, h, other)
+                order, _, starts = _by_bucket(_bucket(other[own], suffix_buckets))
+                earlier = np.zeros(len(own), bool)
+                earlier[order] = _bits(row["verdicts"], starts)
+                gone = at[repeats | earlier[number]]
                 depth = np.zeros(len(c.data) + 1, np.int32)
                 np.add.at(depth, gone, 1)
                 np.add.at(depth, gone + window, -1)

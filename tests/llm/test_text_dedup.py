@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from momentlake.llm import line_dedup, near_dedup, suffix_dedup
 from momentlake.llm._words import buffers, prefix_sums, span_hash, word_spans, words
@@ -57,6 +58,24 @@ def test_suffix_dedup(docs, corpus):
     assert suffix_dedup.remove_repeats(docs(rows).limit(0)).count() == 0
 
 
+def test_hot_windows_are_asked_once_a_chunk(docs, monkeypatch):
+    rows = [(i, "ha " * (400 + i) + f"end {i % 3} " * 20) for i in range(6)] + [(2, "ha " * 402 + "end 2 " * 20), (9, "-" * 3000)]
+    sizes, answered = [], suffix_dedup.answered
+
+    def spied(questions, answer, schema, name):
+        column = "keys" if name == "ranks" else "windows"
+        sizes.append((questions.select(F.sum(F.octet_length(column) / (5 if name == "ranks" else 8))).first()[0], questions.select("chunk_id").distinct().count()))
+        return answered(questions, answer, schema, name)
+
+    monkeypatch.setattr(suffix_dedup, "answered", spied)
+    got = suffix_dedup.remove_repeats(docs(rows), chunk_bytes=4000, bucket_rows=500).collect()
+    want = _substring_oracle(rows, 100)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, sum(x.end - x.start for x in r.removed), bytes(r.kept)) == want[(r.doc_id, dict(rows)[r.doc_id])]
+    assert len(sizes) == 2 and all(n <= 400 * chunks for n, chunks in sizes)  # "ha " has three windows, whatever its length
+
+
 def test_near_dedup(docs, corpus):
     for size, block in ((2, 2048), (5, 3)):
         sets, parent = {}, {}
