@@ -128,13 +128,18 @@ def _matrix(column: pa.ListArray, n: int) -> np.ndarray:
 
 
 def _top(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows of x, ties to smaller ids."""
+    """Places and distances of the k nearest ids, each by its nearest row of x, ties to smaller ids."""
     d = np.sqrt(((x - q) ** 2).sum(1))
     d[ids == own] = np.inf
-    near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k else np.arange(len(d))
-    near = near[np.isfinite(d[near])]
-    near = near[np.lexsort((ids[near], d[near]))][:k]
-    return near, d[near]
+    n = k
+    while True:  # more rows until k ids are among them
+        near = np.flatnonzero(d <= np.partition(d, n)[n]) if len(d) > n else np.arange(len(d))
+        near = near[np.isfinite(d[near])]
+        near = near[np.lexsort((ids[near], d[near]))]
+        near = near[np.sort(np.unique(ids[near], return_index=True)[1])]
+        if len(near) >= k or len(d) <= n:
+            return near[:k], d[near[:k]]
+        n *= 4
 
 
 def _exact(index: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
@@ -152,6 +157,7 @@ def _exact(index: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[place]), pa.array(leaf[place]), pa.array(d)], ["query", "vec_id", "leaf", "score"])
 
     rows = index.mapInArrow(nearest, "query long, vec_id long, leaf int, score double")
+    rows = rows.groupBy("query", "vec_id").agg(F.min(F.struct("score", "leaf")).alias("nearest")).select("query", "vec_id", "nearest.*")
     first = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))
     return rows.withColumn("rank", first).filter(F.col("rank") <= k).select("query", "leaf")
 

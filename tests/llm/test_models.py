@@ -237,3 +237,16 @@ def test_ann(spark):
     few = ann.nearest_neighbours(df.filter("vec_id < 320 and vec_id >= 317"), F.col("vec_id") == 318, k=10).collect()
     assert sorted(r.vec_id for r in few) == [317, 319]
     assert ann.nearest_neighbours(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_ann_counts_a_repeated_id_once(spark):
+    x = np.random.default_rng(6).normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest_neighbours(df, F.col("vec_id") < 3, k=10, leaf_rows=10_000).collect()
+    for q in range(3):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.argsort(d)[:10].tolist()
+    place, _ = ann._top(x[0], 0, np.repeat(x, 12, 0), np.repeat(np.arange(60), 12), 10)
+    assert len(set((place // 12).tolist())) == 10
