@@ -41,14 +41,14 @@ def unescape(text: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):  # noqa: ANN201
-    """The byte-level BPE of a .tiktoken ranks file."""
+def encoding(path: str, special: tuple[tuple[str, int], ...] = ()):  # noqa: ANN201
+    """The byte-level BPE of a .tiktoken ranks file, with special tokens (text, id)."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def default_ranks() -> str:
@@ -152,20 +152,38 @@ def format_chat(turns: DataFrame, ranks: str | None = None) -> DataFrame:
             yield flush()
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(assemble, "conv_id long, chunk long, n_turns long, formatted string, ids array<int>, loss_mask array<tinyint>")
+    keys = ["conv_id", "turn", F.left("role", F.lit(64)), F.left("text", F.lit(64))]  # ranges of these are ranges of the whole order
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*order).mapInArrow(assemble, "conv_id long, chunk long, n_turns long, formatted string, ids array<int>, loss_mask array<tinyint>")
+
+
+def read_chunks(formatted: DataFrame, ranks: str | None = None) -> DataFrame:
+    """conv_id, chunk, n_turns, turns (role, newline, text, newline of each), loss (the texts under the mask), loss_chars, formatted_chars of format_chat()'s chunks, from ids and masks."""
+    ranks = ranks or default_ranks()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = Template(ranks)
+        for b in batches:
+            for c, chunk, ids, mask in zip(b["conv_id"], b["chunk"], b["ids"], b["loss_mask"], strict=True):
+                turns = list(template.read(ids.values.to_numpy(), mask.values.to_numpy()))
+                loss = "".join(x for _, _, texts, _ in turns for x in texts)
+                yield pa.RecordBatch.from_pydict({
+                    "conv_id": pa.array([c.as_py()], pa.int64()), "chunk": [chunk.as_py()], "n_turns": [len(turns)], "turns": ["".join(f"{role}\n{text}\n" for role, text, _, _ in turns).encode()],
+                    "loss": [loss.encode()], "loss_chars": [len(loss)], "formatted_chars": [sum(t[3] for t in turns)],
+                })
+
+    return formatted.select("conv_id", "chunk", "ids", "loss_mask").mapInArrow(read, "conv_id long, chunk long, n_turns long, turns binary, loss binary, loss_chars long, formatted_chars long")
 
 
 def read_back(formatted: DataFrame, ranks: str | None = None) -> DataFrame:
     """Per conversation of format_chat()'s ids and masks: counts and digests of its turns and of the text under the mask.
 
-    The digests are sequential by nature, so a conversation's chunks pass one task in order; the task holds one chunk at a time.
+    Chunks are decoded where they are. The digests are sequential by nature: a conversation's decoded chunks stream
+    through one task in order, which only hashes them and holds one chunk at a time.
     """
     import hashlib
 
-    ranks = ranks or default_ranks()
-
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        template, conv, state = Template(ranks), None, None
+        conv, state = None, None
 
         def row() -> dict:
             return {"conv_id": conv, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
@@ -173,22 +191,20 @@ def read_back(formatted: DataFrame, ranks: str | None = None) -> DataFrame:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         for b in batches:
             done = []
-            for c, ids, mask in zip(b["conv_id"].to_pylist(), b["ids"], b["loss_mask"], strict=True):
-                if state is None or c != conv:
+            for c, n, turns, loss, loss_chars, chars in zip(*(b[x] for x in ("conv_id", "n_turns", "turns", "loss", "loss_chars", "formatted_chars")), strict=True):
+                if state is None or c.as_py() != conv:
                     if state is not None:
                         done.append(row())
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, loss, chars in template.read(ids.values.to_numpy(), mask.values.to_numpy()):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                    for x in loss:
-                        state[2] += len(x)
-                        state[3].update(x.encode())
-                    state[4] += chars
+                    conv, state = c.as_py(), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += n.as_py()
+                state[1].update(turns.as_buffer())
+                state[2] += loss_chars.as_py()
+                state[3].update(loss.as_buffer())
+                state[4] += chars.as_py()
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
         if state is not None:
             yield pa.RecordBatch.from_pylist([row()], schema)
 
-    rows = formatted.select("conv_id", "chunk", "ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+    rows = read_chunks(formatted, ranks).repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
     return rows.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
