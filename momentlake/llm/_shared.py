@@ -37,11 +37,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """Writes df as a table bucketed by key, so that joins by that key do not move it again."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
-    return df.sparkSession.table(table)
+def bucketed(df: DataFrame, name: str, key: str, text_bytes: int, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """Writes df to the shared folder, bucketed by key, so that joins by that key do not move it again.
+
+    Buckets hold about bucket_bytes of the text_bytes that df was made from, and are as many as shuffle partitions at least.
+    The catalog's entry goes at once; the files stay in the shared folder.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // bucket_bytes))
+    df.write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of UTF-8 in the column text."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column is called so, letter case ignored."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"  # noqa: PLW2901
+        out.append(name)
+    return out
 
 
 def crc_mod(col: Column, n: int) -> Column:

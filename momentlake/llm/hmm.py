@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.llm._exchange import answered, cuts, expand, squeeze, with_answers
-from momentlake.llm._shared import bucketed, stage, text_slices
+from momentlake.llm._shared import bucketed, stage, text_bytes, text_slices
 from momentlake.llm._words import U, buffers, lowered, prefix_sums, span_hash, word_spans
 
 SHAPES, CUT = 192, 256
@@ -259,7 +259,7 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int) -> Model:
 def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds: int = 6, top: int = 4000, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text); held_out: documents not learned from."""
     spark = docs.sparkSession
-    chunks = bucketed(tokenized(docs, held_out, chunk_bytes), "tokens", "chunk_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = bucketed(tokenized(docs, held_out, chunk_bytes), "tokens", "chunk_id", text_bytes(docs))
     counts = count_words(chunks, top)
     v = vocabulary(counts, top)
     encoded = stage(encode(chunks, counts, v), "encoded")

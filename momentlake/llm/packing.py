@@ -9,8 +9,11 @@ packed again, until one group holds the rest. A group has the tokens of eight se
 round gives up at most nine sixteenths of its tokens and the rounds end, whatever the lengths are. No piece and no
 text passes the driver; it sees counts alone.
 
+Ids are those of the vocabulary's tokenizers file: the text of its special token, wherever it occurs, is that one id.
+
 Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed as they come,
-each with all its pieces; an empty table gives no rows.
+each with all its pieces; an empty table gives no rows; columns of pieces called sequence_id or offset are replaced,
+all others stay whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.llm._shared import stage
+from momentlake.llm._shared import stage, unused
 from momentlake.llm.chat import default_ranks, encoding
 
+SPECIAL = (("<|endoftext|>", 50256),)  # fixed value: the special token of the vocabulary and its id
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,17 +41,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenize(docs: DataFrame, capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """Pieces of doc_id and text of docs; with_ids adds their token ids."""
-    ranks = ranks or default_ranks()
+    ranks, known = ranks or default_ranks(), {x for x, _ in special}
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks)
+        enc = encoding(ranks, special)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out: list[list] = [[] for _ in range(5 + with_ids)]
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True):
-                    ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], "<u4")
+                    ids = np.array([*enc.encode(text.as_py() or "", allowed_special=known), end_id], "<u4")
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
                         for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32)), strict=False):
@@ -102,23 +106,25 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 8192) -> DataFrame:
     """Adds sequence_id and offset to the rows of pieces, which need a column length of 1 to capacity."""
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.drop("sequence_id", "offset"), "pieces")
     columns = pieces.columns
+    out = unused(columns, "out")[0]
     full = pieces.filter(F.col("length") >= capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, turn = pieces.filter(F.col("length") < capacity), [full], 0
     while True:
         rows, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         groups = max(1, min(math.ceil(rows / group_rows), tokens // (8 * capacity)))
-        result = stage(_packed(rest, groups, turn, capacity), "packed")
-        done.append(result.filter(~F.col("_out")).drop("_out"))
+        result = stage(_packed(rest, groups, turn, capacity, out), "packed")
+        done.append(result.filter(~F.col(out)).drop(out))
         if groups == 1:
             break
-        rest, turn = result.filter("_out").select(*columns), turn + 1
+        rest, turn = result.filter(out).select(*columns), turn + 1
     return reduce(DataFrame.unionByName, done)
 
 
-def _packed(rest: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
-    """One round: rows of rest with sequence_id, offset and _out, true for those that are given up."""
+def _packed(rest: DataFrame, groups: int, turn: int, capacity: int, given_up: str) -> DataFrame:
+    """One round: rows of rest with sequence_id, offset and a column given_up, true for those that are given up."""
+    name = unused([*rest.columns, given_up], "group")[0]
 
     def packed(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
@@ -129,14 +135,14 @@ def _packed(rest: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame
         out = np.zeros(n, bool)
         if groups > 1:
             out[emptiest[: min(n // 2, 8 * gap)] if gap else emptiest[:1][fill[emptiest[:1]] < capacity // 2]] = True
-        group = table["_group"][0].as_py()
+        group = table[name][0].as_py()
         return (
-            table.drop_columns(["_group"])
+            table.drop_columns([name])
             .append_column("sequence_id", pa.array((turn << 54) + (group << 24) + bins))
             .append_column("offset", pa.array(offsets))
-            .append_column("_out", pa.array(out[bins]))
+            .append_column(given_up, pa.array(out[bins]))
         )
 
-    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
+    dealt = rest.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return dealt.groupBy("_group").applyInArrow(packed, f"{fields}, sequence_id long, offset long, _out boolean")
+    return dealt.groupBy(name).applyInArrow(packed, f"{fields}, sequence_id long, offset long, `{given_up}` boolean")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.llm._exchange import answered, expand, squeeze, with_answers
-from momentlake.llm._shared import bucketed, text_slices
+from momentlake.llm._shared import bucketed, text_bytes, text_slices
 from momentlake.llm._words import U, buffers, mix, powers, prefix_sums, span_hash
 
 PERIOD = 57
@@ -234,8 +234,7 @@ def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets:
 
 def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 20, bucket_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, removed: array of (start, end) in bytes, kept: the bytes that stay, for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    chunks = bucketed(pack(docs, chunk_bytes), "chunks", "chunk_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = bucketed(pack(docs, chunk_bytes), "chunks", "chunk_id", text_bytes(docs))
     size = chunks.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-size * len(COVER) // (PERIOD * bucket_rows)))
     known = chunks.join(copies(chunks.drop("data"), window), "chunk_id", "left")

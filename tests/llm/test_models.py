@@ -13,7 +13,7 @@ from momentlake.llm import ann, decontaminate, hmm, packing, toxicity
 
 
 def test_packing(docs, corpus):
-    rows = corpus
+    rows = [*corpus, (600, "one<|endoftext|> two  <|endoftext|>\n three <|endoftext"), (601, "<|endoftext|>")]
     pieces = packing.tokenize(docs(rows), capacity=64, with_ids=True).collect()
     by = {}
     for r in sorted(pieces, key=lambda r: r.piece):
@@ -22,7 +22,6 @@ def test_packing(docs, corpus):
     import public_tokenizers
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     for i, text in dict(rows).items():
         if i is None or [r[0] for r in rows].count(i) > 1:
             continue
@@ -45,6 +44,9 @@ def test_packing(docs, corpus):
     lengths = np.array([r.length for r in out])
     assert packing.lower_bound(lengths, 64) <= len(bins) <= packing.lower_bound(lengths, 64) + 3
     assert packing.pack(packing.tokenize(docs([]))).count() == 0
+    clash = packing.tokenize(docs(rows), capacity=64).withColumns({c: F.lit("mine") for c in ("group", "out", "_out", "offset", "GROUP_")})
+    again = packing.pack(clash, capacity=64, group_rows=20).collect()
+    assert len(again) == len(out) and all((r.group, r.out, r["_out"], r["GROUP_"]) == ("mine",) * 4 and r.offset < 64 for r in again)
 
 
 def test_lower_bound_holds():
@@ -77,6 +79,8 @@ def test_packing_ends_where_gaps_stay(spark):
             assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
         return len(bins)
 
+    mix = [1028] * 180 + [520] * 180 + [516] * 180 + [504] * 360
+    assert packed(mix, 200) <= 1.02 * packing.best_fit_decreasing(np.array(mix), 2048)[2] + 3
     thirds = [(834, 738, 651)[i % 3] for i in range(600)]
     alone = packing.best_fit_decreasing(np.array(thirds), 2048)[2]
     assert packed(thirds, 60) <= 1.02 * alone + 3
