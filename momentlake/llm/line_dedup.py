@@ -5,7 +5,8 @@ first, by doc_id and position, stays, and the lines under all later ones go, ove
 
 Defined cases: a null text stays null with no lines; texts of fewer lines than a window, and windows of
 blank lines only, never match; rows with one doc_id and different texts count as different documents, in
-the order of their text's hash; identical rows get identical results and do not remove one another.
+the order of their text's hash; identical rows get identical results and do not remove one another; other
+columns stay whatever their names are, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentlake.llm._shared import unused
+
 
 def _windows(lines: Column, size: int) -> Column:
     def at(i: Column) -> Column:
@@ -30,27 +33,28 @@ def _windows(lines: Column, size: int) -> Column:
 def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     """doc_id, text and any further columns of docs, with text cut; adds n_lines and n_removed (long), replacing columns so named."""
     docs = docs.drop("n_lines", "n_removed")
-    rows = docs.withColumn("_th", F.xxhash64("text")).withColumn("_lines", F.split("text", "\n", -1))
+    th, cut, id_, h, places, left = unused(docs.columns, "text_hash", "lines", "id", "h", "places", "left")
+    rows = docs.withColumn(th, F.xxhash64("text")).withColumn(cut, F.split("text", "\n", -1))
     windows = (
-        rows.select("doc_id", "_th", F.explode(_windows(F.col("_lines"), window)).alias("w"))
-        .select("doc_id", "_th", "w.pos", "w.h1", "w.h2")
+        rows.select("doc_id", th, F.explode(_windows(F.col(cut), window)).alias("w"))
+        .select("doc_id", th, "w.pos", "w.h1", "w.h2")
         .filter("h1 is not null")
     )
-    at = F.struct("doc_id", "_th", "pos")
+    at = F.struct("doc_id", th, "pos")
     firsts = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = windows.join(firsts, ["h1", "h2"]).filter(at > F.col("first"))
-    covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).agg(F.collect_set("pos").alias("_pos"))
-    joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
-    gone = F.flatten(F.transform("_pos", lambda p: F.sequence(p, p + window - 1)))
-    kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), gone)
+    covered = later.groupBy(F.col("doc_id").alias(id_), F.col(th).alias(h)).agg(F.collect_set("pos").alias(places))
+    joined = rows.join(covered, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(h)), "left")
+    gone = F.flatten(F.transform(places, lambda p: F.sequence(p, p + window - 1)))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(cut)), gone)
     return (
-        joined.withColumn("_kept", F.when(F.col("_pos").isNotNull(), kept))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
+        joined.withColumn(left, F.when(F.col(places).isNotNull(), kept))
+        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long"))
+        .withColumn("n_removed", F.when(F.col(left).isNull(), 0).otherwise(F.col("n_lines") - F.size(left)).cast("long"))
         .withColumn(
             "text",
-            F.when(F.col("_kept").isNull(), F.col("text")).otherwise(
-                F.array_join(F.transform("_kept", lambda i: F.element_at("_lines", i)), "\n")
+            F.when(F.col(left).isNull(), F.col("text")).otherwise(
+                F.array_join(F.transform(left, lambda i: F.element_at(cut, i)), "\n")
             ),
         )
         .select(*docs.columns, "n_lines", "n_removed")

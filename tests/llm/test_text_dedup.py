@@ -132,3 +132,12 @@ def test_line_dedup(docs):
     assert got[4] == [("", 6, 6)]
     assert len(got[2]) == 3
     assert line_dedup.dedup_lines(docs([])).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name_and_long_texts(docs):
+    long = "\n".join(f"line {i % 5000}" for i in range(20_000))
+    rows = docs([(1, long), (2, "a\nb\nc"), (3, "x\na\nb\nc")])
+    names = ("text_hash", "lines", "id", "h", "places", "left", "n_lines", "pos")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(rows.withColumns({c: F.lit("mine") for c in names})).collect()}
+    assert all(r[c] == "mine" for r in got.values() for c in names if c != "n_lines")
+    assert (got[1].n_lines, got[1].n_removed, got[3].text) == (20_000, 15_000, "x")
