@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -76,37 +77,65 @@ def test_hot_windows_are_asked_once_a_chunk(docs, monkeypatch):
     assert len(sizes) == 2 and all(n <= 400 * chunks for n, chunks in sizes)  # "ha " has three windows, whatever its length
 
 
+def _near_oracle(rows, size):
+    """Sets by doc_id, and the least doc_id that each reaches over links of sets; all sets of a doc_id are one document's."""
+    sets, parent = defaultdict(set), {}
+    for i, t in rows:
+        w = _split(t)
+        if i is not None:
+            sets[i].add(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+            parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b] if x & y):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
 def test_near_dedup(docs, corpus):
-    for size, block in ((2, 2048), (5, 3)):
-        sets, parent = {}, {}
-        for i, t in corpus:
-            w = _split(t)
-            s = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
-            if i is not None:
-                sets[i], parent[i] = s, i
-
-        def find(x, parent=parent):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        ids = sorted(sets)
-        for a in ids:
-            for b in ids:
-                n = len(sets[a] & sets[b])
-                if a < b and n and 100 * n >= 80 * len(sets[a] | sets[b]):
-                    x, y = sorted((find(a), find(b)))
-                    parent[y] = x
-        got = near_dedup.near_duplicates(docs(corpus), size=size, block=block).collect()
-        assert len(got) == len(corpus)
+    repeated = [(900, corpus[1][1]), (900, corpus[9][1]), (901, "own words " + corpus[3][1][:40]), (901, None), (902, corpus[1][1]), (902, ""), (903, ""), (903, None)]
+    for size, block, rows in ((2, 2048, corpus), (5, 3, corpus), (2, 3, [*corpus, *repeated])):
+        want = _near_oracle(rows, size)
+        got = near_dedup.near_duplicates(docs(rows), size=size, block=block, bucket=block).collect()
+        assert len(got) == len(rows)
         for r in got:
             if r.doc_id is None:
                 assert r.component_id is None and r.kept
             else:
-                assert (r.component_id, r.n_shingles, r.kept) == (find(r.doc_id), len(sets[r.doc_id]), r.doc_id == find(r.doc_id)), r
+                assert (r.component_id, r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id]), r
+        n = sorted((len(w) - size + 1 if len(w) >= size else min(1, len(w))) for w in (_split(t) for _, t in rows))
+        assert all(r.n_shingles <= max(n) for r in got)
+    sizes = {r.doc_id: r.n_shingles for r in near_dedup.near_duplicates(docs(corpus), size=2).collect()}
+    for i, t in corpus:
+        w = _split(t)
+        assert sizes[i] == (len({tuple(w[k : k + 2]) for k in range(len(w) - 1)}) if len(w) > 1 else len(w)) or i is None
     assert near_dedup.near_duplicates(docs([])).count() == 0
 
 
+def test_near_dedup_of_a_family_of_many_unlinked_nodes(docs):
+    """Texts around a common core: many share band keys and few are links; some form chains."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    core = rng.sample(words, 70)
+    rows = [(i, " ".join([*core, *rng.sample(words, 30)])) for i in range(60)]
+    chain = rng.sample(words, 100)
+    for i in range(40):
+        rows.append((1000 - i, " ".join(chain)))
+        chain[rng.randrange(100)] = f"new{i}"
+    want = _near_oracle(rows, 2)
+    assert len(set(want.values())) > 5
+    got = near_dedup.near_duplicates(docs(rows), size=2, block=8, bucket=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
