@@ -12,11 +12,18 @@ Each window is read in three ways, each with its own hash: as it stands; with al
 where those that open a sentence on either side must be equal; and word for word. So a copy matches whatever
 stands before it, however its lines are broken and however few plain words it has.
 
+Items of under `least` tokens, and items none of whose windows has plain words for half of its tokens, match
+as a whole too: as templates (with two plain words at least) or word for word, where they stand as sentences of
+their own. So "What is 12 + 35 - 7?" is found again with other numbers, and a phrase of two words does not mark
+every text that uses it.
+
 The benchmark's windows go to the tasks as sorted arrays of at most `bound` windows; a larger benchmark is
-taken in several passes, each within the bound. Documents are never shuffled.
+taken in several passes, each within the bound and written as a table before the next one. Documents are never
+shuffled. Of items that share a window (its template and which of its slots are equal), the least item_id stands
+for all.
 
-Defined cases: null or empty texts match nothing; items of under `least` tokens match nothing; windows less
-than half of which are plain words match word for word only; repeated rows are judged each on its own.
+Defined cases: null or empty texts match nothing, nor do items of one token; windows less than half of which
+are plain words match word for word only, but for whole items as above; repeated rows are judged each on its own.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.llm._shared import text_slices
+from momentlake.llm._shared import stage, text_slices
 from momentlake.llm._words import U, buffers, mix, powers, prefix_sums, span_hash, word_spans
 
 UNITS = (
@@ -38,6 +45,7 @@ UNITS = (
 ).split()
 WORD, NUMBER, UNIT, NAME = range(4)
 TEMPLATE, NAMES, EXACT = range(3)  # readings of a window
+WHOLE = 3  # added to a reading: the window is an item that stands as sentences of its own
 _CORE = np.zeros(256, bool)
 _CORE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]*_", np.uint8))
@@ -105,6 +113,7 @@ class Templates:
             known[0] = False
             kind[known] = UNIT
         self.row, self.value = row, value
+        self.first, self.last = opens, np.append(opens[1:], True)[: len(opens)]
         names = np.where(capital & (kind == WORD), NAME, kind).astype(np.int8)
         self.opens = names != kind
         self.kinds = (kind, names, np.full(len(kind), WORD, np.int8))
@@ -115,19 +124,41 @@ class Templates:
         self._capitals = np.concatenate([[0], np.cumsum(names == NAME)])
 
     def windows(self, n: int, reading: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of n tokens that lies in one row and has enough plain words for the reading."""
+        """First token and hash of each window of n tokens that lies in one row and that the reading allows."""
         at = np.arange(max(0, len(self.row) - n + 1))
-        sums, words = self._sums[reading], self._words[reading]
-        right = (self.row[at] == self.row[at + n - 1]) & (2 * (words[at + n] - words[at]) >= n)
-        if reading == NAMES:  # without capitalised words it is the template
+        sums, words = self._sums[reading % WHOLE], self._words[reading % WHOLE]
+        plain = words[at + n] - words[at]
+        right = self.row[at] == self.row[at + n - 1]
+        if reading >= WHOLE:
+            right &= self.first[at] & self.last[at + n - 1] & (plain >= 2)
+        else:
+            right &= 2 * plain >= n
+        if reading % WHOLE == NAMES:  # without capitalised words it is the template
             right &= self._capitals[at + n] > self._capitals[at]
         at = at[right]
         return at, mix((sums[at + n] - sums[at]) * powers(len(sums))[1][at] + U(n))
 
     def slots(self, at: int, n: int, reading: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
         """Values of the slots, and which of them are capitalised words that open a sentence."""
-        slot = np.flatnonzero(self.kinds[reading][at : at + n] != WORD) + at
-        return self.value[slot], self.opens[slot] if reading == NAMES else np.zeros(len(slot), bool)
+        slot = np.flatnonzero(self.kinds[reading % WHOLE][at : at + n] != WORD) + at
+        return self.value[slot], self.opens[slot] if reading % WHOLE == NAMES else np.zeros(len(slot), bool)
+
+    def item_windows(self, window: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+        """Size, reading, first token and hash of the windows by which each row, as an item, is found."""
+        sizes = np.diff(self.bounds)
+        plain = np.zeros(len(sizes), bool)  # has a template window
+        for n in np.unique(np.minimum(sizes, window)).tolist():
+            for reading in (TEMPLATE, NAMES, EXACT) if n >= least else ():
+                at, hashes = self.windows(n, reading)
+                own = np.minimum(sizes[self.row[at]], window) == n
+                plain[self.row[at[own]]] |= reading != EXACT
+                yield from ((n, reading, k, h) for k, h in zip(at[own].tolist(), hashes[own].view(np.int64).tolist(), strict=True))
+        whole = ~plain & (sizes >= 2)
+        for n in np.unique(sizes[whole]).tolist():
+            for reading in (TEMPLATE, NAMES, EXACT) if n < least else (TEMPLATE, NAMES):
+                at, hashes = self.windows(n, reading + WHOLE)
+                own = whole[self.row[at]] & (sizes[self.row[at]] == n)
+                yield from ((n, reading + WHOLE, k, h) for k, h in zip(at[own].tolist(), hashes[own].view(np.int64).tolist(), strict=True))
 
 
 def consistent(one: np.ndarray, two: np.ndarray) -> bool:
@@ -136,27 +167,28 @@ def consistent(one: np.ndarray, two: np.ndarray) -> bool:
     return len(pairs) == len(set(one.tolist())) == len(set(two.tolist()))
 
 
+def _pattern(values: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal values, in order of appearance: all that counts for consistency."""
+    first, inverse = np.unique(values, return_index=True, return_inverse=True)[1:]
+    return first[inverse]
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """reading, hash, n, item_id, slots, opens of each window of benchmark (item_id, text)."""
+    """reading, hash, n, slots, opens, item_id (the least that has it) of each window of benchmark (item_id, text)."""
     shape = pa.schema([("reading", pa.int32()), ("hash", pa.int64()), ("n", pa.int32()), ("item_id", pa.int64()), ("slots", pa.list_(pa.int64())), ("opens", pa.list_(pa.bool_()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             t, out = Templates(b["text"]), []
-            sizes = np.diff(t.bounds)
-            for n in np.unique(np.minimum(sizes, window)).tolist():
-                if n < least:
-                    continue
-                for reading in (TEMPLATE, NAMES, EXACT):
-                    at, hashes = t.windows(n, reading)
-                    right = np.minimum(sizes[t.row[at]], window) == n
-                    for k, h in zip(at[right].tolist(), hashes[right].view(np.int64).tolist(), strict=True):
-                        slots, opens = t.slots(k, n, reading)
-                        out.append({"reading": reading, "hash": h, "n": n, "item_id": b["item_id"][int(t.row[k])].as_py(), "slots": slots.view(np.int64), "opens": opens})
+            for n, reading, k, h in t.item_windows(window, least):
+                slots, opens = t.slots(k, n, reading)
+                slots = slots.view(np.int64) if opens.any() else _pattern(slots)
+                out.append({"reading": reading, "hash": h, "n": n, "item_id": b["item_id"][int(t.row[k])].as_py(), "slots": slots, "opens": opens})
             yield pa.RecordBatch.from_pylist(out, shape)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(cut, "reading int, hash long, n int, item_id long, slots array<long>, opens array<boolean>").dropDuplicates()
+    each = items.mapInArrow(cut, "reading int, hash long, n int, item_id long, slots array<long>, opens array<boolean>")
+    return each.groupBy("reading", "hash", "n", "slots", "opens").agg(F.min("item_id").alias("item_id"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 6, bound: int = 1_000_000) -> DataFrame:
@@ -164,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: i
     docs = docs.drop("leaks")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
-    windows = benchmark_windows(benchmark, window, least)
+    windows = stage(benchmark_windows(benchmark, window, least), "windows")
     passes = max(1, -(-windows.count() // bound))
     out = docs.withColumn("leaks", F.array().cast("array<struct<item_id: bigint, start: int, n: int>>"))
     for k in range(passes):
@@ -201,4 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: i
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, shape)], b.schema.names)
 
         out = out.mapInArrow(matched, f"{fields}, leaks array<struct<item_id: bigint, start: int, n: int>>")
+        if passes > 1:  # so that no task holds two passes' windows
+            out = stage(out, "leaks")
+            held.unpersist()
     return out
