@@ -2,14 +2,17 @@
 
 Terms are words (runs of letters, lower-cased) and their prefixes of 4, 5 and 6 bytes, hashed to 2**bits
 buckets; a document is the set of its buckets. The machine sees the buckets that tell the classes apart best
-in the training rows and the most frequent ones (`features` in all); its linear weights add up and its
+in the training rows (half of `features`) and the most frequent ones (an eighth); few of them, as more overfit: on
+held-out rows of tables with 305 and 2,990 training labels, 1,024 gave an AUC of 0.93 and 0.99, 8,192 one of 0.63
+and 0.98. Its linear weights add up and its
 factors learn pairs, such as an insult next to the mention of a group.
 
 The model is fitted on at most `max_rows` labelled rows (the first by a hash of doc_id), a documented bound:
-those rows alone reach the driver, as sets of selected buckets. Every row is scored, on its whole text.
+those rows alone reach the driver, as sets of selected buckets; of rows that repeat a doc_id, the one with the
+least text by its hash is learned from, so that repeats do not multiply the bound. Every row is scored, on its whole text.
 
-Defined cases: a null or empty text scores by the bias alone; repeated ids or labels count as often as they
-occur; null labels are left out; without any usable label all scores are 0.
+Defined cases: a null or empty text scores by the bias alone; repeated labels of one doc_id count as often as
+they occur; null labels are left out; without any usable label all scores are 0.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def fit_machine(sets: list[np.ndarray], y: np.ndarray, place: np.ndarray, featur
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: int = 8192) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: int = 1024) -> Machine | None:
     """Fits on the rows of labels (doc_id, toxic) that have a document (doc_id, text); at most max_rows of them."""
     sample = labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
 
@@ -108,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features:
             yield pa.RecordBatch.from_arrays([b["y"], pa.ListArray.from_arrays(offsets, pa.array(buckets.astype(np.int32)))], ["y", "buckets"])
 
     # the sample has max_rows rows of 12 bytes at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(sets, "y int, buckets array<int>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))  # max_rows at most
+    rows = rows.join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(sets, "y int, buckets array<int>")
     rows = stage(rows, "terms")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from momentlake.llm._words import U, prefix_sums, span_hash
 from momentlake.llm import ann, decontaminate, hmm, packing, toxicity
 
 
@@ -126,6 +128,33 @@ def test_machine_learns_a_pair():
     assert s[0] > 0 > max(s[1:])
 
 
+def test_scores_against_brute_force(spark, docs):
+    rows, labels = _toxic_rows(300)
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs(rows), y)
+    for r in toxicity.score(docs([*rows[:20], (800, None), (801, "é fool! FOOLa")]), model).collect():
+        terms = set()
+        for w in re.findall(rb"[a-z\x80-\xff]+", (r.text or "").encode().lower()):
+            terms |= {w, *((n, w[:n]) for n in toxicity.PREFIXES if len(w) >= n)}
+        f = set()
+        for t in terms:
+            word = t if isinstance(t, bytes) else t[1]
+            h = span_hash(prefix_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))
+            h = h if isinstance(t, bytes) else h * U(2 * t[0] + 1)
+            f.add(int(model.place[int(h[0] >> U(64 - toxicity.BITS))]))
+        f = sorted(f - {-1})
+        logit = model.w0 + sum(model.w[i] for i in f) + sum(model.v[i] @ model.v[j] for a, i in enumerate(f) for j in f[a + 1 :])
+        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_few_labels_are_enough(spark, docs):
+    rows, labels = _toxic_rows(120)
+    held = F.col("doc_id") % 4 == 2
+    out = toxicity.score_toxicity(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), held).collect()
+    toxic = {i for i, t in labels if t and i % 4 == 2}
+    assert len(toxic & {r.doc_id for r in out if r.predicted}) >= 0.8 * len(toxic)
+
+
 def test_terms_do_not_cross_texts():
     rows, _ = toxicity.term_sets(pa.array(["abcd", "abcd efgh", None, ""]))
     assert np.bincount(rows, minlength=4).tolist() == [2, 4, 0, 0]
@@ -173,6 +202,58 @@ def test_verbatim_copies_match(spark, docs):
     assert all(len(set(v)) == len(v) for v in got.values())
 
 
+def test_short_and_slot_heavy_items_match_as_whole_sentences(spark, docs):
+    items = [(0, "What is 12 + 35 - 7?"), (1, "What is 10 + 20 - 10?"), (2, "Sum up 1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (3, "Yes"), (4, "too short"), (5, "What is 12 + 35 - 7?")]
+    rows = [
+        (1, "It rains. What is 12 + 35 - 7? Tell me"),
+        (2, "It rains. What is 81 + 44 - 9? Tell me"),
+        (3, "It rains. What is 81 + 44 - 81?"),
+        (4, "He knows what is 81 + 44 - 9 of it"),
+        (5, "Sum up 9 8 7 6 5 4 3 2 1 0 21 22 23 24"),
+        (6, "Sum up 9 9 7 6 5 4 3 2 1 0 21 22 23 24"),
+        (7, "this is too short to read. Yes. Yes"),
+        (8, "Well!\ntoo short\nand so on"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    for bound in (1_000_000, 2):
+        got = {r.doc_id: sorted({x.item_id for x in r.leaks}) for r in decontaminate.find_leaks(docs(rows), bench, bound=bound).collect()}
+        assert got == {1: [0], 2: [0], 3: [1], 4: [], 5: [2], 6: [], 7: [], 8: [4]}
+
+
+def _plain_windows(text, n):
+    """Template windows of a text of ASCII words, read by hand: plain words, numbers and their slots."""
+    tokens = re.findall(r"[A-Za-z0-9]+", text.lower())
+    template = ["<n>" if t[0].isdigit() else t for t in tokens]
+    return [(tuple(template[i : i + n]), [t for t in tokens[i : i + n] if t[0].isdigit()], tuple(tokens[i : i + n])) for i in range(len(tokens) - n + 1)]
+
+
+def test_decontaminate_against_brute_force(spark, docs):
+    rng = random.Random(12)
+    words = "what is the sum of all red and blue balls in a box when you take some out".split()
+    text = lambda k: " ".join(rng.choice(words) if rng.random() < 0.8 else str(rng.randrange(4)) for _ in range(k))
+    items = [(i, text(rng.choice([7, 13, 15]))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        own = items[rng.randrange(12)][1]
+        swap = {str(k): str(v) for k, v in zip(range(4), rng.sample(range(10, 99), 4), strict=True)}
+        if i % 2:
+            own = " ".join(swap.get(w, w) for w in own.split())
+        if i % 3 == 0:
+            own = own.replace("the", "this", 1)
+        rows.append((i, f"{text(rng.randrange(20))} {own} {text(rng.randrange(20))}".strip()))
+    found = {r.doc_id: {x.start for x in r.leaks} for r in decontaminate.find_leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in rows:
+        want = set()
+        for _, item in items:
+            n = min(13, len(item.split()))
+            for one, slots, exact in _plain_windows(item, n):
+                for k, (two, own, words_) in enumerate(_plain_windows(t, n)):
+                    same = one == two and 2 * sum(x != "<n>" for x in one) >= n and decontaminate.consistent(np.array(slots, object), np.array(own, object))
+                    if same or exact == words_:
+                        want.add(k)
+        assert found[i] == want, (i, t)
+
+
 def test_slot_consistency():
     one = np.array([1, 2, 1])
     assert decontaminate.consistent(one, np.array([7, 8, 7]))
@@ -197,8 +278,6 @@ def test_forward_is_exact_and_em_does_not_get_worse():
 
 
 def test_hmm_scores(docs, corpus):
-    import re
-
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "\0"] for _, t in corpus]
     out = crc32(b"0") % 10
