@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from momentlake.llm._words import U, prefix_sums, span_hash
 from momentlake.llm import ann, decontaminate, hmm, packing, toxicity
+from tests.llm import brute
 
 
 def test_packing(docs, corpus):
@@ -133,18 +133,7 @@ def test_scores_against_brute_force(spark, docs):
     y = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs(rows), y)
     for r in toxicity.score(docs([*rows[:20], (800, None), (801, "é fool! FOOLa")]), model).collect():
-        terms = set()
-        for w in re.findall(rb"[a-z\x80-\xff]+", (r.text or "").encode().lower()):
-            terms |= {w, *((n, w[:n]) for n in toxicity.PREFIXES if len(w) >= n)}
-        f = set()
-        for t in terms:
-            word = t if isinstance(t, bytes) else t[1]
-            h = span_hash(prefix_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))
-            h = h if isinstance(t, bytes) else h * U(2 * t[0] + 1)
-            f.add(int(model.place[int(h[0] >> U(64 - toxicity.BITS))]))
-        f = sorted(f - {-1})
-        logit = model.w0 + sum(model.w[i] for i in f) + sum(model.v[i] @ model.v[j] for a, i in enumerate(f) for j in f[a + 1 :])
-        assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9) and r.predicted == (r.score >= 0.3)
+        assert math.isclose(r.score, brute.toxicity_score(model, r.text), rel_tol=1e-9) and r.predicted == (r.score >= 0.3)
 
 
 def test_few_labels_are_enough(spark, docs):
@@ -220,13 +209,6 @@ def test_short_and_slot_heavy_items_match_as_whole_sentences(spark, docs):
         assert got == {1: [0], 2: [0], 3: [1], 4: [], 5: [2], 6: [], 7: [], 8: [4]}
 
 
-def _plain_windows(text, n):
-    """Template windows of a text of ASCII words, read by hand: plain words, numbers and their slots."""
-    tokens = re.findall(r"[A-Za-z0-9]+", text.lower())
-    template = ["<n>" if t[0].isdigit() else t for t in tokens]
-    return [(tuple(template[i : i + n]), [t for t in tokens[i : i + n] if t[0].isdigit()], tuple(tokens[i : i + n])) for i in range(len(tokens) - n + 1)]
-
-
 def test_decontaminate_against_brute_force(spark, docs):
     rng = random.Random(12)
     words = "what is the sum of all red and blue balls in a box when you take some out".split()
@@ -246,8 +228,8 @@ def test_decontaminate_against_brute_force(spark, docs):
         want = set()
         for _, item in items:
             n = min(13, len(item.split()))
-            for one, slots, exact in _plain_windows(item, n):
-                for k, (two, own, words_) in enumerate(_plain_windows(t, n)):
+            for one, slots, exact in brute.plain_windows(item, n):
+                for k, (two, own, words_) in enumerate(brute.plain_windows(t, n)):
                     same = one == two and 2 * sum(x != "<n>" for x in one) >= n and decontaminate.consistent(np.array(slots, object), np.array(own, object))
                     if same or exact == words_:
                         want.add(k)

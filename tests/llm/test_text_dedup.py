@@ -1,5 +1,4 @@
 import random
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,19 +7,14 @@ from pyspark.sql import functions as F
 
 from momentlake.llm import line_dedup, near_dedup, suffix_dedup
 from momentlake.llm._words import buffers, prefix_sums, span_hash, word_spans, words
-
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _split(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+from tests.llm import brute
 
 
 def test_words_do_not_cross_rows():
     texts = ["ab", "cd ", None, "", " Ab\tcd\x0b", "é Ab"]
     h, offsets = words(pa.array(texts))
-    assert np.diff(offsets).tolist() == [len(_split(t)) for t in texts]
-    flat = [w for t in texts for w in _split(t)]
+    assert np.diff(offsets).tolist() == [len(brute.split(t)) for t in texts]
+    flat = [w for t in texts for w in brute.split(t)]
     assert [[a == b for b in flat] for a in flat] == (h[:, None] == h[None, :]).tolist()
     data, offs = buffers(pa.array(["xabab", "ab"]))
     assert len(set(span_hash(prefix_sums(data), np.array([1, 3, 5]), np.array([3, 5, 7])).tolist())) == 1
@@ -77,33 +71,10 @@ def test_hot_windows_are_asked_once_a_chunk(docs, monkeypatch):
     assert len(sizes) == 2 and all(n <= 400 * chunks for n, chunks in sizes)  # "ha " has three windows, whatever its length
 
 
-def _near_oracle(rows, size):
-    """Sets by doc_id, and the least doc_id that each reaches over links of sets; all sets of a doc_id are one document's."""
-    sets, parent = defaultdict(set), {}
-    for i, t in rows:
-        w = _split(t)
-        if i is not None:
-            sets[i].add(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
-            parent[i] = i
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and any(100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b] if x & y):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: find(i) for i in ids}
-
-
 def test_near_dedup(docs, corpus):
     repeated = [(900, corpus[1][1]), (900, corpus[9][1]), (901, "own words " + corpus[3][1][:40]), (901, None), (902, corpus[1][1]), (902, ""), (903, ""), (903, None)]
     for size, block, rows in ((2, 2048, corpus), (5, 3, corpus), (2, 3, [*corpus, *repeated])):
-        want = _near_oracle(rows, size)
+        want = brute.near_components(rows, size)
         got = near_dedup.near_duplicates(docs(rows), size=size, block=block, bucket=block).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -111,11 +82,11 @@ def test_near_dedup(docs, corpus):
                 assert r.component_id is None and r.kept
             else:
                 assert (r.component_id, r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id]), r
-        n = sorted((len(w) - size + 1 if len(w) >= size else min(1, len(w))) for w in (_split(t) for _, t in rows))
+        n = sorted((len(w) - size + 1 if len(w) >= size else min(1, len(w))) for w in (brute.split(t) for _, t in rows))
         assert all(r.n_shingles <= max(n) for r in got)
     sizes = {r.doc_id: r.n_shingles for r in near_dedup.near_duplicates(docs(corpus), size=2).collect()}
     for i, t in corpus:
-        w = _split(t)
+        w = brute.split(t)
         assert sizes[i] == (len({tuple(w[k : k + 2]) for k in range(len(w) - 1)}) if len(w) > 1 else len(w)) or i is None
     assert near_dedup.near_duplicates(docs([])).count() == 0
 
@@ -130,7 +101,7 @@ def test_near_dedup_of_a_family_of_many_unlinked_nodes(docs):
     for i in range(40):
         rows.append((1000 - i, " ".join(chain)))
         chain[rng.randrange(100)] = f"new{i}"
-    want = _near_oracle(rows, 2)
+    want = brute.near_components(rows, 2)
     assert len(set(want.values())) > 5
     got = near_dedup.near_duplicates(docs(rows), size=2, block=8, bucket=8).collect()
     assert {r.doc_id: r.component_id for r in got} == want
