@@ -90,3 +90,19 @@ def overlap_ratio(start: Column, end: Column, other_start: Column, other_end: Co
     """Length of the overlap, as a part of the shorter span (at least 0.001)."""
     overlap = F.greatest(F.least(end, other_end) - F.greatest(start, other_start), F.lit(0.0))
     return overlap / F.greatest(F.least(end - start, other_end - other_start), F.lit(0.001))
+
+
+def spaced_frames(n_frames: Column, fps: Column, most: int, start: Column | None = None, end: Column | None = None) -> Column:
+    """At most `most` evenly spaced frame numbers of a span (seconds), both ends included; null where there are no frames."""
+    rate = F.greatest(fps, F.lit(0.001))
+    first = F.lit(0) if start is None else F.least(n_frames - 1, F.greatest(F.lit(0), (start * rate).cast("int")))
+    last = n_frames - 1 if end is None else F.least(n_frames - 1, F.greatest(first, (end * rate).cast("int") - 1))
+    count = F.least(F.lit(most), last - first + 1)
+    step = (last - first) / F.greatest(count - 1, F.lit(1))
+    spaced = F.transform(F.sequence(F.lit(0), count - 1), lambda i: (first + i * step).cast("int"))
+    return F.when(n_frames > 0, spaced)
+
+
+def first_segments(spans: Column, most: int | None) -> Column:
+    """The first `most` spans of an array, all of them for null."""
+    return spans if most is None else F.slice(spans, 1, most)

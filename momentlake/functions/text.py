@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,15 +55,32 @@ def terms(text: Column, most: int | None = None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters whose decomposition is an ASCII letter and marks, and these letters."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFKD", chr(code))
+        if len(base) > 1 and base[0].isascii() and base[0].isalpha() and all(unicodedata.combining(c) for c in base[1:]):
+            pairs.append((chr(code), base[0].lower()))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+
+
 def fold(text: Column) -> Column:
-    """Lower case, common Latin diacritics removed."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), accented, plain)
+    """Lower case, Latin diacritics removed, combining marks dropped: what full-text terms are compared by."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), _ACCENTED, _PLAIN)
+
+
+def casefold(text: Column) -> Column:
+    """Lower case, with sharp s as ss and final sigma as sigma."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Without case, each run of white space one blank: what text observations are compared by."""
+    return F.trim(F.regexp_replace(casefold(text), r"\s+", " "))
 
 
 def evidence(text: Column, most: int = 240) -> Column:

@@ -132,3 +132,67 @@ def descriptors(hits: DataFrame, media_ids: Column) -> DataFrame:
 def requested_sources(requested: DataFrame, indexed: DataFrame) -> DataFrame:
     """Sources asked for that are indexed, each once; missing or not, order is by name."""
     return requested.select("source_file").intersect(indexed.select("source_file")).orderBy("source_file")
+
+
+def known_only(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """wanted; raises ValueError if it names a key that known lacks."""
+    unknown = wanted.join(known.select(key), key, "left_anti").first()
+    if unknown:
+        raise ValueError(f"unknown {key}: {unknown[key]}")
+    return wanted
+
+
+def scan_records(records: DataFrame, wanted: DataFrame, known: DataFrame, key: str, tie: str) -> DataFrame:
+    """Records of the wanted artifacts or index versions (key), numbered (place, from 1) by start_ms and tie; an unknown one is an error."""
+    rows = records.join(known_only(wanted.select(key).distinct(), known, key), key, "left_semi")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("start_ms", tie)))
+
+
+def artifacts_of_runs(artifacts: DataFrame, analyzer_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Artifacts (analyzer_run_id, ...) with the run_id and name of their analyzer runs (analyzer_run_id, run_id, name), of the given runs (run_id)."""
+    own = analyzer_runs.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    return artifacts.join(own.select("analyzer_run_id", "run_id", "name"), "analyzer_run_id")
+
+
+def versions_with_definitions(versions: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Index versions (definition_id, ...) with the columns of their definitions (definition_id, ...)."""
+    return versions.join(definitions, "definition_id")
+
+
+def save_categories(categories: DataFrame, path: str) -> None:
+    """Writes path -> category as a table in path order."""
+    categories.select("path", "category").orderBy("path").write.mode("overwrite").parquet(path)
+
+
+def load_categories(spark, path: str) -> DataFrame:  # noqa: ANN001
+    """The table written there; empty where there is none."""
+    schema = "path string, category string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def modality_jobs(media: DataFrame, modalities: tuple[str, ...], key: str, runs: DataFrame) -> DataFrame:
+    """media_id, modality, key, reused: a job for each medium and enabled modality, under a key of its own, so that modalities that ran already are reused.
+
+    runs: media_id, key of completed runs.
+    """
+    jobs = media.select("media_id", F.explode(F.array(*(F.lit(m) for m in modalities))).alias("modality"))
+    jobs = jobs.withColumn("key", F.concat(F.lit(f"{key}:"), "modality"))
+    done = runs.select("media_id", "key").distinct().withColumn("done", F.lit(True))
+    return jobs.join(done, ["media_id", "key"], "left").select("media_id", "modality", "key", F.coalesce("done", F.lit(False)).alias("reused"))
+
+
+def overlapping(spans: DataFrame, keys: list[str], bin_seconds: float) -> DataFrame:
+    """id_a < id_b, s_a, e_a, s_b, e_b: pairs of spans (keys, id, s, e) with equal keys that overlap.
+
+    Spans are listed under the time bins they touch and joined within a bin; a pair counts in the bin of the later start only.
+    """
+    bins = F.sequence(F.floor(F.col("s") / bin_seconds), F.floor(F.greatest("s", "e") / bin_seconds))
+    listed = spans.withColumn("bin", F.explode(bins))
+    a, b = (listed.select(*keys, "bin", *(F.col(c).alias(f"{c}_{n}") for c in ("id", "s", "e"))) for n in "ab")
+    pairs = a.join(b, [*keys, "bin"]).filter("id_a < id_b and s_a < e_b and s_b < e_a")
+    return pairs.filter(F.floor(F.greatest("s_a", "s_b") / bin_seconds) == F.col("bin")).select("id_a", "id_b", "s_a", "e_a", "s_b", "e_b")

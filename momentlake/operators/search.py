@@ -28,18 +28,26 @@ def in_sources(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.join(sources.select("source_file").distinct(), "source_file", "left_semi")
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, group_rows: int = 1024) -> DataFrame:
+def unit_rows(df: DataFrame) -> DataFrame:
+    """df with embedding at unit length, so that dot products are cosines; a zero vector stays zero."""
+    return df.withColumn("embedding", vectors.l2_normalize(F.col("embedding")))
+
+
+def top_k(chunks: DataFrame, queries: DataFrame, k: int, dimension: int | None = None, group_rows: int = 1024) -> DataFrame:
     """query_id, rank, id, source_file, start_time, end_time, score, distance: the k best of unit-length chunks by dot product.
 
     Queries go to the tasks in groups of about group_rows; a batch of chunks and a group are one matrix
-    product, of which each query's k best leave the task. Ties go by source_file, start_time and id.
+    product, of which each query's k best leave the task. Ties go by source_file, start_time and id. Null vectors
+    and such with null or non-finite components take no part; one of another dimension than the queries' is an error.
     """
     spark, empty = chunks.sparkSession, HIT + ", rank int, distance double"
     if k <= 0:
         return spark.createDataFrame([], empty)
-    groups = -(-queries.count() // group_rows)
+    n, size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    dimension, groups = dimension or size or 0, -(-n // group_rows)
+    queries = queries.filter(_right(F.col("embedding"), dimension))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"))
-    rows = chunks.select("id", "source_file", "start_time", "end_time", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = chunks.select("id", "source_file", "start_time", "end_time", F.col("embedding").cast("array<double>").alias("embedding")).filter(_right(F.col("embedding"), dimension))
     found = [_scored(rows, asked.filter(F.col("g") == g), k) for g in range(groups)]
     if not found:
         return spark.createDataFrame([], empty)
@@ -47,6 +55,12 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, group_rows: int = 1024)
     return best.withColumn("distance", 1 - F.col("score"))
 
 
+def _right(v: Column, dimension: int) -> Column:
+    """Whether a vector takes part; one of another dimension is an error."""
+    other = F.raise_error(F.concat(F.lit(f"a vector has not {dimension} dimensions but "), F.size(v).cast("string"))).cast("boolean")
+    return F.when(vectors.is_valid(v) & (F.size(v) != dimension), other).otherwise(vectors.is_valid(v))
+
+
 def _scored(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best rows of each Arrow batch for one bounded group of queries, which goes to all tasks."""
     group = asked.toArrow()

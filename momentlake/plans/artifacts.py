@@ -7,9 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.functions.moments import valid_interval
+from momentlake.functions.moments import first_segments, fixed_windows, valid_interval
 from momentlake.functions.text import content_hash, labelled_lines
+from momentlake.functions.vectors import is_valid
+from momentlake.operators.semantic import vector_from_field
 from momentlake.operators.structured import field
+from momentlake.plans.ingest import Embedder, embed
 
 
 def new_id(prefix: str, *parts: Column) -> Column:
@@ -30,15 +33,16 @@ def invalid_records(outputs: DataFrame) -> DataFrame:
     """key, problem of outputs (media_id, key, name, artifact_type, segment_id, start_ms, end_ms, data): what an import refuses."""
     bad = outputs.filter(~valid_interval(F.col("start_ms"), F.col("end_ms"))).select("key", F.lit("interval").alias("problem"))
     shape = outputs.filter(F.coalesce(~F.schema_of_variant("data").startswith("OBJECT"), F.lit(True))).select("key", F.lit("not an object").alias("problem"))
-    twice = outputs.groupBy("key", "name", "segment_id").count().filter("count > 1").select("key", F.lit("duplicate segment").alias("problem"))
+    twice = outputs.groupBy("media_id", "key", "name", "segment_id").count().filter("count > 1").select("key", F.lit("duplicate segment").alias("problem"))
     return bad.unionByName(shape).unionByName(twice).distinct()
 
 
 def request_hashes(outputs: DataFrame) -> DataFrame:
-    """key, media_id, request_hash: a digest over the sorted digests of a run's records."""
+    """key, media_id, request_hash: the number of a run's records and four sums over their digests, which no order changes and no list is gathered for."""
     one = F.sha2(F.concat_ws("\x1f", "name", "artifact_type", "segment_id", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"), F.to_json("data")), 256)
-    per = outputs.withColumn("h", one).groupBy("key", "media_id", "name").agg(content_hash(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("h"))
-    return per.groupBy("key", "media_id").agg(content_hash(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("request_hash"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    rows = outputs.select("key", "media_id", one.alias("h")).groupBy("key", "media_id").agg(F.count("*").cast("string").alias("n"), *(p.alias(f"p{i}") for i, p in enumerate(parts)))
+    return rows.select("key", "media_id", content_hash(F.concat_ws(":", "n", *(f"p{i}" for i in range(4)))).alias("request_hash"))
 
 
 def conflicts(outputs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -79,6 +83,7 @@ class IndexDefinition:
     filter_fields: tuple[str, ...] = ()
     aggregate_fields: tuple[str, ...] = ()
     sort_fields: tuple[str, ...] = ()
+    source_embedding_field: str | None = None
 
     def fields(self) -> set[str]:
         return {*self.semantic_fields, *self.filter_fields, *self.aggregate_fields, *self.sort_fields}
@@ -111,3 +116,66 @@ def validate_version(index: DataFrame, expected: DataFrame, embeddings: DataFram
     joined = expected.join(rows, "index_version_id", "left").join(vectors, "index_version_id", "left")
     ok = (F.coalesce("records", F.lit(0)) == F.col("record_count")) & (F.coalesce("bad_intervals", F.lit(0)) == 0) & (F.coalesce("vectors", F.lit(0)).isin(0) | ((F.col("vectors") == F.col("records")) & (F.col("low") == F.col("high"))))
     return joined.select("index_version_id", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("vectors", F.lit(0)).alias("vectors"), ok.alias("ready"))
+
+
+def index_vectors(index: DataFrame, definition: IndexDefinition, embedder: Embedder, dimension: int) -> DataFrame:
+    """index_version_id, artifact_record_id, field_name, embedding, source_text_hash of an index's records.
+
+    Vectors are those at the definition's source_embedding_field, or of the semantic texts; a definition without
+    either gives none. A vector that is not finite or of another dimension is an error.
+    """
+    path = definition.source_embedding_field
+    if path:
+        rows = index.withColumns({"embedding": vector_from_field(F.col("data"), path, dimension), "source": F.to_json(field(F.col("data"), path))})
+    elif definition.semantic_fields:
+        rows = embed(index.select("index_version_id", "artifact_record_id", F.col("semantic_text").alias("source")), "source", embedder)
+        wrong = F.raise_error(F.concat(F.lit("no valid vector of a record: "), F.coalesce("error", F.col("artifact_record_id").cast("string")))).cast("array<double>")
+        rows = rows.withColumn("embedding", F.when(is_valid(F.col("vector"), dimension), F.col("vector")).otherwise(wrong))
+    else:
+        rows = index.limit(0).withColumns({"embedding": F.array().cast("array<double>"), "source": F.lit("")})
+    name = path or ",".join(definition.semantic_fields)
+    return rows.select("index_version_id", "artifact_record_id", F.lit(name).alias("field_name"), F.col("embedding").cast("array<float>").alias("embedding"), content_hash(F.col("source")).alias("source_text_hash"))
+
+
+@dataclass
+class Published:
+    index: DataFrame
+    embeddings: DataFrame
+    status: DataFrame
+
+
+def publish_index(records: DataFrame, definition: IndexDefinition, version: int, embedder: Embedder, dimension: int, path: str) -> Published:
+    """Builds an index version under path: records, then vectors, then, once both are validated, its status row.
+
+    A reader that goes by the status row never sees half an index; without vectors for all records it says failed.
+    """
+    spark = records.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    index = written(build_index(records, definition, version), "records")
+    vectors = written(index_vectors(index, definition, embedder, dimension), "embeddings")
+    version_id = new_id("index", F.lit(definition.name), F.lit(str(version)))
+    expected = records.agg(F.count("*").alias("record_count")).select(version_id.alias("index_version_id"), "record_count")
+    checked = validate_version(index, expected, vectors)
+    status = checked.select("index_version_id", F.lit(definition.name).alias("name"), F.lit(version).alias("version"), "records", "vectors", F.when(F.col("ready"), "ready").otherwise("failed").alias("status"))
+    return Published(index, vectors, written(status, "status"))
+
+
+def vector_outputs(media: DataFrame, embedder: Embedder, dimension: int, key: str, name: str, chunk_ms: int = 30_000, overlap_ms: int = 5_000, max_segments: int | None = None) -> DataFrame:
+    """What understand() imports from a vector analyzer: a record {"vector": [...]} for each span of media (media_id, duration_ms, payload).
+
+    Spans are fixed windows, the first max_segments of them; a span's payload is the medium's and the span's number.
+    """
+    if max_segments is not None and max_segments < 1:
+        raise ValueError("max_segments must be positive")
+    spans = first_segments(fixed_windows(F.col("duration_ms"), chunk_ms, overlap_ms), max_segments)
+    each = media.select("media_id", "payload", F.explode(spans).alias("w"))
+    rows = each.select("media_id", F.format_string("segment_%06d", "w.i").alias("segment_id"), "w.start_ms", "w.end_ms", F.concat_ws(" ", "payload", F.col("w.i").cast("string")).alias("payload"))
+    done = embed(rows, "payload", embedder)
+    wrong = F.raise_error(F.concat(F.lit("no valid vector of a span: "), F.coalesce("error", "segment_id"))).cast("array<double>")
+    vector = F.when(is_valid(F.col("vector"), dimension), F.col("vector")).otherwise(wrong)
+    data = F.parse_json(F.to_json(F.struct(vector.alias("vector"))))
+    return done.select("media_id", F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit("video_embedding").alias("artifact_type"), "segment_id", "start_ms", "end_ms", data.alias("data"))

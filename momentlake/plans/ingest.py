@@ -86,9 +86,10 @@ def build(expected: DataFrame, stored: DataFrame, failed: DataFrame, embedder: E
 
 
 def dead_letters(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old rows with the error and attempts of new ones that share their id (spans stay as they were), and the other new ones."""
-    later = new.select("id", *(F.col(c).alias(f"_{c}") for c in ("error", "attempts")))
-    kept = old.join(later, "id", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in ("error", "attempts") else F.col(c) for c in old.columns))
+    """Old rows with the error, attempts and last attempt of new ones that share their id (spans stay as they were), and the other new ones."""
+    fresh = [c for c in ("error", "attempts", "last_attempt") if c in old.columns]
+    later = new.select("id", *(F.col(c).alias(f"_{c}") for c in fresh))
+    kept = old.join(later, "id", "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in fresh else F.col(c) for c in old.columns))
     return kept.unionByName(new.join(old.select("id"), "id", "left_anti").select(*old.columns))
 
 
@@ -97,3 +98,13 @@ def check_compatible(stored: DataFrame, backend: str, model: str) -> None:
     other = stored.select("backend", "model").distinct().filter((F.col("backend") != backend) | (F.col("model") != model)).first()
     if other:
         raise ValueError(f"the store holds vectors of {other.backend}/{other.model}")
+
+
+def list_dead_letters(letters: DataFrame) -> DataFrame:
+    """By last attempt, then id."""
+    return letters.orderBy("last_attempt", "id")
+
+
+def without_dead_letters(letters: DataFrame, ids: DataFrame) -> DataFrame:
+    """What is left when the letters of ids (id) are removed."""
+    return letters.join(ids.select("id"), "id", "left_anti")

@@ -63,11 +63,11 @@ def p17_clip_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def j6_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spans of one user and type that overlap by a fifth of the shorter one."""
-    e = table(spark, d, "events").select("user_id", "event_type", "event_id", (F.unix_micros("ts") / 1e6).alias("s"), (F.unix_micros("ts") / 1e6 + F.col("value") * 60).alias("e"))
-    a, b = (e.select("user_id", "event_type", *(F.col(c).alias(f"{c}_{n}") for c in ("event_id", "s", "e"))) for n in "ab")
-    near = a.join(b, ["user_id", "event_type"]).filter("event_id_a < event_id_b and s_a < e_b and s_b < e_a")
+    start = F.unix_micros("ts") / 1e6
+    spans = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("id"), start.alias("s"), (start + F.col("value") * 60).alias("e"))
+    near = records.overlapping(spans, ["user_id", "event_type"], 3600.0)
     ratio = M.overlap_ratio(F.col("s_a"), F.col("e_a"), F.col("s_b"), F.col("e_b"))
-    return near.withColumn("ratio", F.round(ratio, 4)).filter("ratio >= 0.2").select("event_id_a", "event_id_b", "ratio")
+    return near.withColumn("ratio", F.round(ratio, 4)).filter("ratio >= 0.2").select(F.col("id_a").alias("event_id_a"), F.col("id_b").alias("event_id_b"), "ratio")
 
 
 def t3_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -79,15 +79,12 @@ def t3_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def t1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events come in as a stream, twice, and are upserted by id into a snapshot table."""
-    import tempfile
-    import uuid
-
+    from momentlake.sources.shared import shared_path
     from momentlake.sources.snapshots import SnapshotTable
     from momentlake.streaming.ingest import ingest as start
     from momentlake.streaming.ingest import read_records
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-")
-    home = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    home = shared_path(spark, "ingest")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     out = SnapshotTable(spark, f"{home}/table", schema)
     for turn in ("first", "again"):
@@ -126,7 +123,7 @@ def p21_terms(spark: SparkSession, d: str) -> DataFrame:
 def g10_observations(spark: SparkSession, d: str) -> DataFrame:
     """Turns as text observations of a conversation: of equal normalized texts the longest, in order."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("text"))
-    rows = c.select(F.col("conv_id").alias("segment_id"), "text", T.collapse_spaces(F.left("text", F.lit(4))).alias("normalized"), F.length("text").alias("confidence"), (F.col("turn") * 1000).alias("frame_ms"))
+    rows = c.select(F.col("conv_id").alias("segment_id"), "text", T.collapse_spaces(F.col("text")).alias("normalized"), F.length("text").alias("confidence"), (F.col("turn") * 1000).alias("frame_ms"))
     return records.observations(rows).select("segment_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
@@ -198,7 +195,7 @@ FROM f WHERE doc_id % 7 IN (0, 1, 4) AND doc_id % 5 IN (0, 4)""",
   regexp_matches(lower(text), 'oom|out of memory|invalid data|could not decode|no such file') AS permanent FROM documents""",
     "p21_terms": "SELECT item_id, array_to_string(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')[1:12], ' ') AS terms FROM benchmark",
     "g10_observations": """WITH c AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS text FROM conversations),
-n AS (SELECT conv_id, turn * 1000 AS ms, text, trim(regexp_replace(lower(left(text, 4)), '\\s+', ' ', 'g')) AS k FROM c),
+n AS (SELECT conv_id, turn * 1000 AS ms, text, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS k FROM c),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY length(text) DESC, ms, text) AS r FROM n WHERE k <> '')
 SELECT conv_id AS segment_id, md5(string_agg(text, ' ' ORDER BY ms, text)) AS text_md5 FROM b WHERE r = 1 GROUP BY conv_id""",
 }

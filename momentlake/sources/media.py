@@ -84,5 +84,9 @@ def missing_sources(known: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def owned(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """Files below any of the roots (root), each once."""
-    return files.join(F.broadcast(roots), below(F.col("path"), F.col("root")), "left_semi")
+    """Files below any of the roots (root), each once: a file's folders are matched with the roots by hash."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    named = roots.select(F.regexp_replace("root", "/+$", "").alias("_root")).distinct()
+    inside = files.select("path", F.explode(folders).alias("_root")).join(named, "_root", "left_semi").select("path").distinct()
+    return files.join(inside, "path", "left_semi")

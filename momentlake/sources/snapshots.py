@@ -53,6 +53,12 @@ class SnapshotTable:
             self.overwrite(now.filter(~F.coalesce(F.expr(condition), F.lit(False))))
         return n
 
+    def clear(self) -> int:
+        """Drops all rows and says how many there were; other tables stay as they are."""
+        n = self.read().count()
+        self.overwrite(self.read().limit(0))
+        return n
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Old rows, replaced or joined by new ones with their key; of new rows with one key, one is taken."""

@@ -36,3 +36,20 @@ def sliding_counts(events: DataFrame, length: str = "30 seconds", step: str = "2
 def first_seen(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """Each key once, as far as the watermark on ts reaches back."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+
+
+def progress(query: StreamingQuery) -> dict[str, int]:
+    """Batches, rows and seconds of a query so far, from its own metrics."""
+    seen = query.recentProgress
+    return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "millis": sum(p["batchDuration"] for p in seen)}
+
+
+def categorize(chunks: SnapshotTable, categories: SnapshotTable, best: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], None]:
+    """For ingest's `after`: the categories (path, category) of the files in a batch, by `best` of all their stored chunks."""
+
+    def after(batch: DataFrame) -> None:
+        files = batch.select("source_file").distinct()
+        found = best(chunks.read().join(files, "source_file", "left_semi"))
+        categories.upsert(found.select(F.col("source_file").alias("path"), "category"), "path")
+
+    return after
