@@ -86,8 +86,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     for _ in range(rounds):
         near = _nearest(x, centres)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        sums, there = np.zeros_like(centres), np.flatnonzero(n)
+        sums[there] = np.add.reduceat(x[np.argsort(near, kind="stable")], (np.cumsum(n) - n)[there])
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return centres
 
@@ -169,8 +169,8 @@ def _exact(index: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> Da
     return rows.withColumn("rank", first).filter(F.col("rank") <= k).select("query", "shard", "cell", "leaf")
 
 
-def build_index(rows: DataFrame, tree: Tree, leaf_rows: int, shard_rows: int) -> DataFrame:
-    """shard, cell, leaf, vec_id, embedding of rows, and on one row of each cell's part that was split further the tree below it."""
+def build_index(rows: DataFrame, tree: Tree, leaf_rows: int, shard_rows: int) -> tuple[DataFrame, dict[int, range]]:
+    """shard, cell, leaf, vec_id, embedding of rows, and on one row of each cell's part that was split further the tree below it; and the shards of each cell."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(tree)  # of a size fixed by the sample
     vector = rows.schema["embedding"].dataType.simpleString()
@@ -181,7 +181,8 @@ def build_index(rows: DataFrame, tree: Tree, leaf_rows: int, shard_rows: int) ->
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
 
     located = stage(rows.mapInArrow(assigned, f"vec_id long, embedding {vector}, cell int"), "cells")
-    places = F.broadcast(spark.createDataFrame(_shards(located, shard_rows), "cell int, shard int, shards int"))  # a row for each cell
+    shards = _shards(located, shard_rows)
+    places = F.broadcast(spark.createDataFrame(shards, "cell int, shard int, shards int"))  # a row for each cell
     own = (F.col("shard") + F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).alias("shard")
 
     def grow(t: pa.Table) -> pa.Table:
@@ -197,7 +198,8 @@ def build_index(rows: DataFrame, tree: Tree, leaf_rows: int, shard_rows: int) ->
         return t.append_column("leaf", pa.array(leaf)).append_column("tree", pa.array(trees, pa.binary())).select(["shard", "cell", "leaf", "vec_id", "embedding", "tree"])
 
     dealt = located.join(places, "cell").select(own, "cell", "vec_id", "embedding")
-    return stage(dealt.groupBy("shard").applyInArrow(grow, f"shard int, cell int, leaf int, vec_id long, embedding {vector}, tree binary"), "index")
+    index = stage(dealt.groupBy("shard").applyInArrow(grow, f"shard int, cell int, leaf int, vec_id long, embedding {vector}, tree binary"), "index")
+    return index, {cell: range(first, first + n) for cell, first, n in shards}
 
 
 def _shards(located: DataFrame, shard_rows: int) -> list[tuple[int, int, int]]:
@@ -257,15 +259,15 @@ def calibrate(tree: Tree, index: DataFrame, queries: np.ndarray, ids: np.ndarray
     return best
 
 
-def fit(rows: DataFrame, k: int, recall: float, sample: int, leaf_rows: int, calibration: int, shard_rows: int) -> tuple[Tree, DataFrame, Visits]:
-    """The upper tree, the index and the calibrated visits of the rows of valid()."""
+def fit(rows: DataFrame, k: int, recall: float, sample: int, leaf_rows: int, calibration: int, shard_rows: int) -> tuple[Tree, DataFrame, dict[int, range], Visits]:
+    """The upper tree, the index, the shards of its cells and the calibrated visits of the rows of valid()."""
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample + calibration).toArrow()  # a bounded sample
     x, ids = _matrix(drawn["embedding"].combine_chunks(), drawn.num_rows), drawn["vec_id"].to_numpy()
     own = min(calibration, len(x) // 4)  # the tree is fitted on others
     tree = fit_tree(x[own:], max(4, leaf_rows * (len(x) - own) // total))
-    index = build_index(rows, tree, leaf_rows, shard_rows)
-    return tree, index, calibrate(tree, index, x[:own], ids[:own], k, recall)
+    index, places = build_index(rows, tree, leaf_rows, shard_rows)
+    return tree, index, places, calibrate(tree, index, x[:own], ids[:own], k, recall)
 
 
 def nearest_neighbours(
@@ -276,19 +278,26 @@ def nearest_neighbours(
     rows = stage(valid(vectors), "vectors")
     if rows.isEmpty():
         return spark.createDataFrame([], _RESULT)
-    tree, index, visits = fit(rows, k, recall, sample, leaf_rows, calibration, shard_rows)
-    held, vector = spark.sparkContext.broadcast(tree), rows.schema["embedding"].dataType.simpleString()
+    tree, index, places, visits = fit(rows, k, recall, sample, leaf_rows, calibration, shard_rows)
+    held, vector = spark.sparkContext.broadcast((tree, places)), rows.schema["embedding"].dataType.simpleString()
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bins = [held.value.best_bins(q, visits.cells) for q in _matrix(b["embedding"], b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bins, pa.list_(pa.int32()))], [*b.schema.names, "cells"])
+        tree, places = held.value
+        for batch in batches:
+            for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                at, shards, cells = [], [], []
+                for i, q in enumerate(_matrix(b["embedding"], b.num_rows)):
+                    own: dict[int, list[int]] = {}
+                    for cell in tree.best_bins(q, visits.cells):
+                        for shard in places.get(cell, ()):
+                            own.setdefault(shard, []).append(cell)
+                    at += [i] * len(own)
+                    shards += own
+                    cells += own.values()
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns), pa.array(shards, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["vec_id", "embedding", "shard", "cells"])
 
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    bins = queries.mapInArrow(routed, f"vec_id long, embedding {vector}, cells array<int>")
-    places = index.select("cell", "shard").distinct()
-    each = bins.select("vec_id", "embedding", F.explode("cells").alias("cell")).join(places, "cell")
-    asked = stage(each.groupBy("vec_id", "shard").agg(F.collect_list("cell").alias("cells"), F.first("embedding").alias("embedding")), "asked")
+    asked = stage(queries.mapInArrow(routed, f"vec_id long, embedding {vector}, shard int, cells array<int>"), "asked")
     groups = asked.groupBy("shard").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("groups"))
     asked = asked.join(groups, "shard").withColumn("g", F.pmod(F.xxhash64("vec_id"), F.col("groups")).cast("int"))
     parts = index.join(groups, "shard").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
