@@ -26,14 +26,32 @@ def centroid_scores(df: DataFrame, dimension: int) -> DataFrame:
     return df.join(F.broadcast(centroid(df, dimension))).withColumn("score", 1 - vectors.dot(F.col("embedding"), F.col("centroid"))).drop("centroid")
 
 
+def _nth(df: DataFrame, column: str, n: int, most: int = 10_000) -> float:
+    """The value at place n (from 0) of a column of doubles in ascending order: counts in ranges narrow it down until at most `most` rows are left."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    rows = df.select(F.col(column).alias("x"))
+    while True:
+        inside = rows.filter((F.col("x") >= low) & (F.col("x") <= high))
+        if low == high:
+            return low
+        place = F.least(F.floor((F.col("x") - low) / (high - low) * 1024), F.lit(1023)).alias("place")
+        for r in inside.groupBy(place).agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("place").collect():  # 1,024 at most
+            if n < r.rows:
+                break
+            n -= r.rows
+        if r.rows <= most:
+            return inside.filter((F.col("x") >= r.low) & (F.col("x") <= r.high)).orderBy("x").offset(n).limit(1).first().x
+        low, high = r.low, r.high
+
+
 def exclude_baseline(df: DataFrame, dimension: int) -> DataFrame:
     """Keeps rows at least as far from the centroid as the upper median row; all rows if there are under four."""
     scored = centroid_scores(df, dimension)
     n = scored.count()
     if n < 4:
         return df
-    cutoff = scored.select("score").orderBy("score").offset(n // 2).limit(1).select(F.col("score").alias("cutoff"))
-    return scored.join(F.broadcast(cutoff)).filter("score >= cutoff").drop("score", "cutoff")
+    cutoff = _nth(scored, "score", n // 2)
+    return scored.filter(F.col("score") >= cutoff).drop("score")
 
 
 def neighbours(df: DataFrame, k: int) -> DataFrame:
@@ -90,19 +108,28 @@ def weight_by_query(df: DataFrame, query: DataFrame) -> DataFrame:
     return df.join(F.broadcast(bounds)).join(F.broadcast(query.select(F.col("embedding").alias("query")).limit(1))).withColumn("score", scaled * near).drop("low", "high", "query")
 
 
-def select_highlights(scored: DataFrame, count: int, threshold: float) -> DataFrame:
-    """The count best rows (id, embedding, score) of which no two are more than threshold alike, by score.
+def select_highlights(scored: DataFrame, count: int, threshold: float, block: int = 256) -> DataFrame:
+    """The count best rows (id, embedding, score) of which no two are more than threshold alike, by score; rank among all rows.
 
-    Looks at the first rows in growing prefixes until enough are kept, so a task sees no more than it needs.
+    In rounds: rows like those chosen so far are filtered out where they are, and the best `block` of the rest (a bounded
+    list) are walked in order. Each round but the last chooses one at least, so there are at most count of them.
     """
-    total, size = scored.count(), max(4 * count, 16)
-    while True:
-        first = scored.orderBy(F.desc("score"), "id").limit(size)
+    spark, rest, chosen = scored.sparkSession, scored, []
+    shape = scored.select("id", "embedding", "score").schema
+    while len(chosen) < count:
+        first = rest.select("id", "embedding", "score").orderBy(F.desc("score"), "id").limit(block)
         ranked = first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id"))).withColumn("query_id", F.lit(0))
-        kept = dedupe_ranked(ranked, threshold, count).drop("query_id")
-        if size >= total or kept.count() >= count:
-            return kept
-        size *= 2
+        found = dedupe_ranked(ranked, threshold, count - len(chosen)).drop("query_id").orderBy("rank").collect()  # count rows at most
+        if not found:
+            break
+        chosen += [(r.id, r.embedding, r.score) for r in found]
+        kept = F.broadcast(spark.createDataFrame([(r.embedding,) for r in found], "kept array<double>").agg(F.collect_list("kept").alias("kept")))
+        alike = F.exists("kept", lambda x: vectors.cosine(x, F.col("embedding")) > threshold)
+        rest = rest.join(kept).filter(~alike).drop("kept").filter((F.col("score") < found[-1].score) | ((F.col("score") == found[-1].score) & (F.col("id") > found[-1].id)))
+    best = spark.createDataFrame(chosen, shape)
+    above = scored.select(F.col("id").alias("o"), F.col("score").alias("s")).join(F.broadcast(best.select("id", "score")), (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("o") <= F.col("id"))))
+    ranks = above.groupBy("id").agg(F.count("*").cast("int").alias("rank"))
+    return best.join(ranks, "id").select("rank", "id", "embedding", "score")
 
 
 def span_luma(frames: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def frame_parts(width: int, height: int, rgb: bytes) -> tuple[np.ndarray, np.ndarray, float]:
     """Colour histogram, grid of mean colours and mean luminance of a frame."""
-    px = np.frombuffer(rgb, np.uint8)
+    px = np.frombuffer(rgb or b"", np.uint8)
     px = px[: len(px) // 3 * 3].reshape(-1, 3).astype(np.int64)
     q = px // 64
     hist = np.bincount(q[:, 0] * 16 + q[:, 1] * 4 + q[:, 2], minlength=64).astype(float)
@@ -43,9 +43,9 @@ def frame_parts(width: int, height: int, rgb: bytes) -> tuple[np.ndarray, np.nda
     return hist, grid, float((px @ np.array([0.299, 0.587, 0.114])).mean() / 255) if len(px) else 0.0
 
 
-def difference(a: bytes, b: bytes) -> float:
-    """Mean absolute difference of the channels of two frames, in [0, 1]."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+def difference(a: bytes | None, b: bytes | None) -> float:
+    """Mean absolute difference of the channels of two frames, in [0, 1]; a null frame is an empty one."""
+    x, y = np.frombuffer(a or b"", np.uint8), np.frombuffer(b or b"", np.uint8)
     n = min(len(x), len(y))
     return float(np.abs(x[:n].astype(int) - y[:n].astype(int)).mean() / 255) if n else 0.0
 

@@ -167,7 +167,21 @@ def _case(column: str) -> str:
 
 _NAME = "printf('%02dm%02ds', round({x})::BIGINT // 60, round({x})::BIGINT % 60)"
 
+_BYTES = """b AS (SELECT page_id // 4 AS span_id, (page_id % 4)::INT AS frame_idx,
+  list_transform(regexp_extract_all(hex(encode(coalesce(html, ''))), '..'), lambda x: ('0x' || x)::INT) AS b FROM pages)"""
+_APART = "CASE WHEN least(len({x}), len({y})) = 0 THEN 0 ELSE list_avg(list_transform(list_zip({x}, {y}, true), lambda z: abs(z[1] - z[2]))) / 255 END"
+
 SQL = {
+    "m6_still_spans": f"""WITH {_BYTES}, n AS (SELECT span_id, len(b) // 3 AS px, b FROM b),
+l AS (SELECT span_id, CASE WHEN px = 0 THEN 0 ELSE list_sum(list_transform(b[1:px * 3], lambda x, i: x * [0.299::DOUBLE, 0.587, 0.114][(i - 1) % 3 + 1])) / px / 255 END AS luma FROM n)
+SELECT span_id FROM l GROUP BY span_id HAVING count(*) >= 2 AND max(luma) > 0 AND max(luma) - min(luma) < 0.03""",
+    "a21_frame_differences": f"""WITH {_BYTES}, l AS (SELECT *, lag(b) OVER (PARTITION BY span_id ORDER BY frame_idx) AS p FROM b)
+SELECT span_id, frame_idx, CASE WHEN p IS NOT NULL THEN round({_APART.format(x="p", y="b")}, 6) END AS difference FROM l""",
+    "a22_changed_frames": f"""WITH RECURSIVE {_BYTES}, f AS (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY frame_idx) AS n FROM b),
+w AS (SELECT span_id, frame_idx, n, true AS stays, b AS last FROM f WHERE n = 1
+  UNION ALL SELECT f.span_id, f.frame_idx, f.n, {_APART.format(x="last", y="b")} * 255 >= 25, CASE WHEN {_APART.format(x="last", y="b")} * 255 >= 25 THEN b ELSE last END
+  FROM w JOIN f ON f.span_id = w.span_id AND f.n = w.n + 1)
+SELECT span_id, frame_idx FROM w WHERE stays""",
     "p1_segments": f"WITH {_SEGMENTS} SELECT id, source_file, segment, start_time, end_time FROM segments",
     "j7_pending": f"WITH {_SEGMENTS} SELECT id, source_file, segment FROM segments WHERE NOT (o_orderstatus = 'F' OR (o_orderstatus = 'P' AND segment = 0))",
     "j7_complete_files": f"WITH {_SEGMENTS} SELECT source_file FROM segments GROUP BY source_file HAVING bool_and(start_time < 100)",

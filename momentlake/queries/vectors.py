@@ -148,6 +148,19 @@ QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_ded
 SQL = {
     "a1_vector_topk": _topk_sql(),
     "a2_source_scoped_topk": _topk_sql("WHERE source_file IN (SELECT printf('/lib/%02d.mp4', n_nationkey) FROM nation)"),
+    "a4_dedupe": f"""WITH RECURSIVE {CHUNKS}, {ASKED}, t AS (SELECT query_id, id, v, round(list_dot_product(v, q), 9) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 9) DESC, source_file, start_time, id) AS rank FROM chunks, asked),
+w AS (SELECT query_id, rank, id, score, true AS stays, [v] AS kept FROM t WHERE rank = 1
+  UNION ALL SELECT t.query_id, t.rank, t.id, t.score, len(list_filter(kept, lambda k: list_cosine_similarity(k, v) > 0.6)) = 0,
+    CASE WHEN len(list_filter(kept, lambda k: list_cosine_similarity(k, v) > 0.6)) = 0 THEN list_append(kept, v) ELSE kept END
+  FROM w JOIN t ON t.query_id = w.query_id AND t.rank = w.rank + 1 WHERE t.rank <= 20)
+SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM w WHERE stays""",
+    "a11_highlight_selection": f"""WITH RECURSIVE {_CENTROID}, t AS (SELECT vec_id, v, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s),
+w AS (SELECT rank, vec_id, score, true AS stays, [v] AS kept FROM t WHERE rank = 1
+  UNION ALL SELECT t.rank, t.vec_id, t.score, len(list_filter(kept, lambda k: list_cosine_similarity(k, v) > 0.6)) = 0,
+    CASE WHEN len(list_filter(kept, lambda k: list_cosine_similarity(k, v) > 0.6)) = 0 THEN list_append(kept, v) ELSE kept END
+  FROM w JOIN t ON t.rank = w.rank + 1 WHERE len(kept) < 20)
+SELECT vec_id, rank::INT AS rank, round(score, 6) AS score FROM w WHERE stays""",
     "a5_centroid_anomaly": f"WITH {_CENTROID} SELECT vec_id, round(score, 6) AS score FROM s",
     "a6_knn_anomaly": f"WITH {_KNN} SELECT a AS vec_id, round(avg(d), 6) AS score FROM k GROUP BY a",
     "a7_lof_anomaly": f"""WITH {_KNN}, kd AS (SELECT a, max(d) AS kd FROM k GROUP BY a),
