@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import vectors
 from momentlake.operators.search import dedupe_ranked, rank_within
+from momentlake.sources.shared import shared_path
 
 BLOCK = 2048
 
@@ -93,7 +94,9 @@ def lof_scores(df: DataFrame, k: int) -> DataFrame:
     """id, score: local outlier factor with exactly k neighbours (2 to n - 1); 0 for every row if there are under three."""
     if df.count() < 3:
         return df.select("id", F.lit(0.0).alias("score"))
-    near = neighbours(df, max(2, k)).cache()
+    path = shared_path(df.sparkSession, "neighbours")  # read three times, and kept if an executor is lost
+    neighbours(df, max(2, k)).write.parquet(path)
+    near = df.sparkSession.read.parquet(path)
     reach = near.groupBy(F.col("a").alias("b")).agg(F.max("distance").alias("k_distance"))
     density = near.join(reach, "b").groupBy("a").agg((1 / (F.avg(F.greatest("k_distance", "distance")) + 1e-12)).alias("lrd"))
     about = near.select("a", "b").join(density.select(F.col("a").alias("b"), F.col("lrd").alias("near_lrd")), "b").groupBy("a").agg(F.avg("near_lrd").alias("near_lrd"))

@@ -11,10 +11,12 @@ from momentlake.operators.search import rank_within
 K1, B, MOST_TERMS = 1.2, 0.75, 12
 
 
-def postings(segments: DataFrame) -> DataFrame:
-    """term, id, tf, length of segments (id, text)."""
+def postings(segments: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """term, id, tf, length of segments (id, text); only: the terms (term) that are wanted, others go before anything is shuffled by segment."""
     words = segments.select("id", terms(F.col("text")).alias("w"))
     each = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
@@ -27,9 +29,8 @@ def search(segments: DataFrame, queries: DataFrame, k: int, sources: DataFrame |
         segments = segments.join(sources.select("source_file").distinct(), "source_file", "left_semi")
     asked = queries.select("query_id", F.array_distinct(terms(F.col("text"), MOST_TERMS)).alias("w")).filter(F.size("w") > 0)
     asked = asked.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
-    index = postings(segments)
+    hits = postings(segments, asked)
     corpus = segments.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").join(asked, "term").join(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

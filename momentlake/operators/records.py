@@ -70,7 +70,12 @@ def retrieval_quality(results: DataFrame, truth: DataFrame, cuts: tuple[int, ...
 
 
 def best_category(chunks: DataFrame, categories: DataFrame, similarity: Column) -> DataFrame:
-    """Per source the category (position, name, centre) of its most similar chunk; the earlier category wins ties."""
+    """Per source the category (position, name, centre) of its most similar chunk; the earlier category wins ties.
+
+    Raises ValueError for more than 10,000 categories, as all of them go to every task.
+    """
+    if categories.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 categories")
     scored = chunks.join(F.broadcast(categories)).withColumn("score", similarity)
     best = F.row_number().over(W.partitionBy("source_file").orderBy(F.desc("score"), "position"))
     per = scored.groupBy("source_file", "position", "name").agg(F.max("score").alias("score"))
