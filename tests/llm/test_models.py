@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from momentlake.llm import ann, decontaminate, hmm, packing, toxicity
+from momentlake.llm._words import U, prefix_sums, span_hash
 from tests.llm import brute
 
 
@@ -276,6 +277,38 @@ def test_hmm_scores(docs, corpus):
     assert {r.train_tokens for r in untrained} == {0} and all(np.isfinite(r.score) for r in untrained)
 
 
+def test_hmm_scores_against_brute_force(docs, corpus, monkeypatch):
+    seen, train = {}, hmm.train
+    monkeypatch.setattr(hmm, "train", lambda encoded, v, *a: seen.setdefault("model", (v, train(encoded, v, *a)))[1])
+    rows = [(i, t) for i, t in corpus if t is None or len(t) < 5000]
+    got = hmm.score_documents(docs(rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0, states=3, rounds=2, top=25, chunk_bytes=3000).collect()
+    v, model = seen["model"]
+    held = lambda i: (i or 0) % 3 == 0
+    count = Counter(w for i, t in rows if not held(i) for w in [*brute.split(t), None])
+    assert (v.n, v.v) == (sum(count.values()), len(count)) and len(v.words) <= 26
+    known = {None: hmm.END}
+    shape = {}
+    for w in {w for _, t in rows for w in brute.split(t)}:
+        data = np.frombuffer(w.encode(), np.uint8)
+        p, n = prefix_sums(data), len(data)
+        known[w] = span_hash(p, np.array([0]), np.array([n]))[0]
+        shape[w] = int(span_hash(p, np.array([max(0, n - 3)]), np.array([n]))[0] >> U(32)) % hmm.SHAPES
+    own = set(v.words.tolist())
+    rest = {w: c for w, c in count.items() if int(known[w]) not in own}
+    want = []
+    for i, t in rows:
+        classes, share = [], 0.0
+        for w in [*brute.split(t), None]:
+            if int(known[w]) in own:
+                classes.append(v.words.tolist().index(int(known[w])))
+            else:
+                mates = [c for x, c in rest.items() if shape[x] == shape[w]]
+                classes.append(len(v.words) + shape[w])
+                share += math.log10((count.get(w, 0) + 0.1) / (sum(mates) + 0.1 * (len(mates) + 1)))
+        want.append((i is not None, i or 0, len(classes), round(brute.hmm_log10(model, classes) + share, 6)))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(800, 8))
