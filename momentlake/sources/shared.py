@@ -17,5 +17,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, "") or _LOCAL.update({app: tempfile.mkdtemp(prefix="momentlake-")}) or _LOCAL[app]
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="momentlake-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
