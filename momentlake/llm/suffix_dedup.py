@@ -4,19 +4,22 @@ A byte goes if some `window`-byte string over it also starts earlier, in a small
 own document. Documents are bytes in UTF-8; strings never cross documents.
 
 1. Documents are packed into chunks. Copies of a whole document go at once; they need no further look.
-2. Cover samples: positions of a document whose offset modulo PERIOD lies in a difference cover. For any two
-   positions there is an offset below PERIOD that leads both to samples, so two equal windows always hold a
-   pair of equal samples, strings of window - PERIOD + 1 bytes, at the same place. Buckets of sample
-   fingerprints are sorted one at a time and each sample is ranked: one of a kind, or tied.
-3. Suffixes are sorted bucket by bucket too, but only those that the ranks allow to tie with another one for
-   a whole window: those that have a tied sample less than PERIOD bytes ahead. In a bucket, suffixes are
-   sorted by the fingerprint of their first `window` bytes, then by place; all but the first of a tie start
-   earlier elsewhere. Two independent hashes, 64 bits and the bucket's, stand for the window.
+2. Which suffixes need sorting: cover samples are positions of a document whose offset modulo PERIOD lies in a
+   difference cover. For any two positions there is an offset below PERIOD that leads both to samples, so two
+   equal windows always hold a pair of equal samples, strings of window - PERIOD + 1 bytes, at the same place.
+   Fingerprints of samples are compared in buckets; only suffixes with a sample less than PERIOD bytes ahead
+   that has a twin are sorted. A collision of fingerprints only adds a suffix to the sort.
+3. Suffixes fall into buckets by content: by the least hash of the short strings in their window, so equal
+   windows share a bucket, and runs of neighbouring suffixes travel as one string of bytes. One bucket is
+   sorted at a time: its cover samples are ranked first, then its suffixes are sorted by their first bytes, as
+   far as the cover may reach, and the ties left are parted by the ranks of the samples that the cover names
+   for each pair. Neighbours in that order are compared byte by byte; where `window` bytes agree, all but the
+   one that starts first are repeats.
 4. The verdicts go back to the chunks, where the windows of such suffixes are merged to spans.
 
-A chunk asks once for each distinct fingerprint, at its first place in the chunk; later places in the chunk are
+A chunk sends each distinct string once, at its first place in the chunk; its later places in the chunk are
 repeats at once. So a task holds one chunk or one bucket, a bucket's size is set by the totals, and a window or
-sample adds one entry a chunk to its bucket at most, however often it occurs.
+sample adds one entry a chunk to its bucket at most, however often it occurs. No result rests on a hash.
 
 Defined cases: a null or empty text has no bytes and loses none; a null doc_id comes before all others;
 rows with one doc_id and different texts go by the digest of the text; identical rows (doc_id and text) are
@@ -40,7 +43,11 @@ from momentlake.llm._words import U, buffers, mix, powers, prefix_sums, span_has
 
 PERIOD = 57
 COVER = np.array([1, 6, 7, 9, 19, 38, 42, 49])  # every difference modulo 57 occurs
-_OTHER = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+MERS = 16
+MOST = 156  # windows of one string
+DEPTH = PERIOD // 8 * 8  # bytes sorted before ranks decide: no offset of the cover is larger
+_LEAD = np.array([[min(d for d in range(PERIOD) if {(a + d) % PERIOD, (b + d) % PERIOD} <= set(COVER.tolist())) for b in range(PERIOD)] for a in range(PERIOD)])
+GAP = 8  # zero bytes behind each string, so that a word read at its last byte stays inside
 _FIRST = -(1 << 63)
 
 
@@ -101,31 +108,124 @@ class Chunk:
         np.add.at(inside, self.starts[self.own] + self.sizes[self.own] - self.window + 1, -1)
         return np.flatnonzero(able & (np.cumsum(inside[:-1]) > 0))
 
-    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        other = np.zeros(len(self.data) + 1, U)
-        np.cumsum(_OTHER[self.data] * powers(len(self.data) + 1)[0][: len(self.data)], out=other[1:])
-        return span_hash(self.sums, at, at + self.window), mix((other[at + self.window] - other[at]) * powers(len(other))[1][at])
-
+    def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of neighbouring suffixes whose windows have one least hash: first place, number of suffixes, that hash."""
+        if not len(at):
+            return at, at, np.zeros(0, U)
+        mers = min(MERS, self.window)
+        starts = np.arange(len(self.data) - mers + 1)
+        low, width, span = span_hash(self.sums, starts, starts + mers), 1, self.window - mers + 1
+        while width < span:
+            step = min(width, span - width)
+            low, width = np.minimum(low[:-step], low[step:]), width + step
+        low = low[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (low[1:] != low[:-1])
+        new |= (np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) % MOST == 0
+        heads = np.flatnonzero(new)
+        return at[heads], np.diff(heads, append=len(at)), mix(low[heads])
 
-    def firsts(self, at: np.ndarray, h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows at these places: which are the first of their kind in the chunk; of each, its first one's number; whether it repeats it."""
+    def distinct(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of strings: the earliest of each text, each one's number among these, whether it starts later than that; the texts."""
         ids = np.array([_FIRST if i is None else i for i in self.row["doc_ids"]], np.int64)
         ties = np.array([int.from_bytes(d[:8], "little", signed=True) for d in self.row["digests"]], np.int64)
-        by_place = np.lexsort((ties, ids))
-        rank = np.zeros(len(ids), np.int64)
-        rank[by_place[1:]] = np.cumsum((np.diff(ids[by_place]) != 0) | (np.diff(ties[by_place]) != 0))
+        rank = _ranks(ids, ties)
         doc = np.searchsorted(self.starts, at, "right") - 1
-        order = np.argsort(rank[doc], kind="stable")
-        order = order[np.argsort(h[order], kind="stable")]
-        new = np.ones(len(at), bool)
-        new[1:] = (h[order[1:]] != h[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
-        run, head, doc = np.cumsum(new) - 1, order[new], doc[order]
-        again = rank[doc] > rank[doc[new]][run]
-        again[1:] |= ~new[1:] & (doc[1:] == doc[:-1])
-        first = np.sort(head)
-        number, repeats = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-        number[order], repeats[order] = np.searchsorted(first, head)[run], again
-        return first, number, repeats
+        offset, rank = at - self.starts[doc], rank[doc]
+        raw, number, first, known = self.data.tobytes(), np.zeros(len(at), np.int64), [], {}
+        ends = (at + sizes + self.window - 1).tolist()
+        starts = at.tolist()
+        for k in np.lexsort((offset, rank)).tolist():
+            number[k] = n = known.setdefault(raw[starts[k] : ends[k]], len(known))
+            if n == len(first):
+                first.append(k)
+        first = np.array(first, np.int64)
+        lead = first[number]
+        return first, number, (rank > rank[lead]) | ((rank == rank[lead]) & (offset > offset[lead])), list(known)
+
+
+def _ranks(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Order of documents by id, then digest; identical ones share a place."""
+    by_place = np.lexsort((ties, ids))
+    rank = np.zeros(len(ids), np.int64)
+    rank[by_place[1:]] = np.cumsum((np.diff(ids[by_place]) != 0) | (np.diff(ties[by_place]) != 0))
+    return rank
+
+
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of runs of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _part(order: np.ndarray, new: np.ndarray, at: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """Sorts the items at these places of an order inside their groups by a key of so many bits, and parts the groups; the places' new order."""
+    code = np.cumsum(new)[at] << bits | key
+    by = np.argsort(code)
+    order[at], code = order[at[by]], code[by]
+    new[at[1:]] |= code[1:] != code[:-1]
+    return by
+
+
+def _tied(new: np.ndarray, done: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(~(new & np.append(new[1:], True)) & ~done)
+
+
+def _one_group(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    new = np.zeros(n, bool)
+    new[:1] = True
+    return np.arange(n), new, np.zeros(n, bool)
+
+
+def sorted_suffixes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes of `window` bytes at least, numbered string by string; which share `window` bytes with the one before.
+
+    The order is lexicographic by bytes; a suffix ends with its string.
+    """
+    data = np.frombuffer(bytes(GAP).join([*strings, b""]), np.uint8)
+    lengths = np.fromiter((len(x) for x in strings), np.int64, len(strings))
+    starts = np.cumsum(lengths + GAP) - lengths - GAP
+    at = np.repeat(starts, lengths - window + 1) + _steps(lengths - window + 1)
+    w = np.append(data, np.zeros(8, np.uint8)).astype(U)
+    for k in (1, 2, 4):
+        w = (w[:-k] << U(8 * k)) | w[k:]
+    w = np.unique(w[: len(data)], return_inverse=True)[1]  # of each place's eight bytes, the rank
+    bits = len(data).bit_length()
+    spot = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(data)) % PERIOD])
+    own = np.searchsorted(starts, spot, "right") - 1
+    left = starts[own] + lengths[own] - spot
+    spot, left = spot[left > 0], left[left > 0]
+    order, new, done = _one_group(len(spot))
+    depth = 0
+    while len(tied := _tied(new, done)):
+        own = order[tied]
+        there = np.clip(left[own] - depth, 0, 8)
+        by = _part(order, new, tied, w[spot[own] + depth] << 4 | there, bits + 4)
+        done[tied] = there[by] < 8  # noqa: PLR2004
+        depth += 8
+    rank = np.zeros(len(data), np.int64)
+    rank[spot[order]] = np.cumsum(new)
+
+    order, new, done = _one_group(len(at))
+    for depth in range(0, DEPTH, 8):
+        if len(tied := _tied(new, done)):
+            _part(order, new, tied, w[at[order[tied]] + depth], bits)
+    near = ~new
+    while len(tied := _tied(new, done)):
+        heads = np.flatnonzero(new)
+        pivot = at[order[heads + np.diff(heads, append=len(at)) // 2]][np.cumsum(new)[tied] - 1]
+        own = at[order[tied]]
+        lead = _LEAD[own % PERIOD, pivot % PERIOD]
+        side = np.sign(rank[own + lead] - rank[pivot + lead])
+        by = _part(order, new, tied, side + 1, 2)
+        done[tied] = side[by] == 0
+    pairs = np.flatnonzero(near)
+    one, two = at[order[pairs - 1]], at[order[pairs]]
+    alike = np.ones(len(pairs), bool)
+    for depth in [*range(DEPTH, window - 8, 8), window - 8]:
+        alike &= w[one + depth] == w[two + depth]
+    same = np.zeros(len(at), bool)
+    same[pairs] = alike
+    return order, same
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -187,48 +287,55 @@ def rank_samples(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets: int) -> DataFrame:
-    """Per chunk and bucket, a bit for each candidate suffix that is the first of its kind in the chunk: whether its window also starts earlier."""
+    """Per chunk and bucket, a bit for each suffix in the chunk's distinct strings: whether its window also starts earlier."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 c = Chunk(row, window)
                 at = c.candidates(*_tied_samples(c, buckets))
-                h, other = c.window_hashes(at)
-                own = c.firsts(at, h, other)[0]
-                at, h, other = at[own], h[own], other[own]
-                order, there, starts = _by_bucket(_bucket(other, suffix_buckets))
-                h, doc = h[order], np.searchsorted(c.starts, at[order], "right") - 1
-                out = []
-                for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    runs, first = np.unique(doc[s:e], return_index=True)
-                    ids = [_FIRST if (i := row["doc_ids"][k]) is None else i for k in runs.tolist()]
-                    ties = [int.from_bytes(row["digests"][k][:8], "little", signed=True) for k in runs.tolist()]
-                    out.append((h[s:e].tobytes(), np.array([ids, ties, np.diff(first, append=e - s)], np.int64).tobytes()))
-                windows, docs = zip(*out, strict=True) if out else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row["chunk_id"]] * len(there), pa.int64()), pa.array(windows, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "chunk_id", "windows", "docs"])
+                at, sizes, low = c.strings(at)
+                first, _, _, texts = c.distinct(at, sizes)
+                at, sizes = at[first], sizes[first]
+                order, there, starts = _by_bucket(_bucket(low[first], suffix_buckets))
+                doc = np.searchsorted(c.starts, at, "right") - 1
+                ids = np.array([_FIRST if i is None else i for i in row["doc_ids"]], np.int64)[doc]
+                ties = np.array([int.from_bytes(d[:8], "little", signed=True) for d in row["digests"]], np.int64)[doc]
+                places = np.stack([ids, ties, at - c.starts[doc], sizes], 1)
+                out = [(squeeze(np.frombuffer(b"".join([texts[k] for k in own.tolist()]), np.uint8)), squeeze(places[own])) for own in np.split(order, starts[1:-1]) if len(own)]
+                data, places = zip(*out, strict=True) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row["chunk_id"]] * len(there), pa.int64()), pa.array(data, pa.binary()), pa.array(places, pa.binary())], ["bucket", "chunk_id", "data", "places"])
 
     def sort(t: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x.as_py(), U) for x in t["windows"]]
-        h = np.concatenate(own)
-        ids, ties, sizes = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(3, -1) for x in t["docs"]], 1)
-        by_place = np.lexsort((ties, ids))
-        new = np.ones(len(ids), bool)
-        new[1:] = (np.diff(ids[by_place]) != 0) | (np.diff(ties[by_place]) != 0)
-        rank = np.empty(len(ids), np.int32)
-        rank[by_place] = np.cumsum(new)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        order = np.lexsort((rank[doc], h))
-        hs, ranks, docs = h[order], rank[doc][order], doc[order]
-        tie = np.concatenate([[False], hs[1:] == hs[:-1]])
-        first = np.maximum.accumulate(np.where(tie, 0, np.arange(len(hs))))
-        again = np.concatenate([[False], docs[1:] == docs[:-1]]) & tie
-        earlier = np.zeros(len(h), bool)
-        earlier[order] = (ranks > ranks[first]) | again
-        parts = np.split(earlier, np.cumsum([len(x) for x in own])[:-1])
+        own = [expand(x.as_py(), np.int64).reshape(-1, 4) for x in t["places"]]
+        ids, ties, offsets, sizes = np.concatenate(own).T
+        rank = _ranks(ids, ties)
+        known, number, k = {}, np.zeros(len(ids), np.int64), 0
+        for x, places in zip(t["data"], own, strict=True):
+            raw, end = expand(x.as_py(), np.uint8).tobytes(), 0
+            for n in (places[:, 3] + window - 1).tolist():
+                number[k] = known.setdefault(raw[end : end + n], len(known))
+                end, k = end + n, k + 1
+        by_place = np.lexsort((offsets, rank))
+        lead = by_place[np.unique(number[by_place], return_index=True)[1]]  # of each distinct string, the entry that starts first
+        counts = sizes[lead]
+        order, same = sorted_suffixes(list(known), window)
+        steps = _steps(counts)
+        docs, spots = np.repeat(rank[lead], counts), np.repeat(offsets[lead], counts) + steps
+        run = np.cumsum(~same) - 1
+        by_run = np.lexsort((spots[order], docs[order], run))
+        heads = order[by_run[np.flatnonzero(~same)]]  # the suffix of each run that starts first
+        least = np.empty(len(order), np.int64)
+        least[order] = heads[run]
+        steps = _steps(sizes)
+        mine = np.repeat((np.cumsum(counts) - counts)[number], sizes) + steps
+        docs_here, spots_here = np.repeat(rank, sizes), np.repeat(offsets, sizes) + steps
+        least = least[mine]
+        earlier = (docs_here > docs[least]) | ((docs_here == docs[least]) & (spots_here > spots[least]))
+        parts = np.split(earlier, np.cumsum([int(x[:, 3].sum()) for x in own])[:-1])
         return pa.table({"bucket": t["bucket"], "chunk_id": t["chunk_id"], "answer": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
-    asked = chunks.mapInArrow(ask, "bucket long, chunk_id long, windows binary, docs binary")
+    asked = chunks.mapInArrow(ask, "bucket long, chunk_id long, data binary, places binary")
     return answered(asked, sort, "bucket long, chunk_id long, answer binary", "suffixes")
 
 
@@ -249,12 +356,15 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 2
             for row in b.to_pylist():
                 c = Chunk(row, window)
                 at = c.candidates(*_tied_samples(c, buckets))
-                h, other = c.window_hashes(at)
-                own, number, repeats = c.firsts(at, h, other)
-                order, _, starts = _by_bucket(_bucket(other[own], suffix_buckets))
-                earlier = np.zeros(len(own), bool)
-                earlier[order] = _bits(row["verdicts"], starts)
-                gone = at[repeats | earlier[number]]
+                at, sizes, low = c.strings(at)
+                first, number, repeats, _ = c.distinct(at, sizes)
+                order, _, starts = _by_bucket(_bucket(low[first], suffix_buckets))
+                ends = np.append(0, np.cumsum(sizes[first][order]))
+                begins = np.empty(len(first), np.int64)
+                begins[order] = ends[:-1]
+                steps = _steps(sizes)
+                earlier = _bits(row["verdicts"], ends[starts])[np.repeat(begins[number], sizes) + steps]
+                gone = (np.repeat(at, sizes) + steps)[earlier | np.repeat(repeats, sizes)]
                 depth = np.zeros(len(c.data) + 1, np.int32)
                 np.add.at(depth, gone, 1)
                 np.add.at(depth, gone + window, -1)
