@@ -171,9 +171,32 @@ _BYTES = """b AS (SELECT page_id // 4 AS span_id, (page_id % 4)::INT AS frame_id
   list_transform(regexp_extract_all(hex(encode(coalesce(html, ''))), '..'), lambda x: ('0x' || x)::INT) AS b FROM pages)"""
 _APART = "CASE WHEN least(len({x}), len({y})) = 0 THEN 0 ELSE list_avg(list_transform(list_zip({x}, {y}, true), lambda z: abs(z[1] - z[2]))) / 255 END"
 
+_LUMA = "CASE WHEN px = 0 THEN 0 ELSE list_sum(list_transform(b[1:px * 3], lambda x, i: x * [0.299::DOUBLE, 0.587, 0.114][(i - 1) % 3 + 1])) / px / 255 END"
+_UNIT = "x / CASE WHEN sqrt(sum(x * x) OVER ({0})) > 1e-12 THEN sqrt(sum(x * x) OVER ({0})) ELSE 1 END"
+_COLOURS = ", ".join(f"('{word}', {r}, {g}, {b})" for word, (r, g, b) in frames.COLOURS.items())
+_BUMPS = ", ".join(f"({words}, {block}, {at}, {x}::DOUBLE)" for words, block, at, beside in ((frames.DARK, 2, 112, 113), (frames.BRIGHT, 2, 119, 118), (frames.FAST, 3, 123, 122), (frames.STILL, 3, 120, 121)) for at, x in ((at, 1.0), (beside, 0.5)))
+
 SQL = {
+    "m5_span_features": f"""WITH {_BYTES}, f AS (SELECT span_id, frame_idx, b, len(b) // 3 AS px, greatest(len(b) // 48, 1) AS h, count(*) OVER (PARTITION BY span_id) AS n, lag(b) OVER (PARTITION BY span_id ORDER BY frame_idx) AS p FROM b),
+x AS (SELECT span_id, frame_idx, n, h, unnest(range(px)) AS i, unnest(b[1:px * 3:3]) AS r, unnest(b[2:px * 3:3]) AS g, unnest(b[3:px * 3:3]) AS u FROM f),
+cell AS (SELECT span_id, frame_idx, n, least(i // 16 // ((h + 3) // 4), 3) * 4 + least(i % 16 // 4, 3) AS c, avg(r) / 255 AS r, avg(g) / 255 AS g, avg(u) / 255 AS u FROM x GROUP BY ALL),
+part AS (SELECT span_id, 0 AS block, r // 64 * 16 + g // 64 * 4 + u // 64 AS i, count(*)::DOUBLE / first(n) AS x FROM x GROUP BY ALL
+  UNION ALL SELECT span_id, 1, 64 + c * 3 + k, sum(x) / first(n) FROM (SELECT span_id, n, c, unnest([0, 1, 2]) AS k, unnest([r, g, u]) AS x FROM cell) GROUP BY span_id, c, k
+  UNION ALL SELECT span_id, 2, 112 + least(floor(luma * 8), 7)::INT, count(*)::DOUBLE / first(n) FROM (SELECT span_id, n, {_LUMA} AS luma FROM f) GROUP BY ALL
+  UNION ALL SELECT span_id, 3, 120 + (d >= 0.01)::INT + (d >= 0.05)::INT + (d >= 0.15)::INT, count(*)::DOUBLE FROM (SELECT span_id, {_APART.format(x="p", y="b")} AS d FROM f WHERE p IS NOT NULL) GROUP BY ALL),
+u AS (SELECT span_id, i, {_UNIT.format("PARTITION BY span_id, block")} AS x FROM part),
+e AS (SELECT span_id, i, coalesce(x, 0) AS x FROM (SELECT DISTINCT span_id, unnest(range(124)) AS i FROM b) LEFT JOIN u USING (span_id, i))
+SELECT span_id, i::INT AS i, round({_UNIT.format("PARTITION BY span_id")}, 6) AS x FROM e""",
+    "p23_text_features": f"""WITH q AS (SELECT p_partkey AS query_id, regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}]+') AS w FROM part),
+c(word, r, g, b) AS (VALUES {_COLOURS}), k(words, block, i, x) AS (VALUES {_BUMPS}),
+d(dr, dg, db, x) AS (VALUES (0, 0, 0, 1::DOUBLE), (1, 0, 0, 0.5), (-1, 0, 0, 0.5), (0, 1, 0, 0.5), (0, -1, 0, 0.5), (0, 0, 1, 0.5), (0, 0, -1, 0.5)),
+part AS (SELECT query_id, 0 AS block, (r + dr) * 16 + (g + dg) * 4 + b + db AS i, sum(x) AS x FROM (SELECT query_id, unnest(w) AS word FROM q) JOIN c USING (word), d
+    WHERE r + dr BETWEEN 0 AND 3 AND g + dg BETWEEN 0 AND 3 AND b + db BETWEEN 0 AND 3 GROUP BY ALL
+  UNION ALL SELECT query_id, block, i, sum(x) FROM q JOIN k ON list_has_any(w, words) GROUP BY ALL),
+u AS (SELECT query_id, i, {_UNIT.format("PARTITION BY query_id, block")} AS x FROM part)
+SELECT query_id, i::INT AS i, round({_UNIT.format("PARTITION BY query_id")}, 6) AS x FROM u""",
     "m6_still_spans": f"""WITH {_BYTES}, n AS (SELECT span_id, len(b) // 3 AS px, b FROM b),
-l AS (SELECT span_id, CASE WHEN px = 0 THEN 0 ELSE list_sum(list_transform(b[1:px * 3], lambda x, i: x * [0.299::DOUBLE, 0.587, 0.114][(i - 1) % 3 + 1])) / px / 255 END AS luma FROM n)
+l AS (SELECT span_id, {_LUMA} AS luma FROM n)
 SELECT span_id FROM l GROUP BY span_id HAVING count(*) >= 2 AND max(luma) > 0 AND max(luma) - min(luma) < 0.03""",
     "a21_frame_differences": f"""WITH {_BYTES}, l AS (SELECT *, lag(b) OVER (PARTITION BY span_id ORDER BY frame_idx) AS p FROM b)
 SELECT span_id, frame_idx, CASE WHEN p IS NOT NULL THEN round({_APART.format(x="p", y="b")}, 6) END AS difference FROM l""",
