@@ -69,9 +69,12 @@ def pack(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 def copies(chunks: DataFrame, window: int) -> DataFrame:
     """chunk_id and the places in it of documents whose whole text an earlier document has."""
     each = chunks.select("chunk_id", F.posexplode(F.arrays_zip("doc_ids", "sizes", "digests")).alias("place", "d"))
-    each = each.select("chunk_id", "place", F.coalesce("d.doc_ids", F.lit(_FIRST)).alias("doc_id"), "d.sizes", "d.digests").filter(F.col("sizes") >= window)
-    first = each.groupBy("digests").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return each.join(first, "digests").filter("doc_id > first").groupBy("chunk_id").agg(F.collect_list("place").alias("copies"))
+    each = each.select("chunk_id", "place", F.coalesce("d.doc_ids", F.lit(_FIRST)).alias("doc_id"), "d.digests").filter(F.col("d.sizes") >= window)
+    # one row for each text of a chunk, before anything is shuffled: chunks are bucketed by their id
+    each = each.groupBy("chunk_id", "digests").agg(F.collect_list(F.struct("doc_id", "place")).alias("docs"), F.min("doc_id").alias("least"))
+    first = each.groupBy("digests").agg(F.min("least").alias("first"), F.sum(F.size("docs")).alias("n")).filter("n > 1").drop("n")
+    later = each.join(first, "digests").select("chunk_id", "first", F.inline("docs")).filter("doc_id > first")
+    return later.groupBy("chunk_id").agg(F.collect_list("place").alias("copies"))
 
 
 class Chunk:
