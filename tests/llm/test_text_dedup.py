@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from momentlake.llm import line_dedup, near_dedup, suffix_dedup
+from momentlake.llm.components import components
 from momentlake.llm._words import buffers, prefix_sums, span_hash, word_spans, words
 from tests.llm import brute
 
@@ -158,3 +159,17 @@ def test_line_dedup_keeps_columns_of_any_name_and_long_texts(docs):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(rows.withColumns({c: F.lit("mine") for c in names})).collect()}
     assert all(r[c] == "mine" for r in got.values() for c in names if c != "n_lines")
     assert (got[1].n_lines, got[1].n_removed, got[3].text) == (20_000, 15_000, "x")
+
+
+def test_components_of_hubs_chains_and_random_graphs(spark):
+    rng = random.Random(8)
+    edges = [(1000 + i, 7) for i in range(500)] + [(i, i + 1) for i in range(3000, 3060)] + [(5, 5), (1001, 2), (2, 1001)]
+    edges += [(rng.randrange(5000, 5200), rng.randrange(5000, 5200)) for _ in range(120)]
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == least and len(got) == len(least)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
