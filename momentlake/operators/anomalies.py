@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from momentlake.functions import vectors
-from momentlake.operators.search import dedupe_ranked, rank_within
+from momentlake.operators.search import CELLS, dedupe_ranked, largest, rank_within
 from momentlake.sources.shared import shared_path
 
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 
 
 def centroid(df: DataFrame, dimension: int) -> DataFrame:
@@ -58,25 +59,31 @@ def exclude_baseline(df: DataFrame, dimension: int) -> DataFrame:
 def neighbours(df: DataFrame, k: int) -> DataFrame:
     """a, b, distance, rank: each row's k nearest others by cosine distance (id long, embedding), ties to smaller ids.
 
-    Rows are cut into blocks of about BLOCK; each pair of blocks is one matrix product, of which each row's
-    k best leave the task.
+    Rows are cut into n blocks, and each pair of blocks is compared in a task, of which each row's k best leave it:
+    2 * n copies of a row are shuffled. Blocks hold BLOCK rows, more (up to BLOCK_BYTES) once there are pairs enough
+    for all cores. Vectors that are null or hold null or non-finite components take no part.
     """
-    n = max(1, -(-df.count() // BLOCK))
-    rows = df.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"))
+    rows = df.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter(vectors.is_valid(F.col("embedding")))
+    count, size = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    enough = math.ceil(math.sqrt(4 * df.sparkSession.sparkContext.defaultParallelism))
+    n = max(1, -(-count * 8 * (size or 1) // BLOCK_BYTES), min(-(-count // BLOCK), enough))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        right = right.sort_by("id")
-        x, y = (np.asarray(t["embedding"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        d = 1 - x @ y.T
-        d[a[:, None] == b[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, best, 1).ravel()
-        keep = np.isfinite(near)
-        return pa.table({"a": np.repeat(a, best.shape[1])[keep], "b": b[best.ravel()][keep], "distance": near[keep]})
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("id")
+            x, y = (np.asarray(t["embedding"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            step = max(1, CELLS // len(b))
+            for at in range(0, len(a), step):
+                near = x[at : at + step] @ y.T - 1
+                near[a[at : at + step, None] == b[None, :]] = -np.inf
+                i, j, v, _ = largest(near, k)
+                keep = np.isfinite(v)
+                parts.append((a[at + i[keep]], b[j[keep]], 0.0 - v[keep]))
+        return pa.table(dict(zip(("a", "b", "distance"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
 
     one = rows.withColumn("j", other).groupBy("i", "j")
     two = rows.withColumnRenamed("i", "j").withColumn("i", other).groupBy("i", "j")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from momentlake.functions import vectors
+from momentlake.sources.shared import shared_path
 
 DIGITS = 9
+GROUP_BYTES, CELLS = 32 << 20, 1 << 21  # of a group of queries; scores computed at a time
 HIT = "query_id long, id string, source_file string, start_time double, end_time double, score double"
 
 
@@ -33,25 +34,34 @@ def unit_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", vectors.l2_normalize(F.col("embedding")))
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, dimension: int | None = None, group_rows: int = 1024) -> DataFrame:
+def top_k(chunks: DataFrame, queries: DataFrame, k: int, dimension: int | None = None, group_rows: int | None = None) -> DataFrame:
     """query_id, rank, id, source_file, start_time, end_time, score, distance: the k best of unit-length chunks by dot product.
 
-    Queries go to the tasks in groups of about group_rows; a batch of chunks and a group are one matrix
-    product, of which each query's k best leave the task. Ties go by source_file, start_time and id. Null vectors
-    and such with null or non-finite components take no part; one of another dimension than the queries' is an error.
+    Queries go to the tasks in groups of group_rows, or of about GROUP_BYTES; each group scans the chunks once, and where
+    there are several, its hits are written before the next one starts, so that one group is held at a time. In a
+    task, a batch of chunks gives the hits that are among the k best of all its batches so far. Ties go by
+    source_file, start_time and id. Null vectors and such with null or non-finite components take no part; one of
+    another dimension than the queries' is an error.
     """
     spark, empty = chunks.sparkSession, HIT + ", rank int, distance double"
     if k <= 0:
         return spark.createDataFrame([], empty)
     n, size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    dimension, groups = dimension or size or 0, -(-n // group_rows)
+    if not n:
+        return spark.createDataFrame([], empty)
+    dimension = dimension or size or 0
+    groups = -(-n // (group_rows or max(1024, GROUP_BYTES // (8 * max(dimension, 1)))))
     queries = queries.filter(_right(F.col("embedding"), dimension))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"))
     rows = chunks.select("id", "source_file", "start_time", "end_time", F.col("embedding").cast("array<double>").alias("embedding")).filter(_right(F.col("embedding"), dimension))
-    found = [_scored(rows, asked.filter(F.col("g") == g), k) for g in range(groups)]
-    if not found:
-        return spark.createDataFrame([], empty)
-    best = rank_within(reduce(DataFrame.unionByName, found), k, ["query_id"], [F.desc("score"), F.col("source_file"), F.col("start_time"), F.col("id")])
+    best, path = None, shared_path(spark, "hits")
+    for g in range(groups):
+        found = _scored(rows, asked.filter(F.col("g") == g), k)
+        best = rank_within(found, k, ["query_id"], [F.desc("score"), F.col("source_file"), F.col("start_time"), F.col("id")])
+        if groups > 1:
+            best.write.mode("append").parquet(path)
+    if groups > 1:
+        best = spark.read.parquet(path)
     return best.withColumn("distance", 1 - F.col("score"))
 
 
@@ -61,21 +71,45 @@ def _right(v: Column, dimension: int) -> Column:
     return F.when(vectors.is_valid(v) & (F.size(v) != dimension), other).otherwise(vectors.is_valid(v))
 
 
+def largest(s: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column, value and place of each row's k largest values (of those that reach its least), ties to smaller columns."""
+    n = s.shape[1]
+    limit = np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n)]
+    limit = limit if least is None else np.maximum(limit, least)
+    i, j = np.nonzero(s >= limit[:, None])
+    v = s[i, j]
+    order = np.lexsort((j, -v, i))
+    i, j, v = i[order], j[order], v[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return i[keep], j[keep], v[keep], place[keep]
+
+
 def _scored(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each Arrow batch for one bounded group of queries, which goes to all tasks."""
+    """Hits of one bounded group of queries, which goes to all tasks; each query's k best of a task are among them."""
     group = asked.toArrow()
-    ids, matrix = group["query_id"].to_numpy(), np.asarray(group["query"].combine_chunks().flatten(), np.float64).reshape(group.num_rows, -1)
+    matrix = np.asarray(group["query"].combine_chunks().flatten(), np.float64).reshape(group.num_rows, -1)
+    held = rows.sparkSession.sparkContext.broadcast((group["query_id"].to_numpy(), matrix))  # GROUP_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = held.value
+        kept = np.full((len(ids), k), -np.inf)  # the best scores so far
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
             b = b.take(pc.sort_indices(b, [(c, "ascending") for c in ("source_file", "start_time", "id")]))
-            s = np.asarray(b["embedding"].flatten(), np.float64).reshape(b.num_rows, -1) @ matrix.T
-            s = s.round(DIGITS)  # so that equal vectors tie, however the product is summed
-            best = np.argsort(-s, axis=0, kind="stable")[:k]
-            hits = b.select(["id", "source_file", "start_time", "end_time"]).take(pa.array(best.T.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(best))), *hits.columns, pa.array(np.take_along_axis(s, best, 0).T.ravel())], ["query_id", *hits.schema.names, "score"])
+            x = np.asarray(b["embedding"].flatten(), np.float64).reshape(b.num_rows, -1)
+            step = max(1, CELLS // b.num_rows)
+            for at in range(0, len(ids), step):
+                s = (matrix[at : at + step] @ x.T).round(DIGITS)  # so that equal vectors tie, however the product is summed
+                i, j, v, place = largest(s, k, kept[at : at + step, -1])
+                if not len(i):
+                    continue
+                top = np.full((len(s), k), -np.inf)
+                top[i, place] = v
+                kept[at : at + step] = -np.sort(-np.hstack([kept[at : at + step], top]), axis=1)[:, :k]
+                hits = b.select(["id", "source_file", "start_time", "end_time"]).take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), *hits.columns, pa.array(v)], ["query_id", *hits.schema.names, "score"])
 
     return rows.mapInArrow(score, HIT)
 

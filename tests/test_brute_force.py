@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from momentlake.operators import anomalies, frames
+from momentlake.operators import anomalies, frames, search
 from momentlake.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,38 @@ def test_span_features_by_hand(spark):
             motion[sum(moved >= e for e in (0.01, 0.05, 0.15))] += 1
         want = _unit(np.concatenate([_unit(hist / len(own)), _unit(grid / len(own)), _unit(bright / len(own)), _unit(motion / max(1, len(own) - 1))]))
         assert np.allclose([got[span][i] for i in range(124)], want, atol=2e-6)
+
+
+def test_top_k_over_batches_with_ties(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, size=(300, 4)).astype(float)  # most scores tie
+    q = rng.integers(-1, 2, size=(40, 4)).astype(float)
+    rows = [(f"c{i}", f"/{i % 7}", float(i % 3), float(i % 3 + 1), v.tolist()) for i, v in enumerate(x)]
+    c = spark.createDataFrame([*rows, ("none", "/", 0.0, 1.0, None)], "id string, source_file string, start_time double, end_time double, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        for group_rows in (None, 9):
+            got = {(r.query_id, r.rank): (r.id, r.score) for r in search.top_k(c, asked, 7, group_rows=group_rows).collect()}
+            for i, v in enumerate(q):
+                best = sorted((-float(v @ x[n]), s, a, name) for n, (name, s, a, _, _) in enumerate(rows))[:7]
+                assert [got[i, k + 1] for k in range(7)] == [(b[3], -b[0]) for b in best]
+            assert len(got) == 280
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, size=(90, 3)).astype(float)
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (90, None), (91, [float("nan"), 0.0, 0.0])], "id long, embedding array<double>")
+    d = 1 - x @ x.T
+    for block, block_bytes, cells in ((2048, 32 << 20, 1 << 21), (8, 1 << 20, 50), (8, 400, 7)):
+        monkeypatch.setattr(anomalies, "BLOCK", block)
+        monkeypatch.setattr(anomalies, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(anomalies, "CELLS", cells)
+        got = {(r.a, r["rank"]): (r.b, r.distance) for r in anomalies.neighbours(df, 5).collect()}
+        assert len(got) == 450
+        for a in range(90):
+            best = sorted((d[a, b], b) for b in range(90) if b != a)[:5]
+            assert [got[a, k + 1] for k in range(5)] == [(b, y) for y, b in best]
