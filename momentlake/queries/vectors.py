@@ -140,7 +140,7 @@ def a17_reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
 def a17_fusion(spark: SparkSession, d: str) -> DataFrame:
     lists = reduce(DataFrame.unionByName, _lists(spark, d)).withColumn("modality", F.col("list")).withColumn("text", F.concat(F.lit("moment "), "id"))
     out = fusion.fuse(lists, 5)
-    return out.select("query_id", "rank", "source_file", "start_time", "end_time", r6("score").alias("score"), "primary_modality", "evidence", F.to_json("score_breakdown").alias("score_breakdown"))
+    return out.select("query_id", "rank", "source_file", "start_time", "end_time", r6("score").alias("score"), "primary_modality", "evidence", *(r6(F.col("score_breakdown")[x]).alias(f"{x}_score") for x in ("visual", "scene_caption")))
 
 
 QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_dedupe, a5_centroid_anomaly, a6_knn_anomaly, a7_lof_anomaly, a8_baseline_exclusion, a9_highlights_in_query, a10_highlights_by_query, a11_highlight_selection, g7_best_category, g11_centroid, g12_retrieval_quality, p4_p5_vector_functions, a16_fulltext, a17_reciprocal_rank, a17_fusion)}
@@ -204,4 +204,23 @@ SELECT query_id, rank, id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM r W
 f AS (SELECT query_id, id, sum(w::DOUBLE / (60 + rank)) AS rrf FROM s WHERE rank <= 40 GROUP BY query_id, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, id)::INT AS rank FROM f)
 SELECT query_id, rank, id, round(least(rrf * 61, 1), 6) AS score FROM r WHERE rank <= 10""",
+    "a17_fusion": f"""WITH RECURSIVE {CHUNKS}, {ASKED}, l AS (
+  SELECT query_id, 0 AS o, 0.40::DOUBLE AS weight, id, source_file, start_time, end_time, round(list_dot_product(v, q), 9) AS score FROM chunks, asked
+  UNION ALL SELECT query_id, 1, 0.25::DOUBLE, id, source_file, start_time, end_time, round(list_dot_product(v[1:32], q[1:32]), 9) FROM chunks, asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY score DESC, source_file, start_time, id) AS rank FROM l),
+h AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id, source_file ORDER BY o, rank) AS n, o, rank, start_time AS a, end_time AS b, weight / (60 + rank) AS rrf, weight * score AS priority,
+  CASE WHEN o = 0 THEN 'visual' ELSE 'scene_caption' END AS modality, CASE WHEN o = 1 THEN 'moment ' || id END AS evidence, CASE WHEN o = 0 THEN 0 ELSE greatest(score, 0) END::DOUBLE AS told,
+  CASE WHEN o = 0 THEN score END AS visual, CASE WHEN o = 1 THEN score END AS caption FROM r WHERE rank <= 40),
+w AS (SELECT DISTINCT query_id, source_file, 0::BIGINT AS n,
+    []::STRUCT(o INT, rank BIGINT, ga DOUBLE, gb DOUBLE, a DOUBLE, b DOUBLE, rrf DOUBLE, priority DOUBLE, modality VARCHAR, evidence VARCHAR, told DOUBLE, visual DOUBLE, caption DOUBLE)[] AS found FROM h
+  UNION ALL SELECT query_id, source_file, n, CASE WHEN place = 0 THEN list_append(found, {{'o': o, 'rank': rank, 'ga': a, 'gb': b, 'a': a, 'b': b, 'rrf': rrf, 'priority': priority, 'modality': modality, 'evidence': evidence, 'told': told, 'visual': visual, 'caption': caption}})
+    ELSE list_transform(found, lambda c, i: CASE WHEN i <> place THEN c ELSE {{'o': c.o, 'rank': c.rank, 'ga': least(c.ga, a), 'gb': greatest(c.gb, b), 'a': CASE WHEN priority > c.priority THEN a ELSE c.a END, 'b': CASE WHEN priority > c.priority THEN b ELSE c.b END,
+      'rrf': c.rrf + rrf, 'priority': greatest(c.priority, priority), 'modality': CASE WHEN priority > c.priority THEN modality ELSE c.modality END, 'evidence': CASE WHEN told > c.told AND evidence IS NOT NULL THEN evidence ELSE c.evidence END,
+      'told': CASE WHEN told > c.told AND evidence IS NOT NULL THEN told ELSE c.told END, 'visual': greatest(c.visual, visual), 'caption': greatest(c.caption, caption)}} END) END
+  FROM (SELECT h.*, w.found, coalesce(list_position(list_transform(w.found, lambda c: h.o > 0 AND greatest(least(c.gb, h.b) - greatest(c.ga, h.a), 0) / greatest(least(c.gb - c.ga, h.b - h.a), 0.001) >= 0.2), true), 0) AS place
+    FROM w JOIN h ON h.query_id = w.query_id AND h.source_file = w.source_file AND h.n = w.n + 1)),
+f AS (SELECT query_id, source_file, unnest(found, max_depth := 2) FROM w QUALIFY row_number() OVER (PARTITION BY query_id, source_file ORDER BY n DESC) = 1),
+best AS (SELECT query_id, source_file, a, b, rrf, modality, evidence, visual, caption, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, o, rank, source_file, a)::INT AS place FROM f)
+SELECT query_id, place AS rank, source_file, a AS start_time, b AS end_time, round(least(greatest(rrf * 61, 0), 1), 6) AS score, modality AS primary_modality, evidence,
+  round(visual, 6) AS visual_score, round(caption, 6) AS scene_caption_score FROM best WHERE place <= 5""",
 }
