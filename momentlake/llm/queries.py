@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import ann, chat, decontaminate, hmm, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from momentlake.llm import ann, bpe, chat, decontaminate, hmm, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -85,6 +85,11 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 10) == 0)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_hmm_score": op10_hmm_score,
+    "op13_bpe": op13_bpe,
 }
 
 SQL: dict[str, str] = {
