@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import ann, bpe, chat, decontaminate, hmm, line_dedup, near_dedup, packing, suffix_dedup, toxicity, warc
+from momentlake.llm import ann, bpe, chat, decontaminate, hmm, line_dedup, near_dedup, packing, repair, suffix_dedup, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -85,6 +85,21 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 10) == 0)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.lit(" ")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    h = F.crc32(key.cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(h == 4, "user").otherwise(F.col("role"))
+    times = F.when(h == 0, 0).when(h == 3, 2).otherwise(1)
+    damaged = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times))).drop("col")
+    fixed = repair.repair(damaged).withColumnRenamed("conv_id", "own")
+    every = turns.select("conv_id").distinct().join(fixed, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -101,9 +116,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_hmm_score": op10_hmm_score,
+    "op12_repair": op12_repair,
     "op13_bpe": op13_bpe,
 }
 
+_CRC = """crcs AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc(octets: str) -> str:
+    """crc32 of a list of bytes, with crcs in the FROM clause."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}::BIGINT[]), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"
+
+
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -138,4 +163,37 @@ k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS kept, count(*
 SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
        CASE WHEN l.text IS NULL THEN NULL ELSE md5(coalesce(k.kept, '')) END AS kept_md5
 FROM l LEFT JOIN k ON l.doc_id = k.doc_id""",
+    "op12_repair": f"""
+WITH RECURSIVE {_CRC},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          {_crc("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x))")} % 20 AS h FROM conversations, crcs),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+w AS (SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS trimmed, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM d),
+f AS (SELECT *, CASE WHEN trimmed = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM w),
+e AS (SELECT *, fault IN ('b', 'd') AS gone, CASE fault WHEN 't' THEN 5 ELSE 0 END AS more, role || ':' || text AS line FROM f),
+k AS (SELECT conv_id, n AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS p, {{'c': 10, 'a': 'II', 'r': ['user:', 'assistant:']}} AS s, {{'c': 5, 'a': 'I', 'r': ['assistant:']}} AS u, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS a
+        FROM e WHERE i = 1
+      UNION ALL
+      SELECT conv_id, i, list_min([p, {{'c': u.c + 5, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}}, {{'c': a.c + 10, 'a': 'II' || a.a, 'r': list_concat(['user:', 'assistant:'], a.r)}}]),
+        list_min([s, {{'c': u.c + 5, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}}, {{'c': a.c + 10, 'a': 'II' || a.a, 'r': list_concat(['user:', 'assistant:'], a.r)}}]),
+        list_min([u, {{'c': a.c + 5, 'a': 'I' || a.a, 'r': list_prepend('assistant:', a.r)}}]),
+        list_min([a, {{'c': u.c + 5, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}}])
+      FROM (SELECT k.conv_id, k.i - 1 AS i,
+        list_min([{{'c': p.c + 2, 'a': 'D' || p.a, 'r': p.r}}, {{'c': u.c + 1 + more + CASE WHEN gone THEN 999 ELSE 0 END, 'a': 'R' || u.a, 'r': list_prepend('user:' || text, u.r)}},
+          {{'c': u.c + more + CASE WHEN gone OR x <> 'u' THEN 999 ELSE 0 END, 'a': 'K' || u.a, 'r': list_prepend(line, u.r)}}, {{'c': s.c + more + CASE WHEN gone OR x <> 's' THEN 999 ELSE 0 END, 'a': 'K' || s.a, 'r': list_prepend(line, s.r)}}]) AS p,
+        list_min([{{'c': s.c + 2, 'a': 'D' || s.a, 'r': s.r}}, {{'c': u.c + 1 + more + CASE WHEN gone THEN 999 ELSE 0 END, 'a': 'R' || u.a, 'r': list_prepend('user:' || text, u.r)}},
+          {{'c': u.c + more + CASE WHEN gone OR x <> 'u' THEN 999 ELSE 0 END, 'a': 'K' || u.a, 'r': list_prepend(line, u.r)}}]) AS s,
+        list_min([{{'c': u.c + 2, 'a': 'D' || u.a, 'r': u.r}}, {{'c': a.c + 1 + more + CASE WHEN gone THEN 999 ELSE 0 END, 'a': 'R' || a.a, 'r': list_prepend('assistant:' || text, a.r)}},
+          {{'c': a.c + more + CASE WHEN gone OR x <> 'a' THEN 999 ELSE 0 END, 'a': 'K' || a.a, 'r': list_prepend(line, a.r)}}]) AS u,
+        list_min([{{'c': a.c + 2, 'a': 'D' || a.a, 'r': a.r}}, {{'c': u.c + 1 + more + CASE WHEN gone THEN 999 ELSE 0 END, 'a': 'R' || u.a, 'r': list_prepend('user:' || text, u.r)}},
+          {{'c': u.c + more + CASE WHEN gone OR x <> 'u' THEN 999 ELSE 0 END, 'a': 'K' || u.a, 'r': list_prepend(line, u.r)}}]) AS a
+        FROM k JOIN e ON e.conv_id IS NOT DISTINCT FROM k.conv_id AND e.i = k.i)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM e GROUP BY conv_id),
+l AS (SELECT a.conv_id, count(*) FILTER (a.x || b.x NOT IN ('su', 'ua', 'au')) AS illegal FROM e a JOIN e b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = a.i + 1 GROUP BY a.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(k.p.c, 0)::BIGINT AS cost, coalesce(k.p.a, '') AS audit, sha256(coalesce(array_to_string(k.p.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.i = 0""",
 }
