@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.llm import ann, bpe, chat, decontaminate, hmm, line_dedup, near_dedup, packing, repair, suffix_dedup, toxicity, warc
+from momentlake.llm import ann, bpe, chat, decontaminate, hmm, line_dedup, near_dedup, packing, repair, spelling, suffix_dedup, toxicity, warc
 from momentlake.llm._shared import crc_mod, new_path
 
 
@@ -85,6 +85,11 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 10) == 0)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), change=spelling.drop_one_of(199))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = F.lit(" ")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_hmm_score": op10_hmm_score,
+    "op11_spelling": op11_spelling,
     "op12_repair": op12_repair,
     "op13_bpe": op13_bpe,
 }
@@ -163,6 +169,20 @@ k AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.i) AS kept, count(*
 SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
        CASE WHEN l.text IS NULL THEN NULL ELSE md5(coalesce(k.kept, '')) END AS kept_md5
 FROM l LEFT JOIN k ON l.doc_id = k.doc_id""",
+    "op11_spelling": f"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc, run, count(*) AS c FROM r WHERE length(run) >= 6 GROUP BY doc, run),
+h AS (SELECT run, c, {_crc("flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END))")} AS h FROM g, crcs),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT v.word, d.word, d.n FROM v JOIN d ON d.rest = v.word UNION SELECT d.word, v.word, v.n FROM v JOIN d ON d.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS best_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END::BIGINT AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+t AS (SELECT word, word AS at, form AS further FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.further)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.further IS NULL""",
     "op12_repair": f"""
 WITH RECURSIVE {_CRC},
 src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
