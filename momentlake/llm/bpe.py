@@ -38,7 +38,7 @@ from momentlake.llm._shared import text_slices
 SHORT = 64  # bytes of a word that goes through rank arrays
 NONE = np.iinfo(np.int32).max
 SPACE, LETTER, NUMBER, OTHER, YOUNG = range(5)
-_KEPT, _CHARS, _ROWS = 1 << 18, 1 << 21, 1 << 16  # words kept, characters cut at a time, parts in rank arrays at a time
+_KEPT, _CHARS, _ROWS = 1 << 18, 1 << 20, 1 << 16  # words kept, characters cut at a time, parts in rank arrays at a time
 _LATER_GAP = regex.compile(r"(?<=\S)\s")
 
 
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in text_slices(batches, "text", 4 << 20):
+        for b in text_slices(batches, "text", 2 << 20):
             ids = own.encode([t.as_py() or "" for t in b["text"]])
             ends = np.cumsum([0, *map(len, ids)])
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
