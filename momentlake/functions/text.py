@@ -91,8 +91,12 @@ def short_error(text: Column) -> Column:
     return F.left(text, F.lit(500))
 
 
+#: What errors say that stay however often a chunk is tried again.
+PERMANENT = ("oom", "out of memory", "invalid data", "could not decode", "no such file")
+
+
 def is_permanent_failure(error: Column, not_found: Column | None = None) -> Column:
-    known = F.lower(error).rlike("oom|out of memory|invalid data|could not decode|no such file")
+    known = F.lower(error).rlike("|".join(PERMANENT))
     return known if not_found is None else known | not_found
 
 

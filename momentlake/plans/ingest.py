@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.functions.moments import chunk_id, fixed_windows
-from momentlake.functions.text import short_error
+from momentlake.functions.text import PERMANENT, short_error
 from momentlake.functions.vectors import is_valid, l2_normalize
 from momentlake.operators.records import pending
 
@@ -42,31 +43,60 @@ def segments(media: DataFrame, chunk_ms: int = 30_000, overlap_ms: int = 5_000)
     return rows.select(chunk_id(F.col("source_file"), F.col("start_time")).alias("id"), *rows.columns)
 
 
-def embed(rows: DataFrame, payload: str, embedder: Embedder, attempts: int = 3, batch: int = 64) -> DataFrame:
-    """Rows with vector, error and attempts: whole batches first, single rows where a batch is refused, each up to `attempts` times."""
+def permanent(error: str) -> bool:
+    """Whether an error stays however often a batch is tried again; as is_permanent_failure says of columns."""
+    return any(x in error.lower() for x in PERMANENT)
+
+
+def embed_wanted(rows: DataFrame, payload: str, wanted: Column, embedder: Embedder, attempts: int = 3, batch: int = 64, wait: float = 0.0) -> DataFrame:
+    """Rows with vector, error and attempts (null where not wanted).
+
+    Whole batches of wanted rows first; where a batch is refused, or answered with another number of vectors, its rows
+    one by one, each up to `attempts` times, but once where its error is permanent. wait: seconds before the second
+    attempt, doubled before each later one, at most 32 times that.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
+    def vectors(values: list) -> list[list[float]]:
+        out = [np.asarray(v, float).tolist() for v in embedder(values)]
+        if len(out) != len(values):
+            raise ValueError(f"the embedder returned {len(out)} vectors for {len(values)}")
+        return out
+
     def one(value: object) -> tuple[list | None, str | None, int]:
-        error = None
-        for k in range(1, attempts + 1):
+        for k in range(1, max(attempts, 1) + 1):
             try:
-                return np.asarray(embedder([value])[0], float).tolist(), None, k
+                return vectors([value])[0], None, k
             except Exception as e:  # noqa: BLE001
                 error = str(e)
-        return None, error, attempts
+                if permanent(error) or isinstance(e, FileNotFoundError):
+                    break
+                time.sleep(wait * 2 ** min(k - 1, 5) if k < attempts else 0)
+        return None, error, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, batch) for i in range(0, whole.num_rows, batch)):
-                values = b[payload].to_pylist()
+        for b in batches:
+            out: list[tuple] = [(None, None, None)] * b.num_rows
+            asked = np.flatnonzero(b["_wanted"].to_numpy(zero_copy_only=False)).tolist()
+            values = b[payload].take(pa.array(asked, pa.int64())).to_pylist()
+            for k in range(0, len(asked), batch):
+                some = values[k : k + batch]
                 try:
-                    done = [(np.asarray(v, float).tolist(), None, 1) for v in embedder(values)]
+                    done = [(v, None, 1) for v in vectors(some)]
                 except Exception:  # noqa: BLE001
-                    done = [one(v) for v in values]
-                vector, error, tries = zip(*done, strict=True) if done else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vector, pa.list_(pa.float64())), pa.array(error, pa.string()), pa.array(tries, pa.int64())], [*b.schema.names, "vector", "error", "attempts"])
+                    done = [one(v) for v in some]
+                for i, x in zip(asked[k : k + batch], done, strict=True):
+                    out[i] = x
+            vector, error, tries = zip(*out, strict=True) if out else ((), (), ())
+            own = b.drop_columns(["_wanted"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(vector, pa.list_(pa.float64())), pa.array(error, pa.string()), pa.array(tries, pa.int64())], [*own.schema.names, "vector", "error", "attempts"])
+
+    return rows.withColumn("_wanted", F.coalesce(wanted, F.lit(False))).mapInArrow(run, f"{fields}, vector array<double>, error string, attempts long")
 
-    return rows.mapInArrow(run, f"{fields}, vector array<double>, error string, attempts long")
+
+def embed(rows: DataFrame, payload: str, embedder: Embedder, attempts: int = 3, batch: int = 64) -> DataFrame:
+    """embed_wanted() for all rows."""
+    return embed_wanted(rows, payload, F.lit(True), embedder, attempts, batch)
 
 
 @dataclass
