@@ -69,17 +69,27 @@ def retrieval_quality(results: DataFrame, truth: DataFrame, cuts: tuple[int, ...
     return first.agg(F.count("*").alias("queries"), *hits, F.avg(F.coalesce(1 / F.col("at"), F.lit(0.0))).alias("mrr"), F.avg((F.col("n") == 0).cast("double")).alias("empty_rate"))
 
 
-def best_category(chunks: DataFrame, categories: DataFrame, similarity: Column) -> DataFrame:
+def checked_categories(categories: DataFrame, most: int = 10_000) -> DataFrame:
+    """categories; raises ValueError for more than `most`, as all of them go to every task."""
+    if categories.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} categories")
+    return categories
+
+
+def best_category(chunks: DataFrame, categories: DataFrame, similarity: Column, group: int = 10_000) -> DataFrame:
     """Per source the category (position, name, centre) of its most similar chunk; the earlier category wins ties.
 
-    Raises ValueError for more than 10,000 categories, as all of them go to every task.
+    Where there are more than `group` categories, they go to the tasks in groups, each of which scans the chunks once.
     """
-    if categories.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 categories")
-    scored = chunks.join(F.broadcast(categories)).withColumn("score", similarity)
-    best = F.row_number().over(W.partitionBy("source_file").orderBy(F.desc("score"), "position"))
-    per = scored.groupBy("source_file", "position", "name").agg(F.max("score").alias("score"))
-    return per.withColumn("n", best).filter("n = 1").select("source_file", F.col("name").alias("category"), "score")
+    n = max(1, -(-categories.count() // group))
+    numbered = categories.withColumn("_g", F.pmod(F.xxhash64("position"), F.lit(n)))
+    best = None
+    for g in range(n):
+        scored = chunks.join(F.broadcast(numbered.filter(F.col("_g") == g).drop("_g"))).withColumn("score", similarity)
+        per = scored.groupBy("source_file").agg(F.min(F.struct((-F.col("score")).alias("apart"), "position", "name")).alias("b"))
+        best = per if best is None else best.unionByName(per)
+    best = best.groupBy("source_file").agg(F.min("b").alias("b"))
+    return best.select("source_file", F.col("b.name").alias("category"), (-F.col("b.apart")).alias("score"))
 
 
 def apply_categories(files: DataFrame, categories: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from momentlake.sources import media
 from momentlake.sources.shared import shared_path
 from momentlake.sources.snapshots import SnapshotTable
 from momentlake.streaming import ingest as streams
+from momentlake.streaming import keyed
 
 MODALITIES = ("scene_caption", "ocr", "transcript")
 
@@ -180,14 +181,48 @@ def a23_spaced_frames(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.array_join(M.spaced_frames(n, fps, 8, start, start + 10), " ").alias("frames"), F.size(M.spaced_frames(n, fps, 500)).alias("whole"))
 
 
+def _event_files(spark: SparkSession, d: str, n: int, late: int = 0) -> DataFrame:
+    """Events as a stream of n batches, by parts of the time that they span; every 50th comes `late` batches later, and after all of them one without a type, a day on."""
+    path, events = shared_path(spark, "events"), table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.floor((F.unix_micros("ts") - low) * n / (high - low + 1)) + F.when(F.col("event_id") % 50 == 0, late).otherwise(0), F.lit(n - 1))
+    for k in range(n):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit(high + 86_400_000_000)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_records(spark, path, events.schema, files_per_trigger=1)
+
+
+def _first_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream in files that go back in time, one a batch; of each user the first event."""
+    home, rank = shared_path(spark, "seen"), ["us", "event_id"]
+    events = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("us"), "event_id")
+    for k in range(4):
+        events.filter(F.pmod("event_id", F.lit(4)) == 3 - k).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    rows = streams.read_records(spark, f"{home}/in", events.schema, files_per_trigger=1)
+    keyed.keep_best(rows, f"{home}/out", f"{home}/checkpoint", "user_id", rank).awaitTermination()
+    return keyed.stored_best(spark, f"{home}/out", "user_id long, us long, event_id long", "user_id", rank)
+
+
 def t2_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, each user once."""
-    home = shared_path(spark, "seen")
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    rows = streams.read_records(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.first_seen(rows, "user_id").select("user_id")
-    out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long").parquet(f"{home}/out")
+    return _first_events(spark, d).select("user_id")
+
+
+def t2_first_events(spark: SparkSession, d: str) -> DataFrame:
+    return _first_events(spark, d)
+
+
+def t3_closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a stream that closes them under a watermark: what each had when it was closed and what came late for it."""
+    home = shared_path(spark, "windows")
+    store = keyed.WindowStore(spark, f"{home}/store", "6 hours", "5 hours", delay_ms=3_600_000)
+    keyed.window_counts(_event_files(spark, d, 4, late=2), store, f"{home}/checkpoint").awaitTermination()
+    keys = [F.unix_micros("window_start").alias("window_start"), F.col("event_type")]
+    closed = store.closed().filter("event_type is not null").groupBy(*keys).agg(F.count("*").alias("times"), F.sum("n").alias("n"), r6(F.sum("total")).alias("total"))
+    late = store.late().groupBy(*keys).agg(F.count("*").alias("late"))
+    out = closed.join(late, ["window_start", "event_type"], "full_outer")
+    return out.select("window_start", "event_type", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("times", "n", "late")), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def t4_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -195,31 +230,27 @@ def t4_progress(spark: SparkSession, d: str) -> DataFrame:
     home = shared_path(spark, "progress")
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     rows = streams.read_records(spark, f"{d}/documents.parquet*", schema).select("doc_id")
-    query = rows.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    seen = streams.progress(query)
-    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows"), F.lit(seen["batches"] > 0).alias("any"))
+    with keyed.MetricsTable(spark, f"{home}/metrics") as metrics:
+        query = rows.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen = metrics.of(query)
+        return seen.agg(F.sum("rows").alias("rows"), (F.count_if(F.col("rows") > 0) > 0).alias("any"))
 
 
 def t5_live_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks come in as a stream; the categories of their files follow each batch."""
+    """Chunks come in as a stream; the best category of each file, merged with what its earlier chunks gave."""
     home = shared_path(spark, "live")
     mean = V.component_mean(F.col("embedding"), 64)
     named = table(spark, d, "embeddings").filter("label < 9").groupBy("label").agg(mean.alias("centre"))
     named = named.select(F.col("label").alias("position"), F.format_string("category_%d", "label").alias("name"), "centre")
-    stored = chunks(spark, d)
-    table_of = SnapshotTable(spark, f"{home}/chunks", stored.schema)
-    categories = SnapshotTable(spark, f"{home}/categories", spark.createDataFrame([], "path string, category string").schema)
-    best = lambda c: records.best_category(c, named, F.round(V.cosine(F.col("embedding"), F.col("centre")), 9))
     schema = spark.read.parquet(f"{d}/embeddings.parquet").schema
-    rows = streams.read_records(spark, f"{d}/embeddings.parquet*", schema)
     v = F.col("vec_id")
-    rows = rows.select(F.format_string("c%08d", v).alias("id"), F.format_string("/lib/%02d.mp4", v % 37).alias("source_file"), (F.floor(v / 37) * 25.0).alias("start_time"), (F.floor(v / 37) * 25.0 + 30.0).alias("end_time"), "embedding", "vec_id", "label")
-    streams.ingest(rows, table_of, f"{home}/checkpoint", "id", streams.categorize(table_of, categories, best)).awaitTermination()
-    return categories.read()
+    rows = streams.read_records(spark, f"{d}/embeddings.parquet*", schema).select(F.format_string("/lib/%02d.mp4", v % 37).alias("source_file"), "embedding")
+    streams.live_categories(rows, named, F.round(V.cosine(F.col("embedding"), F.col("centre")), 9), f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    return streams.stored_categories(spark, f"{home}/out").select("path", "category")
 
 
-QUERIES = {f.__name__: f for f in (a14_semantic_index, a15_enrichment_topk, a17_fused_search, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t4_progress, t5_live_categories)}
+QUERIES = {f.__name__: f for f in (a14_semantic_index, a15_enrichment_topk, a17_fused_search, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t2_first_events, t3_closed_windows, t4_progress, t5_live_categories)}
 
 _SEGMENTS = """segments AS (SELECT *, ['scene_caption', 'ocr', 'transcript'][vec_id % 3 + 1] AS modality FROM chunks WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 3)"""
 
@@ -274,6 +305,14 @@ f AS (SELECT *, least(n - 1, trunc(s * fps)::INT) AS a FROM o), g AS (SELECT *,
 SELECT o_orderkey, CASE WHEN n > 0 THEN array_to_string(list_transform(range(0, c), lambda i: trunc(a + i * ((b - a)::DOUBLE / greatest(c - 1, 1)))::INT), ' ') END AS frames,
   CASE WHEN n > 0 THEN least(500, n) END AS whole FROM h""",
     "t2_first_seen": "SELECT DISTINCT user_id FROM events",
+    "t2_first_events": "SELECT user_id, min(epoch_us(ts)) AS us, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
+    "t3_closed_windows": """WITH b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+e AS (SELECT epoch_us(ts) AS us, event_type, value, least((epoch_us(ts) - low) * 4 // (high - low + 1) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END, 3) AS part FROM events, b),
+m AS (SELECT p AS part, max(us) // 1000 AS latest FROM e, (SELECT unnest([0, 1, 2, 3]) AS p) WHERE part < p GROUP BY p),
+w AS (SELECT e.*, (us // 18000000000 - i) * 18000000 AS start_ms FROM e, (SELECT unnest([0, 1]) AS i) WHERE us < ((us // 18000000000 - i) * 18000000 + 21600000) * 1000),
+l AS (SELECT w.*, coalesce(start_ms + 21600000 <= latest - 3600000, false) AS late FROM w LEFT JOIN m ON m.part = w.part)
+SELECT start_ms * 1000 AS window_start, event_type, (count_if(NOT late) > 0)::BIGINT AS times, count_if(NOT late)::BIGINT AS n, count_if(late)::BIGINT AS late,
+  round(coalesce(sum(value) FILTER (NOT late), 0), 6) AS total FROM l GROUP BY start_ms, event_type""",
     "t4_progress": "SELECT count(*)::BIGINT AS rows, true AS any FROM documents",
     "t5_live_categories": f"""WITH {CHUNKS}, m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM chunks WHERE label < 9) GROUP BY label, i) GROUP BY label),
 s AS (SELECT source_file, m.label AS position, max(round(list_cosine_similarity(v, c), 9)) AS score FROM chunks, m GROUP BY source_file, m.label)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from momentlake.operators import records
 from momentlake.sources.snapshots import SnapshotTable
+from momentlake.streaming import keyed
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -33,23 +35,19 @@ def sliding_counts(events: DataFrame, length: str = "30 seconds", step: str = "2
     return rows.groupBy(F.window("ts", length, step).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n", "total")
 
 
-def first_seen(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """Each key once, as far as the watermark on ts reaches back."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if stream.isStreaming else stream.dropDuplicates([key])
+def first_seen(rows: DataFrame, key: str) -> DataFrame:
+    """Each key once, with one of its rows. A stream's state holds the keys; rows that share a key should be equal, as those of deterministic ids are, or else keep_best() says which one counts."""
+    return rows.dropDuplicates([key])
 
 
-def progress(query: StreamingQuery) -> dict[str, int]:
-    """Batches, rows and seconds of a query so far, from its own metrics."""
-    seen = query.recentProgress
-    return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "millis": sum(p["batchDuration"] for p in seen)}
+def live_categories(chunks: DataFrame, categories: DataFrame, similarity: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Categories (position, name, centre) of the files of a stream of chunks (source_file, ...): the best so far of each file is kept, and a batch's chunks are merged with it."""
+    rows = chunks.join(F.broadcast(records.checked_categories(categories)))
+    scored = rows.select("source_file", (-similarity).alias("apart"), "position", "name")
+    return keyed.keep_best(scored, path, checkpoint, "source_file", ["apart", "position"])
 
 
-def categorize(chunks: SnapshotTable, categories: SnapshotTable, best: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], None]:
-    """For ingest's `after`: the categories (path, category) of the files in a batch, by `best` of all their stored chunks."""
-
-    def after(batch: DataFrame) -> None:
-        files = batch.select("source_file").distinct()
-        found = best(chunks.read().join(files, "source_file", "left_semi"))
-        categories.upsert(found.select(F.col("source_file").alias("path"), "category"), "path")
-
-    return after
+def stored_categories(spark: SparkSession, path: str) -> DataFrame:
+    """path, category, score of each file that live_categories() has seen."""
+    best = keyed.stored_best(spark, path, "source_file string, apart double, position long, name string", "source_file", ["apart", "position"])
+    return best.select(F.col("source_file").alias("path"), F.col("name").alias("category"), (-F.col("apart")).alias("score"))
