@@ -11,7 +11,7 @@ conversation of any length is formatted by as many tasks as it needs; `chunk` or
 
 Defined cases: turns go by (turn, role, text), nulls first; a null text or role is empty; roles other than
 user, assistant, system and tool are spelled out between two markers; a null conv_id is a conversation of
-its own; an empty table gives no rows.
+its own; white space of any length is text like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 ROLES = ("system", "user", "assistant", "tool")
 RENDERED = {**{r: f"### {r.capitalize()}: " for r in ROLES}, "role": "### Role ", "colon": ": ", "end": "</turn>\n"}
 CHUNK_TURNS, CHUNK_CHARS = 512, 1 << 20
+LONG_GAP = 100_000  # white-space characters in a row that are encoded on their own
 
 
 def escape(text: str) -> str:
@@ -40,15 +42,33 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\#<])", r"\1", text)
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str, special: tuple[tuple[str, int], ...] = ()):  # noqa: ANN201
-    """The byte-level BPE of a .tiktoken ranks file, with special tokens (text, id)."""
+@lru_cache(maxsize=8)
+def encoding(path: str, special: tuple[tuple[str, int], ...] = (), pattern: str | None = None):  # noqa: ANN201
+    """The byte-level BPE of a .tiktoken ranks file, with special tokens (text, id); pattern: another than its own for words."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+    return tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+
+
+def encode_text(path: str, text: str, special: tuple[tuple[str, int], ...] = ()) -> list[int]:
+    """The ids of a text, special tokens in it included.
+
+    The library's pattern engine gives up on about a million white-space characters in a row. Where there are LONG_GAP
+    of them, they are encoded as the one word that the pattern makes of them: all but the last, which goes with what
+    follows, or all at the end of the text.
+    """
+    enc, known, out, at = encoding(path, special), {x for x, _ in special}, [], 0
+    if len(text) > LONG_GAP:
+        for gap in regex.finditer(r"\s+", text):
+            if gap.end() - gap.start() > LONG_GAP:
+                end = gap.end() - (gap.end() < len(text))
+                out += enc.encode(text[at : gap.start()], allowed_special=known, disallowed_special=())
+                out += encoding(path, (), r"(?s).+").encode_ordinary(text[gap.start() : end])
+                at = end
+    return out + enc.encode(text[at:] if at else text, allowed_special=known, disallowed_special=())
 
 
 def default_ranks() -> str:
@@ -61,7 +81,7 @@ class Template:
     """Ids of the markers, and turns to ids and back."""
 
     def __init__(self, path: str) -> None:
-        self.enc = encoding(path)
+        self.path, self.enc = path, encoding(path)
         first = self.enc.max_token_value + 2  # one id is left to the vocabulary's own end-of-text
         self.ids = {name: first + i for i, name in enumerate(RENDERED)}
         self.names = {i: name for name, i in self.ids.items()}
@@ -70,8 +90,8 @@ class Template:
     def assemble(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         parts, at, marks = [], 0, []
         for role, text in turns:
-            body = self.enc.encode_ordinary(escape(text))
-            head = [self.ids[role]] if role in ROLES else [self.ids["role"], *self.enc.encode_ordinary(escape(role)), self.ids["colon"]]
+            body = encode_text(self.path, escape(text))
+            head = [self.ids[role]] if role in ROLES else [self.ids["role"], *encode_text(self.path, escape(role)), self.ids["colon"]]
             at += len(head)
             if role == "assistant":
                 marks += [(at, 1), (at + len(body), -1)]

@@ -116,7 +116,7 @@ class Vocabulary:
 
     def classes(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.words, words).clip(max=len(self.words) - 1)
-        return np.where(self.words[at] == words, at, len(self.words) + shapes.astype(np.int64)).astype(np.uint16)
+        return np.where(self.words[at] == words, at, len(self.words) + shapes.astype(np.int64)).astype(np.uint32)
 
 
 def vocabulary(counts: DataFrame, top: int) -> Vocabulary:
@@ -241,7 +241,7 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int) -> Model:
                 for sizes, held, cls in zip(b["sizes"], b["held_out"], b["classes"], strict=True):
                     s = sequences(np.asarray(sizes.values), ~np.asarray(held.values.to_numpy(zero_copy_only=False)))
                     if len(s[0]):
-                        total += np.vstack(expected_counts(m, expand(cls.as_py(), np.uint16), *s))
+                        total += np.vstack(expected_counts(m, expand(cls.as_py(), np.uint32), *s))
             seen = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(total[seen, k]) for k in range(states))], ["row", *columns])
 
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, held_out: Column, states: int = 8, rounds:
         for b in batches:
             for r in b.to_pylist():
                 sizes = np.array(r["sizes"], np.int64)
-                score = log10_likelihood(m, expand(r["classes"], np.uint16), np.cumsum(sizes) - sizes, sizes) + np.array(r["share"])
+                score = log10_likelihood(m, expand(r["classes"], np.uint32), np.cumsum(sizes) - sizes, sizes) + np.array(r["share"])
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["held_out"], pa.bool_()), pa.array(sizes), pa.array(r["known"], pa.int64()), pa.array(np.full(len(sizes), n)), pa.array(r["base"], pa.float64()), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return encoded.mapInArrow(scored, schema)

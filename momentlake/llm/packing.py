@@ -11,7 +11,7 @@ text passes the driver; it sees counts alone.
 
 Ids are those of the vocabulary's tokenizers file: the text of its special token, wherever it occurs, is that one id.
 
-Defined cases: a null or empty text is the end id alone; rows that repeat a doc_id are packed as they come,
+Defined cases: a null or empty text is the end id alone; white space of any length is tokenized like any other text; rows that repeat a doc_id are packed as they come,
 each with all its pieces; an empty table gives no rows; columns of pieces called sequence_id or offset are replaced,
 all others stay whatever their names are.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.llm._shared import stage, unused
-from momentlake.llm.chat import default_ranks, encoding
+from momentlake.llm.chat import default_ranks, encode_text
 
 SPECIAL = (("<|endoftext|>", 50256),)  # fixed value: the special token of the vocabulary and its id
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -43,15 +43,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize(docs: DataFrame, capacity: int = 2048, end_id: int = 0, ranks: str | None = None, with_ids: bool = False, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """Pieces of doc_id and text of docs; with_ids adds their token ids."""
-    ranks, known = ranks or default_ranks(), {x for x, _ in special}
+    ranks = ranks or default_ranks()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks, special)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out: list[list] = [[] for _ in range(5 + with_ids)]
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True):
-                    ids = np.array([*enc.encode(text.as_py() or "", allowed_special=known), end_id], "<u4")
+                    ids = np.array([*encode_text(ranks, text.as_py() or "", special), end_id], "<u4")
                     for k, (start, length) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + length]
                         for column, value in zip(out, (doc_id, k, start, length, zlib.crc32(own.tobytes()), own.astype(np.int32)), strict=False):

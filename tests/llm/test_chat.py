@@ -1,8 +1,11 @@
 import hashlib
 
 import numpy as np
+import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from momentlake.llm import chat
 
@@ -42,3 +45,18 @@ def test_conversations(spark):
         assert got[conv].turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "\u2003", " \n"])
+def test_long_white_space_has_the_ids_of_the_tokenizers_file(unit):
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    n = 5_000_000 // len(unit) if unit in " \n\t" else 300_000
+    for text in (unit * n, unit * n + "x", f"a b{unit * n}word {unit * 200_000}", f"x{unit * 100_000} y"):
+        assert chat.encode_text(chat.default_ranks(), text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_conversation_of_long_white_space(spark):
+    rows = [(1, 0, "user", " " * 1_500_000 + "x"), (1, 1, "assistant", "\n" * 1_200_000)]
+    got = chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert got.loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
