@@ -102,7 +102,7 @@ def is_permanent_failure(error: Column, not_found: Column | None = None) -> Colu
 
 def labelled_lines(fields: dict[str, Column]) -> Column:
     """"name: value" lines of the fields that are not blank, arrays joined by ", "."""
-    return F.concat_ws("\n", *(F.when(F.trim(v) != "", F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in fields.items()))
+    return F.concat_ws("\n", *(F.when(v.rlike(r"(?U)\S"), F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in fields.items()))
 
 
 def searchable_text(modality: Column, data: Column) -> Column:

@@ -33,9 +33,9 @@ def _nth(df: DataFrame, column: str, n: int, most: int = 10_000) -> float:
     low, high = df.agg(F.min(column), F.max(column)).first()
     rows = df.select(F.col(column).alias("x"))
     while True:
-        inside = rows.filter((F.col("x") >= low) & (F.col("x") <= high))
-        if low == high:
+        if not low < high:
             return low
+        inside = rows.filter((F.col("x") >= low) & (F.col("x") <= high))
         place = F.least(F.floor((F.col("x") - low) / (high - low) * 1024), F.lit(1023)).alias("place")
         for r in inside.groupBy(place).agg(F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("place").collect():  # 1,024 at most
             if n < r.rows:
@@ -47,12 +47,17 @@ def _nth(df: DataFrame, column: str, n: int, most: int = 10_000) -> float:
 
 
 def exclude_baseline(df: DataFrame, dimension: int) -> DataFrame:
-    """Keeps rows at least as far from the centroid as the upper median row; all rows if there are under four."""
+    """Keeps rows at least as far from the centroid as the upper median row; all rows if there are under four.
+
+    Vectors that are null, of another dimension or hold null or non-finite components take no part and are left out.
+    """
+    df = df.filter(vectors.is_valid(F.col("embedding"), dimension))
     scored = centroid_scores(df, dimension)
-    n = scored.count()
+    finite = scored.filter(F.abs("score") < float("inf"))  # sums of huge components may overflow; NaN is no number here either
+    n = finite.count()
     if n < 4:
         return df
-    cutoff = _nth(scored, "score", n // 2)
+    cutoff = _nth(finite, "score", n // 2)
     return scored.filter(F.col("score") >= cutoff).drop("score")
 
 

@@ -16,7 +16,6 @@ from momentlake.sources.shared import shared_path
 
 DIGITS = 9
 GROUP_BYTES, CELLS = 32 << 20, 1 << 21  # of a group of queries; scores computed at a time
-HIT = "query_id long, id string, source_file string, start_time double, end_time double, score double"
 
 
 def rank_within(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -34,30 +33,33 @@ def unit_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", vectors.l2_normalize(F.col("embedding")))
 
 
-def top_k(chunks: DataFrame, queries: DataFrame, k: int, dimension: int | None = None, group_rows: int | None = None) -> DataFrame:
-    """query_id, rank, id, source_file, start_time, end_time, score, distance: the k best of unit-length chunks by dot product.
+MOMENT, TIES = ("id", "source_file", "start_time", "end_time"), ("source_file", "start_time", "id")
+
+
+def top_k(chunks: DataFrame, queries: DataFrame, k: int, dimension: int | None = None, group_rows: int | None = None, columns: tuple[str, ...] = MOMENT, ties: tuple[str, ...] = TIES, by: str | None = None) -> DataFrame:
+    """query_id, rank, columns, score, distance: the k best of unit-length chunks by dot product; with by, of each value of that column.
 
     Queries go to the tasks in groups of group_rows, or of about GROUP_BYTES; each group scans the chunks once, and where
     there are several, its hits are written before the next one starts, so that one group is held at a time. In a
-    task, a batch of chunks gives the hits that are among the k best of all its batches so far. Ties go by
-    source_file, start_time and id. Null vectors and such with null or non-finite components take no part; one of
+    task, a batch of chunks gives the hits that are among the k best of all its batches so far. Ties go by the columns
+    of ties, which are among columns. Null vectors and such with null or non-finite components take no part; one of
     another dimension than the queries' is an error.
     """
-    spark, empty = chunks.sparkSession, HIT + ", rank int, distance double"
-    if k <= 0:
-        return spark.createDataFrame([], empty)
-    n, size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    spark, kept = chunks.sparkSession, list(dict.fromkeys([*columns, *([by] if by else [])]))
+    rows = chunks.select(*kept, F.col("embedding").cast("array<double>").alias("embedding"))
+    hit = "query_id long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double"
+    n, size = queries.agg(F.count("*"), F.max(F.size("embedding"))).first() if k > 0 else (0, 0)
     if not n:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], hit + ", rank int, distance double")
     dimension = dimension or size or 0
     groups = -(-n // (group_rows or max(1024, GROUP_BYTES // (8 * max(dimension, 1)))))
     queries = queries.filter(_right(F.col("embedding"), dimension))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"))
-    rows = chunks.select("id", "source_file", "start_time", "end_time", F.col("embedding").cast("array<double>").alias("embedding")).filter(_right(F.col("embedding"), dimension))
+    rows = rows.filter(_right(F.col("embedding"), dimension))
     best, path = None, shared_path(spark, "hits")
     for g in range(groups):
-        found = _scored(rows, asked.filter(F.col("g") == g), k)
-        best = rank_within(found, k, ["query_id"], [F.desc("score"), F.col("source_file"), F.col("start_time"), F.col("id")])
+        found = _scored(rows, asked.filter(F.col("g") == g), k, hit, ties, by)
+        best = rank_within(found, k, ["query_id", *([by] if by else [])], [F.desc("score"), *map(F.col, ties)])
         if groups > 1:
             best.write.mode("append").parquet(path)
     if groups > 1:
@@ -85,33 +87,36 @@ def largest(s: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.
     return i[keep], j[keep], v[keep], place[keep]
 
 
-def _scored(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Hits of one bounded group of queries, which goes to all tasks; each query's k best of a task are among them."""
+def _scored(rows: DataFrame, asked: DataFrame, k: int, hit: str, ties: tuple[str, ...], by: str | None) -> DataFrame:
+    """Hits of one bounded group of queries, which goes to all tasks; each query's k best of a task (for each value of by) are among them."""
     group = asked.toArrow()
     matrix = np.asarray(group["query"].combine_chunks().flatten(), np.float64).reshape(group.num_rows, -1)
     held = rows.sparkSession.sparkContext.broadcast((group["query_id"].to_numpy(), matrix))  # GROUP_BYTES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
-        kept = np.full((len(ids), k), -np.inf)  # the best scores so far
-        for b in batches:
-            if not b.num_rows or not len(ids):
+        best: dict[object, np.ndarray] = {}  # the best scores so far
+        for whole in batches:
+            if not whole.num_rows or not len(ids):
                 continue
-            b = b.take(pc.sort_indices(b, [(c, "ascending") for c in ("source_file", "start_time", "id")]))
-            x = np.asarray(b["embedding"].flatten(), np.float64).reshape(b.num_rows, -1)
-            step = max(1, CELLS // b.num_rows)
-            for at in range(0, len(ids), step):
-                s = (matrix[at : at + step] @ x.T).round(DIGITS)  # so that equal vectors tie, however the product is summed
-                i, j, v, place = largest(s, k, kept[at : at + step, -1])
-                if not len(i):
-                    continue
-                top = np.full((len(s), k), -np.inf)
-                top[i, place] = v
-                kept[at : at + step] = -np.sort(-np.hstack([kept[at : at + step], top]), axis=1)[:, :k]
-                hits = b.select(["id", "source_file", "start_time", "end_time"]).take(pa.array(j))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), *hits.columns, pa.array(v)], ["query_id", *hits.schema.names, "score"])
-
-    return rows.mapInArrow(score, HIT)
+            for value in pc.unique(whole[by]).to_pylist() if by else [None]:
+                b = whole if not by else whole.filter(pc.is_null(whole[by]) if value is None else pc.equal(whole[by], value))
+                b = b.take(pc.sort_indices(b, [(c, "ascending") for c in ties]))
+                kept = best.setdefault(value, np.full((len(ids), k), -np.inf))
+                x = np.asarray(b["embedding"].flatten(), np.float64).reshape(b.num_rows, -1)
+                step = max(1, CELLS // b.num_rows)
+                for at in range(0, len(ids), step):
+                    s = (matrix[at : at + step] @ x.T).round(DIGITS)  # so that equal vectors tie, however the product is summed
+                    i, j, v, place = largest(s, k, kept[at : at + step, -1])
+                    if not len(i):
+                        continue
+                    top = np.full((len(s), k), -np.inf)
+                    top[i, place] = v
+                    kept[at : at + step] = -np.sort(-np.hstack([kept[at : at + step], top]), axis=1)[:, :k]
+                    hits = b.drop_columns(["embedding"]).take(pa.array(j))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), *hits.columns, pa.array(v)], ["query_id", *hits.schema.names, "score"])
+
+    return rows.mapInArrow(score, hit)
 
 
 def dedupe_ranked(hits: DataFrame, threshold: float, limit: int | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ def vector_from_field(data: Column, path: str, dimension: int) -> Column:
 def semantic_search(version: IndexVersion, records: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, provider: str, model: str, filters: tuple[tuple[str, str, object], ...] = ()) -> DataFrame:
     """query_id, rank, record_id, start_ms, score: the k best records of an index version by cosine similarity.
 
-    records: record_id, start_ms, data; embeddings: record_id, embedding, those without a record are left out.
+    records: record_id (of any type that sorts), start_ms, data; embeddings: record_id, embedding, those without a record are left out.
     Filters apply to records before vectors are joined and scored. Ties go by start_ms and record_id.
     """
     if not version.semantic:
@@ -46,9 +46,8 @@ def semantic_search(version: IndexVersion, records: DataFrame, embeddings: DataF
     for path, op, value in filters:
         records = records.filter(structured.predicate(F.col("data"), path, op, value))
     rows = records.select("record_id", "start_ms").join(embeddings.select("record_id", "embedding"), "record_id")
-    rows = rows.select(F.col("record_id").cast("string").alias("id"), F.lpad(F.col("start_ms").cast("string"), 20, "0").alias("source_file"), F.col("record_id").cast("double").alias("start_time"), F.lit(0.0).alias("end_time"), "embedding")
-    hits = search.top_k(search.unit_rows(rows), search.unit_rows(queries), k, version.dimension)
-    return hits.select("query_id", "rank", F.col("id").cast("long").alias("record_id"), F.col("source_file").cast("long").alias("start_ms"), "score")
+    hits = search.top_k(search.unit_rows(rows), search.unit_rows(queries), k, version.dimension, columns=("record_id", "start_ms"), ties=("start_ms", "record_id"))
+    return hits.select("query_id", "rank", "record_id", "start_ms", "score")
 
 
 def enrichment_search(segments: DataFrame, queries: DataFrame, k: int, backend: str, model: str, modalities: tuple[str, ...], sources: DataFrame | None = None) -> DataFrame:
@@ -62,11 +61,9 @@ def enrichment_search(segments: DataFrame, queries: DataFrame, k: int, backend:
         rows = search.in_sources(rows, sources)
     dimension = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
     rows = rows.filter(is_valid(F.col("embedding"), dimension))
-    parts = [search.top_k(search.unit_rows(rows.filter(F.col("modality") == m)), search.unit_rows(queries), k, dimension).withColumn("list", F.lit(m)) for m in modalities]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = rows.filter(F.col("modality").isin(*modalities))
+    hits = search.top_k(search.unit_rows(rows), search.unit_rows(queries), k, dimension, by="modality")  # one scan for all modalities
+    return hits.withColumnRenamed("modality", "list")
 
 
 def fused_or_visual(visual: DataFrame, lists: DataFrame, enriched: DataFrame, n: int) -> DataFrame:

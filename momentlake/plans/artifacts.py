@@ -92,7 +92,8 @@ class IndexDefinition:
 def build_index(records: DataFrame, definition: IndexDefinition, version: int) -> DataFrame:
     """index_version_id, artifact_record_id, media_id, start_ms, end_ms, data, semantic_text of an artifact's records.
 
-    Every field of the definition must occur in one record at least.
+    Every field of the definition must occur in one record at least, and every record must have some semantic text
+    where the definition asks for it.
     """
     found = records.agg(*(F.count(field(F.col("data"), f)).alias(f"f{i}") for i, f in enumerate(sorted(definition.fields())))).first() if definition.fields() else ()
     missing = [f for f, n in zip(sorted(definition.fields()), found, strict=True) if not n]
@@ -105,6 +106,9 @@ def build_index(records: DataFrame, definition: IndexDefinition, version: int) -
         return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(parts, ", ")).otherwise(F.try_variant_get(v, "$", "string"))
 
     lines = labelled_lines({f: text(f) for f in definition.semantic_fields}) if definition.semantic_fields else F.lit("")
+    if definition.semantic_fields:
+        empty = F.raise_error(F.concat(F.lit("semantic fields give no text for the record "), F.col("id").cast("string"))).cast("string")
+        lines = F.when(lines == "", empty).otherwise(lines)
     version_id = new_id("index", F.lit(definition.name), F.lit(str(version)))
     return records.select(version_id.alias("index_version_id"), F.col("id").alias("artifact_record_id"), "media_id", "start_ms", "end_ms", "data", lines.alias("semantic_text"))
 
@@ -144,12 +148,25 @@ class Published:
     status: DataFrame
 
 
-def publish_index(records: DataFrame, definition: IndexDefinition, version: int, embedder: Embedder, dimension: int, path: str) -> Published:
-    """Builds an index version under path: records, then vectors, then, once both are validated, its status row.
+def check_artifacts(records: DataFrame, definition: IndexDefinition, artifacts: DataFrame | None = None) -> None:
+    """Raises ValueError if there is no record, or if artifacts (id, artifact_type, status) of records (artifact_id) are unknown, of another type than the definition's or not completed."""
+    if records.isEmpty():
+        raise ValueError("cannot index an empty artifact")
+    if artifacts is None:
+        return
+    used = records.select(F.col("artifact_id").alias("id")).distinct().join(artifacts, "id", "left")
+    wrong = used.filter(F.coalesce((F.col("artifact_type") != definition.artifact_type) | (F.col("status") != "completed"), F.lit(True))).first()
+    if wrong:
+        raise ValueError(f"index {definition.name!r} needs completed artifacts of type {definition.artifact_type!r}; {wrong.id} is {wrong.status} and of type {wrong.artifact_type!r}")
+
+
+def publish_index(records: DataFrame, definition: IndexDefinition, version: int, embedder: Embedder, dimension: int, path: str, artifacts: DataFrame | None = None) -> Published:
+    """Builds an index version under path: records, then vectors, then, once both are validated, its status row. What check_artifacts() refuses is not built.
 
     A reader that goes by the status row never sees half an index; without vectors for all records it says failed.
     """
     spark = records.sparkSession
+    check_artifacts(records, definition, artifacts)
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")

@@ -28,6 +28,24 @@ def a14_semantic_index(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "rank", "record_id", "start_ms", r6("score").alias("score"))
 
 
+def a14_built_index(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as records of an artifact: imported, built to an index version, published, and searched."""
+    data = F.parse_json(F.to_json(F.struct(F.col("embedding").alias("vector"), F.col("label"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("name"))))
+    start = (F.col("vec_id") % 1000) * 1000
+    rows = table(spark, d, "embeddings").select(F.lit("media_1").alias("media_id"), F.lit("nightly").alias("key"), F.lit("clip").alias("name"), F.lit("vectors").alias("artifact_type"), F.format_string("segment_%08d", "vec_id").alias("segment_id"), start.alias("start_ms"), (start + 1000).alias("end_ms"), data.alias("data"))
+    got = artifacts.understand(rows, spark.createDataFrame([], "media_id string, key string, request_hash string"))
+    stored = lambda df, name: (df.write.parquet(f"{home}/{name}"), spark.read.schema(df.schema).parquet(f"{home}/{name}"))[1]
+    home = shared_path(spark, "imported")
+    records_, artifacts_ = stored(got.records, "records"), stored(got.artifacts, "artifacts")
+    definition = artifacts.IndexDefinition("vectors", "vectors", filter_fields=("label",), source_embedding_field="vector")
+    built = artifacts.publish_index(records_, definition, 1, ingest.hashing_embedder(8), 64, shared_path(spark, "index"), artifacts_)
+    version = semantic.IndexVersion(built.status.first().index_version_id, "table", "unit64", 64, fields=frozenset(definition.filter_fields))
+    named = lambda df: df.withColumnRenamed("artifact_record_id", "record_id")
+    hits = semantic.semantic_search(version, named(built.index), named(built.embeddings), asked(spark, d), 5, "table", "unit64", (("label", "gte", 3),))
+    segments = records_.select(F.col("id").alias("record_id"), "segment_id")
+    return hits.join(segments, "record_id").select("query_id", "start_ms", r6("score").alias("score")).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min("score").alias("fifth"), r6(F.sum("score")).alias("all"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as enrichment texts: three modalities, every fifth of another backend, every seventh of another dimension."""
     v = F.col("vec_id")
@@ -250,7 +268,7 @@ def t5_live_categories(spark: SparkSession, d: str) -> DataFrame:
     return streams.stored_categories(spark, f"{home}/out").select("path", "category")
 
 
-QUERIES = {f.__name__: f for f in (a14_semantic_index, a15_enrichment_topk, a17_fused_search, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t2_first_events, t3_closed_windows, t4_progress, t5_live_categories)}
+QUERIES = {f.__name__: f for f in (a14_semantic_index, a14_built_index, a15_enrichment_topk, a17_fused_search, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t2_first_events, t3_closed_windows, t4_progress, t5_live_categories)}
 
 _SEGMENTS = """segments AS (SELECT *, ['scene_caption', 'ocr', 'transcript'][vec_id % 3 + 1] AS modality FROM chunks WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 3)"""
 
@@ -259,6 +277,9 @@ SQL = {
   FROM records JOIN embeddings e ON e.vec_id = record_id, asked WHERE k >= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, start_ms, record_id)::INT AS rank FROM s)
 SELECT query_id, rank, record_id, start_ms, round(score, 6) AS score FROM r WHERE rank <= 5""",
+    "a14_built_index": f"""WITH {ASKED}, s AS (SELECT query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 9) AS score FROM embeddings e, asked WHERE label >= 3),
+r AS (SELECT query_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 5)
+SELECT query_id, count(*)::BIGINT AS n, max(score) AS best, min(score) AS fifth, round(sum(score), 6) AS "all" FROM r GROUP BY query_id""",
     "a15_enrichment_topk": f"""WITH {CHUNKS}, {ASKED}, {_SEGMENTS}, s AS (SELECT query_id, modality, id, source_file, start_time, round(list_cosine_similarity(v, q), 9) AS score
   FROM segments, asked WHERE source_file IN (SELECT printf('/lib/%02d.mp4', n_nationkey) FROM nation)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, source_file, start_time, id)::INT AS rank FROM s)
