@@ -49,7 +49,7 @@ def test_packing(docs, corpus):
     assert packing.pack(packing.tokenize(docs([]))).count() == 0
     blank = packing.tokenize(docs([(1, " " * 1_500_000), (2, "\n" * 1_100_000 + "x")]), with_ids=True).orderBy("doc_id", "piece").collect()
     for k, text in ((1, " " * 1_500_000), (2, "\n" * 1_100_000 + "x")):
-        assert [i for r in blank if r.doc_id == k for i in r.ids] == [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert [i for r in blank if r.doc_id == k for i in r.ids] == [*t.encode(text, add_special_tokens=False).ids, 0]
     clash = packing.tokenize(docs(rows), capacity=64).withColumns({c: F.lit("mine") for c in ("group", "out", "_out", "offset", "GROUP_")})
     again = packing.pack(clash, capacity=64, group_rows=20).collect()
     assert len(again) == len(out) and all((r.group, r.out, r["_out"], r["GROUP_"]) == ("mine",) * 4 and r.offset < 64 for r in again)
