@@ -24,7 +24,8 @@ def _text(v: Column) -> Column:
     return F.to_json(v)
 
 
-def _literal(value: object) -> Column:
+def literal_text(value: object) -> Column:
+    """The JSON text of a value, as records' values are compared by it."""
     return F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
@@ -34,15 +35,14 @@ def _compare(v: Column, value: object, op: str) -> Column:
     def by(x: Column, y: Column) -> Column:
         return {"gt": x > y, "gte": x >= y, "lt": x < y, "lte": x <= y}[op]
 
-    kind = F.schema_of_variant(v)
-    text = by(_text(v), _literal(value))
+    json_text = _text(v)  # its first character tells the kind
+    text = by(json_text, literal_text(value))
     if isinstance(value, bool):
-        return F.when(kind == "BOOLEAN", by(F.try_variant_get(v, "$", "boolean"), F.lit(value))).otherwise(text)
+        return text  # false sorts before true, as their texts do
     if isinstance(value, (int, float)):
-        number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
-        return F.when(number, by(F.try_variant_get(v, "$", "double"), F.lit(float(value)))).otherwise(text)
+        return F.when(json_text.rlike("^[-0-9]"), by(json_text.cast("double"), F.lit(float(value)))).otherwise(text)
     if isinstance(value, str):
-        return F.when(kind == "STRING", by(F.try_variant_get(v, "$", "string"), F.lit(value))).otherwise(text)
+        return F.when(json_text.startswith('"'), by(F.try_variant_get(v, "$", "string"), F.lit(value))).otherwise(text)
     return text
 
 
@@ -52,16 +52,16 @@ def predicate(data: Column, path: str, op: str, value: object) -> Column:
         raise ValueError(f"unknown operator: {op!r}")
     v = field(data, path)
     if op == "eq":
-        out = _text(v) == _literal(value)
+        out = _text(v) == literal_text(value)
     elif op == "not_eq":
-        out = _text(v) != _literal(value)
+        out = _text(v) != literal_text(value)
     elif op == "in":
-        out = _text(v).isin([_literal(x) for x in value]) if isinstance(value, list) and value else F.lit(False)
+        out = _text(v).isin([literal_text(x) for x in value]) if isinstance(value, list) and value else F.lit(False)
     elif op == "contains":
         members = F.transform(F.try_variant_get(v, "$", "array<variant>"), _text)
         is_array = F.schema_of_variant(v).startswith("ARRAY")
         inside = F.contains(F.try_variant_get(v, "$", "string"), F.lit(value)) if isinstance(value, str) else F.lit(False)
-        out = F.when(is_array, F.array_contains(members, _literal(value))).otherwise(inside & (F.schema_of_variant(v) == "STRING"))
+        out = F.when(is_array, F.array_contains(members, literal_text(value))).otherwise(inside & (F.schema_of_variant(v) == "STRING"))
     else:
         out = _compare(v, value, op)
     return F.coalesce(v.isNotNull() & out, F.lit(False))

@@ -9,11 +9,12 @@ from momentlake.functions import sql
 from momentlake.functions import text as T
 from momentlake.functions.moments import chunk_id
 from momentlake.operators import records as R
-from momentlake.operators import structured
+from momentlake.operators import structured, typed_index
 from momentlake.operators.structured import Query
 from momentlake.plans import artifacts
 from momentlake.queries._tables import CHUNKS, RECORDS, chunks, event_records, table
 from momentlake.sources import snapshots
+from momentlake.sources.shared import shared_path
 
 
 def _matching(*filters: tuple[str, str, object]):  # noqa: ANN202
@@ -32,6 +33,39 @@ def a12_sorted_page(spark: SparkSession, d: str) -> DataFrame:
     return structured.run_query(event_records(spark, d), q, {"k", "type"}).select("record_id", "start_ms")
 
 
+def _typed(spark: SparkSession, d: str) -> tuple[typed_index.TypedIndex, DataFrame]:
+    """Events as an index version, and as one of all their halves, with typed columns; the rows of the first."""
+    index = typed_index.TypedIndex(spark, shared_path(spark, "typed"), ["type", "k", "tags", "detail.kind", "detail.value"])
+    rows = event_records(spark, d)
+    half = rows.filter("record_id % 2 = 0").withColumn("index_version_id", F.lit("half"))
+    index.write(rows.withColumn("index_version_id", F.lit("all")).unionByName(half))
+    return index, index.read("all", "long")
+
+
+def f_typed_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Every operator on typed columns: which records each of six filters keeps."""
+    index, rows = _typed(spark, d)
+    asked = {
+        "range": (("k", "gt", 20), ("k", "lte", 60), ("type", "lt", "purchase")), "eq": (("type", "eq", "error"),), "not_eq": (("k", "not_eq", 5),),
+        "in": (("k", "in", [1, 2, 3, "4"]),), "contains": (("tags", "contains", "u3"), ("type", "contains", "i")), "missing": (("detail.kind", "gte", "a"), ("detail.value", "lt", 50.5)),
+    }
+    parts = [index.filtered(rows, f).select(F.lit(name).alias("filter"), "record_id", "start_ms") for name, f in asked.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def a12_typed_page(spark: SparkSession, d: str) -> DataFrame:
+    index, rows = _typed(spark, d)
+    return index.query(rows, Query((("type", "not_eq", "view"),), (("k", "desc"), ("type", "asc")))).select("record_id", "start_ms")
+
+
+def g1_typed_facet(spark: SparkSession, d: str) -> DataFrame:
+    index, rows = _typed(spark, d)
+    return index.facet(rows, "tags", (("k", "gte", 10),))
+
+
 def g1_facet(spark: SparkSession, d: str) -> DataFrame:
     return structured.facet(event_records(spark, d), "tags", (("k", "gte", 10),))
 
@@ -203,7 +237,7 @@ QUERIES = {
     "f4_range": _matching(("k", "gt", 20), ("k", "lte", 60), ("type", "lt", "purchase")),
     "f5_contains": _matching(("tags", "contains", "u3"), ("type", "contains", "i")),
     "f4_missing": _matching(("detail.kind", "gte", "a"), ("detail.value", "lt", 50.5)),
-} | {f.__name__: f for f in (a12_sorted_page, g1_facet, g1_facet_nested, p9_semantic_text, p10_searchable_text, p24_rescued_json, p11_content_hash, i4_understand, g6_validate_versions, a19_resolve, g13_next_versions, j11_lineage, g14_progress, g9_run_report, g8_timings, g3_store_stats, g2_modality_counts, s9_upsert, s12_insert_absent, u5_merge_categories, j9_apply_categories, a24_distinct_moments, g4_architecture_stats, p25_descriptors, u3_requested_sources, sql_functions)}
+} | {f.__name__: f for f in (a12_sorted_page, a12_typed_page, f_typed_filters, g1_typed_facet, g1_facet, g1_facet_nested, p9_semantic_text, p10_searchable_text, p24_rescued_json, p11_content_hash, i4_understand, g6_validate_versions, a19_resolve, g13_next_versions, j11_lineage, g14_progress, g9_run_report, g8_timings, g3_store_stats, g2_modality_counts, s9_upsert, s12_insert_absent, u5_merge_categories, j9_apply_categories, a24_distinct_moments, g4_architecture_stats, p25_descriptors, u3_requested_sources, sql_functions)}
 
 _STATUS = "s AS (SELECT l_orderkey AS source_file, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'new' WHEN l_linenumber > 3 THEN 'still' ELSE 'skipped' END AS status FROM lineitem)"
 
@@ -220,6 +254,13 @@ SQL = {
     "f5_contains": _where("list_contains(tags, 'u3') AND contains(type, 'i')"),
     "f4_missing": _where("kind >= 'a' AND value < 50.5"),
     "a12_sorted_page": f"WITH {RECORDS} SELECT record_id, start_ms FROM records ORDER BY k DESC NULLS FIRST, type, start_ms, record_id LIMIT 100",
+    "f_typed_filters": f"""WITH {RECORDS}
+SELECT 'range' AS filter, record_id, start_ms FROM records WHERE k > 20 AND k <= 60 AND type < 'purchase' UNION ALL SELECT 'eq', record_id, start_ms FROM records WHERE type = 'error'
+UNION ALL SELECT 'not_eq', record_id, start_ms FROM records WHERE k <> 5 UNION ALL SELECT 'in', record_id, start_ms FROM records WHERE k IN (1, 2, 3)
+UNION ALL SELECT 'contains', record_id, start_ms FROM records WHERE list_contains(tags, 'u3') AND contains(type, 'i')
+UNION ALL SELECT 'missing', record_id, start_ms FROM records WHERE kind >= 'a' AND value < 50.5""",
+    "a12_typed_page": f"WITH {RECORDS} SELECT record_id, start_ms FROM records WHERE type <> 'view' ORDER BY k DESC NULLS FIRST, type, start_ms, record_id LIMIT 100",
+    "g1_typed_facet": f"""WITH {RECORDS} SELECT '"' || t || '"' AS value, count(*)::BIGINT AS count FROM (SELECT unnest(tags) AS t FROM records WHERE k >= 10) GROUP BY t""",
     "g1_facet": f"""WITH {RECORDS} SELECT '"' || t || '"' AS value, count(*)::BIGINT AS count FROM (SELECT unnest(tags) AS t FROM records WHERE k >= 10) GROUP BY t""",
     "g1_facet_nested": f"""WITH {RECORDS} SELECT '"' || kind || '"' AS value, count(*)::BIGINT AS count FROM records WHERE kind IS NOT NULL GROUP BY kind""",
     "p9_semantic_text": f"""WITH {RECORDS} SELECT record_id, media_id, concat_ws(chr(10), 'type: ' || type, 'tags: ' || array_to_string(tags, ', '), 'detail.kind: ' || kind) AS semantic_text, 'index_' AS version_prefix FROM records""",
