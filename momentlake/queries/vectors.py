@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions import vectors as V
-from momentlake.operators import anomalies, fulltext, fusion, records, search
+from momentlake.operators import anomalies, fulltext, fusion, records, search, text_index
 from momentlake.queries._tables import ASKED, CHUNKS, asked, chunks, r6, table
+from momentlake.sources.shared import shared_path
 
 DIM = 64
 
@@ -122,6 +123,19 @@ def a16_fulltext(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.search(docs, queries, 10).select("query_id", "rank", "id", r6("bm25").alias("bm25"), "score")
 
 
+def a16_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """Full text over a stored index after updates: a third of the documents comes later, some with a new text, some are removed, and all is compacted once."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_file"), "text")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = text_index.TextIndex(spark, shared_path(spark, "text_index"), buckets=16)
+    index.add(docs.filter("id % 3 <> 0 or id % 7 = 0").withColumn("text", F.when(F.col("id") % 5 == 0, "an older text").otherwise(F.col("text"))))
+    index.add(docs.filter("id % 3 = 0 and id % 7 <> 0"))
+    index.compact()
+    index.add(docs.filter("id % 5 = 0 and id % 7 <> 0"), removed=docs.filter("id % 7 = 0"))
+    found = index.search(queries, 10)
+    return found.select("query_id", "rank", F.col("id").cast("long").alias("id"), r6("bm25").alias("bm25"), "score")
+
+
 _FOLD = "translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 
 
@@ -143,7 +157,7 @@ def a17_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "source_file", "start_time", "end_time", r6("score").alias("score"), "primary_modality", "evidence", *(r6(F.col("score_breakdown")[x]).alias(f"{x}_score") for x in ("visual", "scene_caption")))
 
 
-QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_dedupe, a5_centroid_anomaly, a6_knn_anomaly, a7_lof_anomaly, a8_baseline_exclusion, a9_highlights_in_query, a10_highlights_by_query, a11_highlight_selection, g7_best_category, g11_centroid, g12_retrieval_quality, p4_p5_vector_functions, a16_fulltext, a17_reciprocal_rank, a17_fusion)}
+QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_dedupe, a5_centroid_anomaly, a6_knn_anomaly, a7_lof_anomaly, a8_baseline_exclusion, a9_highlights_in_query, a10_highlights_by_query, a11_highlight_selection, g7_best_category, g11_centroid, g12_retrieval_quality, p4_p5_vector_functions, a16_fulltext, a16_stored_index, a17_reciprocal_rank, a17_fusion)}
 
 SQL = {
     "a1_vector_topk": _topk_sql(),
@@ -198,6 +212,15 @@ s AS (SELECT query_id, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2
       FROM p2 JOIN df USING (term) JOIN a USING (term), c GROUP BY query_id, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id)::INT AS rank FROM s WHERE n = n_terms)
 SELECT query_id, rank, id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM r WHERE rank <= 10""",
+    "a16_stored_index": f"""WITH t AS (SELECT doc_id::VARCHAR AS id, regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id % 7 <> 0),
+p AS (SELECT id, len(w) AS length, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM t) GROUP BY ALL),
+q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')[1:12]) AS w FROM benchmark),
+a AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM q WHERE len(w) > 0),
+c AS (SELECT count(*) AS n_docs, avg(len(w)) AS ml FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT query_id, id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml))) AS bm25, count(*) AS n, first(n_terms) AS n_terms
+      FROM p JOIN df USING (term) JOIN a USING (term), c GROUP BY query_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id)::INT AS rank FROM s WHERE n = n_terms)
+SELECT query_id, rank, id::BIGINT AS id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM r WHERE rank <= 10""",
     "a17_reciprocal_rank": f"""WITH {CHUNKS}, {ASKED}, s AS (
   SELECT query_id, id, 0.40 AS w, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 9) DESC, source_file, start_time, id) AS rank FROM chunks, asked
   UNION ALL SELECT query_id, id, 0.25, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v[1:32], q[1:32]), 9) DESC, source_file, start_time, id) FROM chunks, asked),
