@@ -98,8 +98,12 @@ def neighbours(df: DataFrame, k: int) -> DataFrame:
 
 def knn_scores(df: DataFrame, k: int) -> DataFrame:
     """id, score: the mean distance to the k nearest others, k within 1 and n - 1."""
-    near = neighbours(df, max(1, k))
-    return near.groupBy(F.col("a").alias("id")).agg(F.avg("distance").alias("score"))
+    return mean_distances(neighbours(df, max(1, k)))
+
+
+def mean_distances(near: DataFrame, *same: str) -> DataFrame:
+    """id, score and the columns that are the same in all rows, of neighbours (a, b, distance)."""
+    return near.groupBy(F.col("a").alias("id")).agg(F.avg("distance").alias("score"), *(F.first(c).alias(c) for c in same))
 
 
 def lof_scores(df: DataFrame, k: int) -> DataFrame:
@@ -108,7 +112,11 @@ def lof_scores(df: DataFrame, k: int) -> DataFrame:
         return df.select("id", F.lit(0.0).alias("score"))
     path = shared_path(df.sparkSession, "neighbours")  # read three times, and kept if an executor is lost
     neighbours(df, max(2, k)).write.parquet(path)
-    near = df.sparkSession.read.parquet(path)
+    return lof_of(df.sparkSession.read.parquet(path))
+
+
+def lof_of(near: DataFrame) -> DataFrame:
+    """id, score: local outlier factors by neighbours (a, b, distance), which are read three times."""
     reach = near.groupBy(F.col("a").alias("b")).agg(F.max("distance").alias("k_distance"))
     density = near.join(reach, "b").groupBy("a").agg((1 / (F.avg(F.greatest("k_distance", "distance")) + 1e-12)).alias("lrd"))
     about = near.select("a", "b").join(density.select(F.col("a").alias("b"), F.col("lrd").alias("near_lrd")), "b").groupBy("a").agg(F.avg("near_lrd").alias("near_lrd"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions import vectors as V
-from momentlake.operators import anomalies, fulltext, fusion, records, search, text_index
+from momentlake.operators import anomalies, approximate, fulltext, fusion, records, search, text_index
 from momentlake.queries._tables import ASKED, CHUNKS, asked, chunks, r6, table
 from momentlake.sources.shared import shared_path
 
@@ -117,6 +117,16 @@ def p4_p5_vector_functions(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", r6(V.norm(half)).alias("norm_half"), r6(V.cosine(half, other)).alias("cosine_halves"), r6(V.dot(half, other)).alias("dot_halves"), r6(V.l2_normalize(half)[0]).alias("first_unit"), V.is_valid(v, 64).alias("valid"))
 
 
+def a6_knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours, whatever the number of rows is; tables of up to one block find all of them."""
+    near = approximate.knn_scores(_identified(spark, d), 10, exact_rows=0)
+    return near.select(F.col("id").alias("vec_id"), r6("score").alias("score"), "mode", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def a7_lof_approximate(spark: SparkSession, d: str) -> DataFrame:
+    return approximate.lof_scores(_identified(spark, d), 10, exact_rows=0).select(F.col("id").alias("vec_id"), r6("score").alias("score"), "mode")
+
+
 def a16_fulltext(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_file"), "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -157,7 +167,7 @@ def a17_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "source_file", "start_time", "end_time", r6("score").alias("score"), "primary_modality", "evidence", *(r6(F.col("score_breakdown")[x]).alias(f"{x}_score") for x in ("visual", "scene_caption")))
 
 
-QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_dedupe, a5_centroid_anomaly, a6_knn_anomaly, a7_lof_anomaly, a8_baseline_exclusion, a9_highlights_in_query, a10_highlights_by_query, a11_highlight_selection, g7_best_category, g11_centroid, g12_retrieval_quality, p4_p5_vector_functions, a16_fulltext, a16_stored_index, a17_reciprocal_rank, a17_fusion)}
+QUERIES = {f.__name__: f for f in (a1_vector_topk, a2_source_scoped_topk, a4_dedupe, a5_centroid_anomaly, a6_knn_anomaly, a6_knn_approximate, a7_lof_anomaly, a7_lof_approximate, a8_baseline_exclusion, a9_highlights_in_query, a10_highlights_by_query, a11_highlight_selection, g7_best_category, g11_centroid, g12_retrieval_quality, p4_p5_vector_functions, a16_fulltext, a16_stored_index, a17_reciprocal_rank, a17_fusion)}
 
 SQL = {
     "a1_vector_topk": _topk_sql(),
@@ -180,6 +190,10 @@ SELECT vec_id, rank::INT AS rank, round(score, 6) AS score FROM w WHERE stays"""
     "a7_lof_anomaly": f"""WITH {_KNN}, kd AS (SELECT a, max(d) AS kd FROM k GROUP BY a),
 lrd AS (SELECT k.a, 1 / (avg(greatest(kd.kd, k.d)) + 1e-12) AS lrd FROM k JOIN kd ON k.b = kd.a GROUP BY k.a)
 SELECT k.a AS vec_id, round(avg(n.lrd) / (o.lrd + 1e-12), 6) AS score FROM k JOIN lrd n ON k.b = n.a JOIN lrd o ON k.a = o.a GROUP BY k.a, o.lrd""",
+    "a6_knn_approximate": f"WITH {_KNN} SELECT a AS vec_id, round(avg(d), 6) AS score, 'approximate' AS mode, true AS reached FROM k GROUP BY a",
+    "a7_lof_approximate": f"""WITH {_KNN}, kd AS (SELECT a, max(d) AS kd FROM k GROUP BY a),
+lrd AS (SELECT k.a, 1 / (avg(greatest(kd.kd, k.d)) + 1e-12) AS lrd FROM k JOIN kd ON k.b = kd.a GROUP BY k.a)
+SELECT k.a AS vec_id, round(avg(n.lrd) / (o.lrd + 1e-12), 6) AS score, 'approximate' AS mode FROM k JOIN lrd n ON k.b = n.a JOIN lrd o ON k.a = o.a GROUP BY k.a, o.lrd""",
     "a8_baseline_exclusion": f"""WITH {_CENTROID}, o AS (SELECT *, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM s)
 SELECT vec_id, label FROM s WHERE score >= (SELECT score FROM o WHERE i = n // 2)""",
     "a9_highlights_in_query": f"""WITH {CHUNKS}, t AS (SELECT c.vec_id, c.v FROM chunks c, (SELECT v AS q FROM chunks WHERE vec_id = 0)
