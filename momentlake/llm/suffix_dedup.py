@@ -18,8 +18,10 @@ own document. Documents are bytes in UTF-8; strings never cross documents.
 4. The verdicts go back to the chunks, where the windows of such suffixes are merged to spans.
 
 A chunk sends each distinct string once, at its first place in the chunk; its later places in the chunk are
-repeats at once. So a task holds one chunk or one bucket, a bucket's size is set by the totals, and a window or
-sample adds one entry a chunk to its bucket at most, however often it occurs. No result rests on a hash.
+repeats at once. Suffixes that reach into a passage which many documents share have one least hash, each in a context
+of its own: a bucket of over LARGE times its share is split suffix by suffix, by the hash of the whole window, so that
+equal windows stay together and others part. A task holds one chunk, bucket or part; a window adds one entry a chunk
+to its part at most, however often it occurs. No result rests on a hash.
 
 Defined cases: a null or empty text has no bytes and loses none; a null doc_id comes before all others;
 rows with one doc_id and different texts go by the digest of the text; identical rows (doc_id and text) are
@@ -38,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentlake.llm._exchange import answered, expand, squeeze, with_answers
-from momentlake.llm._shared import bucketed, text_bytes, text_slices
+from momentlake.llm._shared import bucketed, stage, text_bytes, text_slices
 from momentlake.llm._words import U, buffers, mix, powers, prefix_sums, span_hash
 
 PERIOD = 57
 COVER = np.array([1, 6, 7, 9, 19, 38, 42, 49])  # every difference modulo 57 occurs
 MERS = 16
 MOST = 156  # windows of one string
+LARGE = 4  # times its share of suffixes, and a bucket is split
 DEPTH = PERIOD // 8 * 8  # bytes sorted before ranks decide: no offset of the cover is larger
 _LEAD = np.array([[min(d for d in range(PERIOD) if {(a + d) % PERIOD, (b + d) % PERIOD} <= set(COVER.tolist())) for b in range(PERIOD)] for a in range(PERIOD)])
 GAP = 8  # zero bytes behind each string, so that a word read at its last byte stays inside
@@ -289,8 +292,11 @@ def rank_samples(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
     return answered(asked, rank, "bucket long, chunk_id long, answer binary, ties long", "ranks")
 
 
-def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets: int) -> DataFrame:
-    """Per chunk and bucket, a bit for each suffix in the chunk's distinct strings: whether its window also starts earlier."""
+_ASKED = "bucket long, chunk_id long, n long, data binary, places binary"
+
+
+def _asked(chunks: DataFrame, window: int, buckets: int, suffix_buckets: int) -> DataFrame:
+    """The chunks' distinct strings by bucket: their bytes, and of each doc_id, tie, offset and number of suffixes (n in all)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,9 +311,63 @@ def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets:
                 ids = np.array([_FIRST if i is None else i for i in row["doc_ids"]], np.int64)[doc]
                 ties = np.array([int.from_bytes(d[:8], "little", signed=True) for d in row["digests"]], np.int64)[doc]
                 places = np.stack([ids, ties, at - c.starts[doc], sizes], 1)
-                out = [(squeeze(np.frombuffer(b"".join([texts[k] for k in own.tolist()]), np.uint8)), squeeze(places[own])) for own in np.split(order, starts[1:-1]) if len(own)]
-                data, places = zip(*out, strict=True) if out else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([row["chunk_id"]] * len(there), pa.int64()), pa.array(data, pa.binary()), pa.array(places, pa.binary())], ["bucket", "chunk_id", "data", "places"])
+                own = [x for x in np.split(order, starts[1:-1]) if len(x)]
+                yield _rows(there, row["chunk_id"], [(b"".join([texts[k] for k in x.tolist()]), places[x]) for x in own])
+
+    return chunks.mapInArrow(ask, _ASKED)
+
+
+def _rows(buckets: np.ndarray, chunk: int, own: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+    n = pa.array([int(p[:, 3].sum()) for _, p in own], pa.int64())
+    data, places = pa.array([squeeze(np.frombuffer(d, np.uint8)) for d, _ in own], pa.binary()), pa.array([squeeze(p) for _, p in own], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array([chunk] * len(own), pa.int64()), n, data, places], ["bucket", "chunk_id", "n", "data", "places"])
+
+
+def _windows(row: dict, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of _asked(): its bytes, where each suffix starts in them, its place, and the part that its window's hash names."""
+    data, places = expand(row["data"], np.uint8), expand(row["places"], np.int64).reshape(-1, 4)
+    sizes = places[:, 3]
+    lengths, steps = sizes + window - 1, _steps(sizes)
+    at = np.repeat(np.cumsum(lengths) - lengths, sizes) + steps
+    own = np.repeat(places, sizes, axis=0)
+    own[:, 2] += steps
+    own[:, 3] = 1
+    return data, at, own, _bucket(span_hash(prefix_sums(data), at, at + window), row["parts"])
+
+
+def split_large(asked: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Rows of large buckets (with parts, how many each is split into), suffix by suffix: equal windows go to one part. Part p of bucket k is bucket k + (p + 1) * buckets."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                data, at, places, part = _windows(row, window)
+                order, there, starts = _by_bucket(part)
+                own = [(data[at[x][:, None] + np.arange(window)].tobytes(), places[x]) for x in np.split(order, starts[1:-1]) if len(x)]
+                yield _rows(row["bucket"] + (there + 1) * buckets, row["chunk_id"], own)
+
+    return asked.mapInArrow(split, _ASKED)
+
+
+def _together(asked: DataFrame, answers: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Answers of parts as answers of rows of large buckets."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                _, at, _, part = _windows(row, window)
+                order, _, starts = _by_bucket(part)
+                bits = np.zeros(len(at), bool)
+                bits[order] = _bits(sorted(row["answers"], key=lambda r: r["part"]), starts)
+                yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "chunk_id": [row["chunk_id"]], "answer": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    parts = answers.select((F.col("bucket") % buckets).alias("bucket"), F.col("bucket").alias("part"), "chunk_id", "answer")
+    own = parts.groupBy("bucket", "chunk_id").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))  # a chunk's suffixes in a bucket at most
+    return asked.join(own, ["bucket", "chunk_id"]).mapInArrow(gather, "bucket long, chunk_id long, answer binary")
+
+
+def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets: int, bucket_rows: int) -> DataFrame:
+    """Per chunk and bucket, a bit for each suffix in the chunk's distinct strings: whether its window also starts earlier."""
 
     def sort(t: pa.Table) -> pa.Table:
         own = [expand(x.as_py(), np.int64).reshape(-1, 4) for x in t["places"]]
@@ -338,8 +398,23 @@ def sort_suffixes(chunks: DataFrame, window: int, buckets: int, suffix_buckets:
         parts = np.split(earlier, np.cumsum([int(x[:, 3].sum()) for x in own])[:-1])
         return pa.table({"bucket": t["bucket"], "chunk_id": t["chunk_id"], "answer": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
 
-    asked = chunks.mapInArrow(ask, "bucket long, chunk_id long, data binary, places binary")
-    return answered(asked, sort, "bucket long, chunk_id long, answer binary", "suffixes")
+    asked = stage(_asked(chunks, window, buckets, suffix_buckets), "asked")
+    large = stage(large_buckets(asked, bucket_rows), "large")
+    some = not large.isEmpty()
+    if some:
+        hot = asked.join(F.broadcast(large), "bucket")  # a row for each LARGE * bucket_rows suffixes at most
+        asked = asked.join(F.broadcast(large), "bucket", "left_anti").unionByName(split_large(hot, window, suffix_buckets))
+    answers = answered(asked, sort, "bucket long, chunk_id long, answer binary", "suffixes")
+    if not some:
+        return answers
+    part = F.col("bucket") >= suffix_buckets
+    return answers.filter(~part).unionByName(stage(_together(hot, answers.filter(part), window, suffix_buckets), "suffixes"))
+
+
+def large_buckets(asked: DataFrame, bucket_rows: int) -> DataFrame:
+    """bucket, parts of buckets of far more than bucket_rows suffixes."""
+    sizes = asked.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LARGE * bucket_rows)
+    return sizes.select("bucket", F.ceil(F.col("n") / bucket_rows).cast("long").alias("parts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 20, bucket_rows: int = 1 << 20) -> DataFrame:
@@ -352,7 +427,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 2
     known = with_answers(known, ranks, "ranks")
     # a tied sample makes PERIOD / len(COVER) suffixes where all are tied
     suffix_buckets = max(1, -(-(ranks.agg(F.sum("ties")).first()[0] or 0) * PERIOD // (len(COVER) * bucket_rows)))
-    known = with_answers(known, sort_suffixes(known, window, buckets, suffix_buckets), "verdicts")
+    known = with_answers(known, sort_suffixes(known, window, buckets, suffix_buckets, bucket_rows), "verdicts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -54,6 +54,28 @@ def test_suffix_dedup(docs, corpus):
     assert suffix_dedup.remove_repeats(docs(rows).limit(0)).count() == 0
 
 
+def test_a_passage_in_many_contexts_is_split(docs):
+    """All suffixes that reach into one passage share a bucket; each in its own context, they are dealt to parts of it."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(200)
+    rows = [(i, noise(300) + passage + noise(300)) for i in range(120)] + [(500 + i, noise(150)) for i in range(20)]
+    df, window, bucket_rows = docs(rows), 100, 256
+    chunks = suffix_dedup.pack(df, 4000)
+    known = chunks.join(suffix_dedup.copies(chunks.drop("data"), window), "chunk_id", "left")
+    known = suffix_dedup.with_answers(known, suffix_dedup.rank_samples(known, window, 8), "ranks")
+    asked = suffix_dedup._asked(known, window, 8, 40).cache()
+    large = suffix_dedup.large_buckets(asked, bucket_rows).cache()
+    before = asked.groupBy("bucket").agg(F.sum("n").alias("n"))
+    parts = suffix_dedup.split_large(asked.join(large, "bucket"), window, 40)
+    after = parts.groupBy("bucket").agg(F.sum("n").alias("n"))
+    assert before.agg(F.max("n")).first()[0] > 8 * bucket_rows and large.count() > 0
+    assert after.agg(F.max("n")).first()[0] < suffix_dedup.LARGE * bucket_rows
+    assert parts.agg(F.sum("n")).first()[0] == asked.join(large, "bucket").agg(F.sum("n")).first()[0]
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df, window, chunk_bytes=4000, bucket_rows=bucket_rows).collect()}
+    assert got == {d: kept for (d, _), (_, _, kept) in _substring_oracle(rows, window).items()}
+
+
 def test_suffixes_are_in_true_order():
     """Sorted by bytes, whatever repeats: binary noise, runs of one byte, short patterns, zero bytes at the end."""
     rng = np.random.default_rng(1)
