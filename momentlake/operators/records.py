@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from momentlake.sources.shared import shared_path
+
 
 def pending(expected: DataFrame, stored: DataFrame, failed: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Chunks (id) that are not stored and, unless they are retried, have not failed."""
@@ -52,13 +54,30 @@ def next_versions(definitions: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
-    """root, node, depth: what is reached from roots (id) by at most `hops` edges (parent_id, child_id); shortest depth."""
-    front = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    reached, links = front, edges.select(F.col("parent_id").alias("node"), F.col("child_id").alias("child")).distinct()
+    """root, node, depth: what is reached from roots (id) by at most `hops` edges (parent_id, child_id); shortest depth.
+
+    Each hop starts from the nodes that the last one reached first, which are written, and the hops end when there are none.
+    """
+    spark, path = edges.sparkSession, shared_path(edges.sparkSession, "lineage")
+    schema = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).schema
+
+    def staged(df: DataFrame, depth: int) -> DataFrame:
+        df.select("root", "node", F.lit(depth).alias("depth")).write.parquet(f"{path}/{depth}")
+        return spark.read.schema(schema).parquet(f"{path}/{depth}")
+
+    links = edges.select(F.col("parent_id").alias("node"), F.col("child_id").alias("child")).distinct()
+    links.write.parquet(f"{path}/links")
+    links = spark.read.schema(links.schema).parquet(f"{path}/links")
+    front = staged(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct(), 0)
+    reached, out = front, None
     for depth in range(1, hops + 1):
-        front = front.join(links, "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        reached = reached.unionByName(front)
-    return reached.groupBy("root", "node").agg(F.min("depth").alias("depth")).filter("depth > 0")
+        steps = front.join(links, "node").select("root", F.col("child").alias("node")).distinct()
+        known = reached if depth > 1 else reached.limit(0)  # a root may be reached from itself
+        front = staged(steps.join(known.filter("depth > 0").select("root", "node"), ["root", "node"], "left_anti"), depth)
+        out, reached = (front if out is None else out.unionByName(front)), reached.unionByName(front)
+        if front.isEmpty():
+            break
+    return out if out is not None else reached.limit(0)
 
 
 def retrieval_quality(results: DataFrame, truth: DataFrame, cuts: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

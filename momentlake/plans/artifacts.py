@@ -13,6 +13,7 @@ from momentlake.functions.vectors import is_valid
 from momentlake.operators.semantic import vector_from_field
 from momentlake.operators.structured import field
 from momentlake.plans.ingest import Embedder, embed
+from momentlake.sources.shared import shared_path
 
 
 def new_id(prefix: str, *parts: Column) -> Column:
@@ -51,6 +52,13 @@ def conflicts(outputs: DataFrame, runs: DataFrame) -> DataFrame:
     return request_hashes(outputs).join(known, ["media_id", "key"]).filter("known <> request_hash")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def understand(outputs: DataFrame, runs: DataFrame) -> Imported:
     """The new rows that outputs add to what runs (media_id, key, request_hash) hold; a repeated run adds none.
 
@@ -58,12 +66,15 @@ def understand(outputs: DataFrame, runs: DataFrame) -> Imported:
     """
     if not invalid_records(outputs).isEmpty():
         raise ValueError("invalid records")
-    if not conflicts(outputs, runs).isEmpty():
+    hashes = staged(request_hashes(outputs), "hashes")  # read for conflicts, runs and all that hangs on them
+    known = runs.select("media_id", "key", F.col("request_hash").alias("known"))
+    if not hashes.join(known, ["media_id", "key"]).filter("known <> request_hash").isEmpty():
         raise ValueError("idempotency key used with another request")
-    fresh = request_hashes(outputs).join(runs.select("media_id", "key"), ["media_id", "key"], "left_anti")
+    fresh = hashes.join(runs.select("media_id", "key"), ["media_id", "key"], "left_anti")
     new_runs = fresh.select(new_id("run", F.col("media_id"), F.col("key")).alias("id"), "media_id", "key", "request_hash", F.lit("completed").alias("status"))
     rows = outputs.join(new_runs.select("media_id", "key", F.col("id").alias("run_id")), ["media_id", "key"])
     rows = rows.withColumn("analyzer_run_id", new_id("analyzer", F.col("run_id"), F.col("name"))).withColumn("artifact_id", new_id("artifact", F.col("analyzer_run_id")))
+    rows = staged(rows, "rows")  # each of the five outputs reads it
     analyzers = rows.select(F.col("analyzer_run_id").alias("id"), "run_id", "name").distinct()
     artifacts = rows.groupBy(F.col("artifact_id").alias("id"), "analyzer_run_id", "media_id", "artifact_type").agg(F.count("*").alias("record_count"), F.lit("completed").alias("status"))
     records = rows.select(new_id("record", F.col("artifact_id"), F.col("segment_id")).alias("id"), "artifact_id", "media_id", "segment_id", "start_ms", "end_ms", "data")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from momentlake.functions import moments as M
 from momentlake.functions import text as T
 from momentlake.functions import vectors as V
-from momentlake.operators import fusion, records, search, semantic
+from momentlake.operators import fusion, multimodal, records, search, semantic
 from momentlake.plans import artifacts, ingest
 from momentlake.queries._tables import ASKED, CHUNKS, RECORDS, asked, chunks, event_records, r6, table
 from momentlake.sources import media
@@ -68,6 +68,17 @@ def a17_fused_search(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("query_id", "rank", "id", r6("score").alias("score"))
 
 
+def a17_multimodal(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search, in sources of the library that are asked for: five lists, the exact one included, and moments merged."""
+    text = lambda label, n: F.concat(F.lit("label l"), label.cast("string"), F.lit(" part p"), (n % 10).cast("string"))
+    segments = _segments(spark, d).withColumn("text", text(F.col("label"), F.col("vec_id")))
+    queries = asked(spark, d).withColumn("text", text(F.col("label"), F.floor(F.col("query_id") / 20)))
+    sources = table(spark, d, "nation").select(F.format_string("/lib/%02d.mp4", "n_nationkey").alias("source_file"))
+    out = multimodal.search_moments(chunks(spark, d), segments, queries, 5, "table", "unit64", sources)
+    scores = [r6(F.col("score_breakdown")[x]).alias(f"{x}_score") for x in ("visual", *MODALITIES, "exact")]
+    return out.select("query_id", "rank", "source_file", "start_time", "end_time", r6("score").alias("score"), "primary_modality", "evidence", *scores)
+
+
 def a18_visual_only(spark: SparkSession, d: str) -> DataFrame:
     """Fused search while no text is stored: the visual list as it is."""
     listed = lambda df, name: df.select("query_id", "rank", "source_file", "start_time", "end_time", "score", F.lit(name).alias("list"), F.lit(name).alias("modality"), F.lit("").alias("text"))
@@ -268,10 +279,40 @@ def t5_live_categories(spark: SparkSession, d: str) -> DataFrame:
     return streams.stored_categories(spark, f"{home}/out").select("path", "category")
 
 
-QUERIES = {f.__name__: f for f in (a14_semantic_index, a14_built_index, a15_enrichment_topk, a17_fused_search, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t2_first_events, t3_closed_windows, t4_progress, t5_live_categories)}
+QUERIES = {f.__name__: f for f in (a14_semantic_index, a14_built_index, a15_enrichment_topk, a17_fused_search, a17_multimodal, a18_visual_only, p7_vector_from_field, i6_index_build, i5_vector_artifact, i7_modality_jobs, s7_artifact_records, s8_index_records, j1_artifacts_of_runs, j2_versions_with_definitions, j12_missing_sources, s3_register, s10_remove_and_clear, s11_categories, f9_category, u4_owned_files, i3_dead_letters, p22_fold, a23_spaced_frames, t2_first_seen, t2_first_events, t3_closed_windows, t4_progress, t5_live_categories)}
 
 _SEGMENTS = """segments AS (SELECT *, ['scene_caption', 'ocr', 'transcript'][vec_id % 3 + 1] AS modality FROM chunks WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 3)"""
 
+
+
+def _multimodal_sql() -> str:
+    """Lists with their weights in the order in which they are merged; a moment is folded into the first one of its source that it overlaps by a fifth."""
+    fields = "o INT, rank BIGINT, ga DOUBLE, gb DOUBLE, a DOUBLE, b DOUBLE, rrf DOUBLE, priority DOUBLE, modality VARCHAR, evidence VARCHAR, told DOUBLE, s0 DOUBLE, s1 DOUBLE, s2 DOUBLE, s3 DOUBLE, s4 DOUBLE"
+    first, better = "priority > c.priority", "told > c.told AND evidence IS NOT NULL"
+    own = ", ".join(f"CASE WHEN o = {k} THEN score END AS s{k}" for k in range(5))
+    kept = ", ".join(f"'s{k}': greatest(c.s{k}, s{k})" for k in range(5))
+    new = ", ".join(f"'s{k}': s{k}" for k in range(5))
+    named = ", ".join(f"round(s{k}, 6) AS {x}_score" for k, x in enumerate(("visual", *MODALITIES, "exact")))
+    return f"""WITH RECURSIVE {CHUNKS}, {ASKED}, n AS (SELECT printf('/lib/%02d.mp4', n_nationkey) AS source_file FROM nation),
+c AS (SELECT *, 'label l' || label || ' part p' || (vec_id % 10) AS text, ['scene_caption', 'ocr', 'transcript'][vec_id % 3 + 1] AS modality FROM chunks WHERE source_file IN (SELECT source_file FROM n)),
+l AS (SELECT query_id, 0 AS o, 0.40::DOUBLE AS weight, id, source_file, start_time, end_time, 'visual' AS modality, NULL AS text, round(list_cosine_similarity(v, q), 9) AS score FROM c, asked
+  UNION ALL SELECT query_id, vec_id % 3 + 1, [0.25::DOUBLE, 0.15, 0.20][vec_id % 3 + 1], id, source_file, start_time, end_time, modality, text, round(list_cosine_similarity(v, q), 9) FROM c, asked WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 3
+  UNION ALL SELECT query_id, 4, 0.75::DOUBLE, id, source_file, start_time, end_time, modality, text, 1.0::DOUBLE FROM c, asked WHERE label = q_label AND vec_id % 10 = query_id // 20 % 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, o ORDER BY score DESC, CASE WHEN o < 4 THEN source_file END, CASE WHEN o < 4 THEN start_time END, id) AS rank FROM l),
+h AS (SELECT query_id, source_file, row_number() OVER (PARTITION BY query_id, source_file ORDER BY o, rank) AS n, o, rank, start_time AS a, end_time AS b, weight / (60 + rank) AS rrf, CASE WHEN o = 4 THEN 1 ELSE weight * score END::DOUBLE AS priority,
+  modality, text AS evidence, CASE o WHEN 0 THEN 0 WHEN 4 THEN 2 ELSE greatest(score, 0) END::DOUBLE AS told, {own} FROM r WHERE rank <= 40),
+w AS (SELECT DISTINCT query_id, source_file, 0::BIGINT AS n, []::STRUCT({fields})[] AS found FROM h
+  UNION ALL SELECT query_id, source_file, n, CASE WHEN place = 0 THEN list_append(found, {{'o': o, 'rank': rank, 'ga': a, 'gb': b, 'a': a, 'b': b, 'rrf': rrf, 'priority': priority, 'modality': modality, 'evidence': evidence, 'told': told, {new}}})
+    ELSE list_transform(found, lambda c, i: CASE WHEN i <> place THEN c ELSE {{'o': c.o, 'rank': c.rank, 'ga': least(c.ga, a), 'gb': greatest(c.gb, b), 'a': CASE WHEN {first} THEN a ELSE c.a END, 'b': CASE WHEN {first} THEN b ELSE c.b END,
+      'rrf': c.rrf + rrf, 'priority': greatest(c.priority, priority), 'modality': CASE WHEN {first} THEN modality ELSE c.modality END, 'evidence': CASE WHEN {better} THEN evidence ELSE c.evidence END,
+      'told': CASE WHEN {better} THEN told ELSE c.told END, {kept}}} END) END
+  FROM (SELECT h.*, w.found, coalesce(list_position(list_transform(w.found, lambda c: h.o > 0 AND greatest(least(c.gb, h.b) - greatest(c.ga, h.a), 0) / greatest(least(c.gb - c.ga, h.b - h.a), 0.001) >= 0.2), true), 0) AS place
+    FROM w JOIN h ON h.query_id = w.query_id AND h.source_file = w.source_file AND h.n = w.n + 1)),
+f AS (SELECT query_id, source_file, unnest(found, max_depth := 2) FROM w QUALIFY row_number() OVER (PARTITION BY query_id, source_file ORDER BY n DESC) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, o, rank, source_file, a)::INT AS place FROM f)
+SELECT query_id, place AS rank, source_file, a AS start_time, b AS end_time, round(least(greatest(rrf * 61, 0), 1), 6) AS score, modality AS primary_modality, evidence, {named} FROM best WHERE place <= 5"""
+
+
 SQL = {
     "a14_semantic_index": f"""WITH {RECORDS}, {ASKED}, s AS (SELECT query_id, record_id, start_ms, round(list_cosine_similarity(e.embedding::DOUBLE[], q), 9) AS score
   FROM records JOIN embeddings e ON e.vec_id = record_id, asked WHERE k >= 10),
@@ -291,6 +332,7 @@ SELECT query_id, modality, rank, id, round(score, 6) AS score FROM r WHERE rank
 f AS (SELECT query_id, id, sum(w::DOUBLE / (60 + rank)) AS rrf FROM s WHERE rank <= 40 GROUP BY query_id, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, id)::INT AS rank FROM f)
 SELECT query_id, rank, id, round(least(rrf * 61, 1), 6) AS score FROM r WHERE rank <= 5""",
+    "a17_multimodal": _multimodal_sql(),
     "a18_visual_only": f"""WITH {CHUNKS}, {ASKED}, r AS (SELECT query_id, source_file, start_time, end_time, round(list_dot_product(v, q), 9) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(v, q), 9) DESC, source_file, start_time, id)::INT AS rank FROM chunks, asked)
 SELECT query_id, rank, source_file, start_time, end_time, round(score, 6) AS score, 'visual' AS primary_modality FROM r WHERE rank <= 5""",
