@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions.moments import chunk_id
-from momentlake.operators import anomalies
+from momentlake.operators import anomalies, stats
 from momentlake.operators import records as R
-from momentlake.plans import index_job
+from momentlake.plans import enrichment, index_job, ingest
 from momentlake.queries._tables import r6, table
 from momentlake.sources.index_store import IndexStore
 from momentlake.sources.shared import shared_path
+from momentlake.sources.snapshots import SnapshotTable
 from momentlake.streaming import ingest as streams
 
 CONFIG = index_job.IndexConfig(dimension=4, backend="table", model="small")
@@ -111,7 +112,45 @@ def i9_resume(spark: SparkSession, d: str) -> DataFrame:
     return joined.withColumns({"first": F.lit(len(first.reports)), "cancelled": F.lit(first.cancelled), "second": F.lit(len(second.reports)), "finished": F.lit(not second.cancelled)})
 
 
-QUERIES = {f.__name__: f for f in (i1_index_job, i1_index_report, i8_pinned_versions, i9_resume)}
+def s12_enrichment_report(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as records, some without text: what two imports, of which the second repeats the first and adds to it, report and store."""
+    c = table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 5 == 3, " \n").otherwise(F.col("text"))
+    modality = F.when(F.col("role") == "user", "ocr").when(F.col("role") == "assistant", "transcript").otherwise("other")
+    rows = c.select(F.format_string("r%d_%d", "conv_id", "turn").alias("id"), F.format_string("/in/%d.mp4", "conv_id").alias("source_file"), modality.alias("modality"), F.col("turn").cast("double").alias("start_time"), (F.col("turn") + 1.0).alias("end_time"), F.parse_json(F.to_json(F.struct(text.alias("text")))).alias("data"), "conv_id")
+    store = SnapshotTable(spark, shared_path(spark, "enriched"), spark.createDataFrame([], enrichment.SEGMENT).schema)
+    one = enrichment.enrich(rows.filter("conv_id % 3 <> 0"), store, ingest.hashing_embedder(8), 8, "table", "hash")
+    two = enrichment.enrich(rows, store, ingest.hashing_embedder(8), 8, "table", "hash")
+    stored = store.read().groupBy("modality").agg(F.count("*").alias("stored"))
+    told = {f"{name}_{c}": getattr(r, c) for name, r in (("first", one), ("second", two)) for c in ("seen", "indexed", "empty")}
+    return stored.withColumns({k: F.lit(v).cast("long") for k, v in told.items()})
+
+
+def g3_sketch_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks of three snapshots: merged counts of chunks and sources, and whether the sketch is within three standard errors of the true count."""
+    rows = table(spark, d, "documents").select(_source(F.col("doc_id")).alias("source_file"), "doc_id")
+    parts = [stats.snapshot_stats(rows.filter(F.pmod("doc_id", F.lit(3)) == k)) for k in range(3)]
+    exact = rows.agg(F.count_distinct("source_file").alias("exact"))
+    both = stats.merged(reduce(DataFrame.unionByName, parts)).crossJoin(exact)  # a row each
+    return both.select("chunks", "exact", (F.abs(F.col("sources") - F.col("exact")) <= 3 * stats.ERROR * F.col("exact")).alias("within"))
+
+
+def g3_sources(spark: SparkSession, d: str) -> DataFrame:
+    return stats.sources(table(spark, d, "documents").select(F.col("source").alias("source_file")))
+
+
+def a20_activate(spark: SparkSession, d: str) -> DataFrame:
+    """An alias that is set to the first ready version, to the last one and back: its log, and what it stands for."""
+    versions = table(spark, d, "orders").select(F.col("o_orderkey").alias("index_version_id"), F.lit("orders").alias("name"), F.col("o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("building").alias("status"))
+    low, high = versions.filter("status = 'ready'").agg(F.min("version"), F.max("version")).first()
+    aliases = spark.createDataFrame([], "alias string, index_version_id long, updated_at long")
+    for at, version in enumerate((low, high, low), 1):
+        aliases = R.activate(aliases, versions, "live", version, at)
+    resolved = R.resolve(versions, aliases, spark.createDataFrame([("live",)], "name string"))
+    return aliases.join(resolved.select(F.col("name").alias("alias"), F.col("index_version_id").alias("now")), "alias")
+
+
+QUERIES = {f.__name__: f for f in (i1_index_job, i1_index_report, i8_pinned_versions, i9_resume, s12_enrichment_report, g3_sketch_stats, g3_sources, a20_activate)}
 
 _SPANS = """m AS (SELECT doc_id, printf('/in/%06d.mp4', doc_id) AS source_file, length(text) * 60 AS d FROM documents),
 spans AS (SELECT doc_id, source_file, coalesce(d > 0, false) AS readable, unnest(range(0, CASE WHEN d > 0 THEN greatest(1, ceil((d - 5000) / 25000.0))::BIGINT ELSE 1 END)) AS segment FROM m),
@@ -135,4 +174,12 @@ SELECT c.*, true AS agree, letters, letter_attempts, stored, weight FROM c JOIN
 FROM told, (SELECT unnest([1, 2, 3, 4]) AS v) WHERE readable AND NOT broken AND NOT busy AND doc_id % 4 < v GROUP BY v""",
     "i9_resume": f"""WITH {_SPANS} SELECT source_file, count(*)::BIGINT AS spans, count(*)::BIGINT AS ids, count_if(NOT readable OR broken OR busy)::BIGINT AS failed, count_if(readable AND NOT broken AND NOT busy)::BIGINT AS chunks,
   2 AS first, true AS cancelled, 2 AS second, true AS finished FROM told GROUP BY source_file""",
+    "s12_enrichment_report": """WITH r AS (SELECT conv_id, CASE role WHEN 'user' THEN 'ocr' WHEN 'assistant' THEN 'transcript' ELSE 'other' END AS modality, turn % 5 <> 3 AND regexp_matches(text, '\\S') AND role IN ('user', 'assistant') AS told FROM conversations),
+n AS (SELECT count_if(conv_id % 3 <> 0)::BIGINT AS first_seen, count_if(conv_id % 3 <> 0 AND told)::BIGINT AS first_indexed, count_if(conv_id % 3 <> 0 AND NOT told)::BIGINT AS first_empty,
+  count(*)::BIGINT AS second_seen, count_if(conv_id % 3 = 0 AND told)::BIGINT AS second_indexed, count_if(NOT told)::BIGINT AS second_empty FROM r)
+SELECT modality, count(*)::BIGINT AS stored, first_seen, first_indexed, first_empty, second_seen, second_indexed, second_empty FROM r, n WHERE told GROUP BY ALL""",
+    "g3_sketch_stats": "SELECT count(*)::BIGINT AS chunks, count(DISTINCT doc_id)::BIGINT AS exact, true AS within FROM documents",
+    "g3_sources": "SELECT source AS source_file, count(*)::BIGINT AS chunks FROM documents GROUP BY source",
+    "a20_activate": """WITH v AS (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders WHERE o_orderstatus = 'F')
+SELECT 'live' AS alias, CASE WHEN turn = 2 THEN high ELSE low END AS index_version_id, turn AS updated_at, low AS now FROM v, (SELECT unnest([1::BIGINT, 2, 3]) AS turn)""",
 }
