@@ -16,6 +16,7 @@ from momentlake.operators.search import CELLS, dedupe_ranked, largest, rank_with
 from momentlake.sources.shared import shared_path
 
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
+STILL_SPREAD = 0.03  # fixed value: how far the brightness of a still span may vary
 
 
 def centroid(df: DataFrame, dimension: int) -> DataFrame:
@@ -170,7 +171,7 @@ def span_luma(frames: DataFrame) -> DataFrame:
     return frames.select("span_id", "frame_idx", "rgb").mapInArrow(luma, "span_id long, frame_idx int, luma double")
 
 
-def still_spans(frames: DataFrame, spread: float = 0.03) -> DataFrame:
+def still_spans(frames: DataFrame, spread: float = STILL_SPREAD) -> DataFrame:
     """span_id of spans with two frames or more, not all black, whose luminance varies by less than spread."""
     stats = span_luma(frames).groupBy("span_id").agg(F.count("*").alias("n"), F.max("luma").alias("high"), F.min("luma").alias("low"))
     return stats.filter((F.col("n") >= 2) & (F.col("high") > 0) & (F.col("high") - F.col("low") < spread)).select("span_id")

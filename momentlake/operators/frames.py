@@ -12,17 +12,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCKS = (64, 48, 8, 4)  # colours 4 x 4 x 4, a grid of 4 x 4 mean colours, brightness, motion
-MOTION_EDGES = (0.01, 0.05, 0.15)
+LEAST_CHANGE = 2.5  # fixed value: mean difference of a changed frame
+MOTION_EDGES = (0.01, 0.05, 0.15)  # fixed value: shares of changed brightness
 
 # RGB quarters of colour words, and the words for brightness and motion.
 COLOURS = {
     "red": (3, 0, 0), "green": (0, 3, 0), "blue": (0, 0, 3), "yellow": (3, 3, 0), "cyan": (0, 3, 3), "magenta": (3, 0, 3), "purple": (3, 0, 3),
     "violet": (3, 0, 3), "orange": (3, 2, 0), "pink": (3, 1, 2), "brown": (2, 1, 0), "white": (3, 3, 3), "black": (0, 0, 0), "gray": (1, 1, 1), "grey": (1, 1, 1),
 }
-DARK = "dark black night dim shadow shadowy".split()
-BRIGHT = "bright white light day sunny daytime".split()
-FAST = "moving move fast running run driving drive action motion".split()
-STILL = "parked still static idle stopped stationary".split()
+DARK = ("dark", "black", "night", "dim", "shadow", "shadowy")
+BRIGHT = ("bright", "white", "light", "day", "sunny", "daytime")
+FAST = ("moving", "move", "fast", "running", "run", "driving", "drive", "action", "motion")
+STILL = ("parked", "still", "static", "idle", "stopped", "stationary")
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def text_features(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(each, "query_id long, embedding array<double>")
 
 
-def changed_frames(frames: DataFrame, least: float = 2.5) -> DataFrame:
+def changed_frames(frames: DataFrame, least: float = LEAST_CHANGE) -> DataFrame:
     """Frames that differ from the last kept one of their span by `least` (mean of 0 to 255) at least; a span's first one stays."""
 
     def keep(t: pa.Table) -> pa.Table:

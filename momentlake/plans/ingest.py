@@ -36,10 +36,10 @@ def hashing_embedder(dimension: int = 32) -> Embedder:
     return embed
 
 
-def segments(media: DataFrame, chunk_ms: int = 30_000, overlap_ms: int = 5_000) -> DataFrame:
-    """id, source_file, segment, start_time, end_time of media (source_file, duration_ms)."""
-    each = media.select("source_file", F.explode(fixed_windows(F.col("duration_ms"), chunk_ms, overlap_ms)).alias("w"))
-    rows = each.select("source_file", F.col("w.i").alias("segment"), (F.col("w.start_ms") / 1000.0).alias("start_time"), (F.col("w.end_ms") / 1000.0).alias("end_time"))
+def segments(media: DataFrame, chunk_ms: int = 30_000, overlap_ms: int = 5_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, source_file, segment, start_time, end_time and the columns to keep of media (source_file, duration_ms)."""
+    each = media.select("source_file", *keep, F.explode(fixed_windows(F.col("duration_ms"), chunk_ms, overlap_ms)).alias("w"))
+    rows = each.select("source_file", F.col("w.i").alias("segment"), (F.col("w.start_ms") / 1000.0).alias("start_time"), (F.col("w.end_ms") / 1000.0).alias("end_time"), *keep)
     return rows.select(chunk_id(F.col("source_file"), F.col("start_time")).alias("id"), *rows.columns)
 
 

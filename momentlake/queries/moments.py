@@ -29,8 +29,7 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def j7_pending(spark: SparkSession, d: str) -> DataFrame:
     """Chunks left to index: those of orders with status F are stored, the first chunks of those with status P have failed."""
-    media_rows = _durations(spark, d)
-    expected = ingest.segments(media_rows).join(media_rows.select("source_file", "o_orderstatus"), "source_file")
+    expected = ingest.segments(_durations(spark, d), keep=("o_orderstatus",))
     stored, failed = expected.filter("o_orderstatus = 'F'"), expected.filter("o_orderstatus = 'P' and segment = 0")
     return records.pending(expected, stored, failed).select("id", "source_file", "segment")
 
@@ -162,7 +161,7 @@ QUERIES = {f.__name__: f for f in (p1_segments, j7_pending, j7_complete_files, a
 
 def _case(column: str) -> str:
     low = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{'|'.join(w.split())}') THEN '{c}'" for c, w in T.CATEGORY_WORDS.items()) + " ELSE 'Unsorted' END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({low}, '{'|'.join(w)}') THEN '{c}'" for c, w in T.CATEGORY_WORDS.items()) + " ELSE 'Unsorted' END"
 
 
 _NAME = "printf('%02dm%02ds', round({x})::BIGINT // 60, round({x})::BIGINT % 60)"
@@ -174,7 +173,7 @@ _APART = "CASE WHEN least(len({x}), len({y})) = 0 THEN 0 ELSE list_avg(list_tran
 _LUMA = "CASE WHEN px = 0 THEN 0 ELSE list_sum(list_transform(b[1:px * 3], lambda x, i: x * [0.299::DOUBLE, 0.587, 0.114][(i - 1) % 3 + 1])) / px / 255 END"
 _UNIT = "x / CASE WHEN sqrt(sum(x * x) OVER ({0})) > 1e-12 THEN sqrt(sum(x * x) OVER ({0})) ELSE 1 END"
 _COLOURS = ", ".join(f"('{word}', {r}, {g}, {b})" for word, (r, g, b) in frames.COLOURS.items())
-_BUMPS = ", ".join(f"({words}, {block}, {at}, {x}::DOUBLE)" for words, block, at, beside in ((frames.DARK, 2, 112, 113), (frames.BRIGHT, 2, 119, 118), (frames.FAST, 3, 123, 122), (frames.STILL, 3, 120, 121)) for at, x in ((at, 1.0), (beside, 0.5)))
+_BUMPS = ", ".join(f"({[*words]}, {block}, {at}, {x}::DOUBLE)" for words, block, at, beside in ((frames.DARK, 2, 112, 113), (frames.BRIGHT, 2, 119, 118), (frames.FAST, 3, 123, 122), (frames.STILL, 3, 120, 121)) for at, x in ((at, 1.0), (beside, 0.5)))
 
 SQL = {
     "m5_span_features": f"""WITH {_BYTES}, f AS (SELECT span_id, frame_idx, b, len(b) // 3 AS px, greatest(len(b) // 48, 1) AS h, count(*) OVER (PARTITION BY span_id) AS n, lag(b) OVER (PARTITION BY span_id ORDER BY frame_idx) AS p FROM b),

@@ -12,8 +12,8 @@ from momentlake.functions.moments import file_stem
 from momentlake.functions.text import category_of_path, mime_of_path
 
 # Extensions of media files, and folders that a scan leaves out below its root.
-EXTENSIONS = "mp4 mov m4v mkv avi webm wmv mpg mpeg 3gp 3g2 flv f4v ogv vob".split()
-SKIPPED = ".git .hg .svn .next .venv __pycache__ node_modules target venv".split()
+EXTENSIONS = ("mp4", "mov", "m4v", "mkv", "avi", "webm", "wmv", "mpg", "mpeg", "3gp", "3g2", "flv", "f4v", "ogv", "vob")
+SKIPPED = (".git", ".hg", ".svn", ".next", ".venv", "__pycache__", "node_modules", "target", "venv")
 
 
 def is_media(path: Column) -> Column:
@@ -23,7 +23,7 @@ def is_media(path: Column) -> Column:
 
 def is_skipped(relative: Column) -> Column:
     """Whether a folder of the path below the root is one that scans leave out."""
-    return F.exists(F.split(F.lower(relative), "/"), lambda part: part.isin(SKIPPED))
+    return F.exists(F.split(F.lower(relative), "/"), lambda part: part.isin(*SKIPPED))
 
 
 def plain_path(path: Column) -> Column:
