@@ -2,7 +2,9 @@
 
 A chunk asks every bucket about its own fingerprints that fall into it, packed into one row; a bucket sees the
 fingerprints of all chunks at once and answers each chunk with one row. So a corpus-wide lookup of billions of
-fingerprints moves as a few binary rows a chunk instead of a row each, and buckets are even whatever repeats.
+fingerprints moves as binary rows instead of a row each, and buckets are even whatever repeats. There is a row for each
+chunk and bucket that meet: chunks of some megabytes and buckets of a million entries keep them large as long as the
+corpus has less than about a million times a million entries.
 """
 
 from __future__ import annotations

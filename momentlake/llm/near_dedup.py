@@ -12,8 +12,9 @@ most exactly where it is high. Documents with equal sets are one node.
 
 Buckets and families of over `block` nodes are split alike: each block is linked on its own, with the group's
 first node in all of them; nodes that are not in the group's largest component by then are tried against all of
-its nodes, block by block. So no link is lost that would join two documents, no group turns into all its pairs,
-and a task holds two blocks at most.
+its nodes, block by block. So no link is lost that would join two documents, and a task holds two blocks at most. A
+group whose nodes link turns into few pairs; one of many nodes that look alike and do not link is compared pair by
+pair by its bitmaps.
 
 Bitmaps leave a pair out only if it is four and a half standard deviations (of samples and bits together) below
 the threshold; where many are left to try, a second, far larger bitmap does so once more.
