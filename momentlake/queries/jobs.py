@@ -13,6 +13,7 @@ from momentlake.operators import anomalies, stats
 from momentlake.operators import records as R
 from momentlake.plans import enrichment, index_job, ingest
 from momentlake.queries._tables import r6, table
+from momentlake.sources import manifests
 from momentlake.sources.index_store import IndexStore
 from momentlake.sources.shared import shared_path
 from momentlake.sources.snapshots import SnapshotTable
@@ -150,7 +151,33 @@ def a20_activate(spark: SparkSession, d: str) -> DataFrame:
     return aliases.join(resolved.select(F.col("name").alias("alias"), F.col("index_version_id").alias("now")), "alias")
 
 
-QUERIES = {f.__name__: f for f in (i1_index_job, i1_index_report, i8_pinned_versions, i9_resume, s12_enrichment_report, g3_sketch_stats, g3_sources, a20_activate)}
+def s5_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Events as analyzer manifests, a file for each of 97 groups of users, read back as the rows that an import takes."""
+    e, path = table(spark, d, "events"), shared_path(spark, "manifests")
+    start = (F.unix_micros("ts") / 1000).cast("long")
+    record = F.struct(F.format_string("segment_%d", "event_id").alias("segment_id"), start.alias("start_ms"), (start + 1000).alias("end_ms"), F.to_json(F.struct("event_type", "user_id")).alias("data"), F.when(F.col("event_id") % 2 == 0, "{broken").otherwise('{"v": 1}').alias("metadata"))
+    groups = e.groupBy(F.pmod("user_id", F.lit(97)).alias("m")).agg(F.collect_list(record).alias("records"))  # a manifest is one document
+    manifest = F.struct(F.format_string("analyzer_%d", "m").alias("name"), F.lit("event").alias("artifact_type"), F.lit(1).alias("schema_version"), "records")
+    groups.select("m", F.to_json(F.array(manifest)).alias("value")).repartition("m").write.partitionBy("m").text(path)
+    rows = manifests.read_manifests(spark, f"{path}/*", "media_1", "nightly")
+    return rows.select("name", "artifact_type", "segment_id", "start_ms", "end_ms", F.try_variant_get("data", "$.event_type", "string").alias("event_type"), F.try_variant_get("metadata", "$.v", "int").alias("v"))
+
+
+def i10_compatible(spark: SparkSession, d: str) -> DataFrame:
+    """Which backends and models may write to stores that hold the vectors of chunks."""
+    stored = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, "table").otherwise("other").alias("backend"), F.lit("unit64").alias("model"))
+    one, none, out = stored.filter("backend = 'table'"), stored.limit(0), []
+    for store, rows in (("one", one), ("both", stored), ("none", none)):
+        for backend, model in (("table", "unit64"), ("other", "unit64"), ("table", "large")):
+            try:
+                ingest.check_compatible(rows, backend, model)
+                out.append((store, backend, model, True))
+            except ValueError:
+                out.append((store, backend, model, False))
+    return spark.createDataFrame(out, "store string, backend string, model string, ok boolean")
+
+
+QUERIES = {f.__name__: f for f in (i1_index_job, i1_index_report, i8_pinned_versions, i9_resume, s12_enrichment_report, g3_sketch_stats, g3_sources, a20_activate, s5_manifests, i10_compatible)}
 
 _SPANS = """m AS (SELECT doc_id, printf('/in/%06d.mp4', doc_id) AS source_file, length(text) * 60 AS d FROM documents),
 spans AS (SELECT doc_id, source_file, coalesce(d > 0, false) AS readable, unnest(range(0, CASE WHEN d > 0 THEN greatest(1, ceil((d - 5000) / 25000.0))::BIGINT ELSE 1 END)) AS segment FROM m),
@@ -182,4 +209,8 @@ SELECT modality, count(*)::BIGINT AS stored, first_seen, first_indexed, first_em
     "g3_sources": "SELECT source AS source_file, count(*)::BIGINT AS chunks FROM documents GROUP BY source",
     "a20_activate": """WITH v AS (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders WHERE o_orderstatus = 'F')
 SELECT 'live' AS alias, CASE WHEN turn = 2 THEN high ELSE low END AS index_version_id, turn AS updated_at, low AS now FROM v, (SELECT unnest([1::BIGINT, 2, 3]) AS turn)""",
+    "s5_manifests": """SELECT 'analyzer_' || (user_id % 97) AS name, 'event' AS artifact_type, 'segment_' || event_id AS segment_id, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 1000 AS end_ms, event_type, CASE WHEN event_id % 2 = 1 THEN 1 END AS v FROM events""",
+    "i10_compatible": """WITH s AS (SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN 'table' ELSE 'other' END AS b, 'unit64' AS m FROM embeddings), n AS (SELECT unnest(['one', 'both', 'none']) AS store),
+a AS (SELECT * FROM (VALUES ('table', 'unit64'), ('other', 'unit64'), ('table', 'large')) AS a(backend, model))
+SELECT store, backend, model, NOT EXISTS (SELECT 1 FROM s WHERE (store = 'both' OR (store = 'one' AND b = 'table')) AND (b <> backend OR m <> model)) AS ok FROM n, a""",
 }

@@ -100,13 +100,23 @@ def g5_category_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(T.category_of_path(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
 
 
-def s1_media_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Which of the paths made from documents a scan returns."""
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files below /data/target, some of other kinds and some in folders that scans leave out."""
     parts = F.array(*(F.lit(x) for x in ("clips", "node_modules", "Target", ".git", "2024")))
     kinds = F.array(*(F.lit(x) for x in (".MP4", ".mov", ".txt", ".mts", ".mpeg", "", ".mp4.txt")))
     name = F.concat(F.lit("/data/target/"), parts[(F.col("doc_id") % 5).cast("int")], F.lit("/"), F.col("source"), F.lit("/v"), F.col("doc_id").cast("string"), kinds[(F.col("doc_id") % 7).cast("int")])
-    files = table(spark, d, "documents").select(name.alias("path"), F.col("n_chars").alias("length"), F.lit(0).alias("modified"))
-    return media.catalog(media.media_paths(files, "/data/target")).select("path", "length", "file_name", "parent_name", "mime_type", "category")
+    return table(spark, d, "documents").select(name.alias("path"), F.col("n_chars").alias("length"), F.lit(0).alias("modified"))
+
+
+def s1_media_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the paths made from documents a scan returns."""
+    return media.catalog(media.media_paths(_files(spark, d), "/data/target")).select("path", "length", "file_name", "parent_name", "mime_type", "category")
+
+
+def u1_union_of_roots(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog of overlapping roots, one of which is a folder that scans leave out below other roots."""
+    roots = ("/data/target", "/data/target/clips/", "/data/target/node_modules")
+    return media.united(_files(spark, d), roots).select("path", "length", "parent_name", "category")
 
 
 def p12_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +166,7 @@ def p23_text_features(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.posexplode("embedding").alias("i", "x")).filter("x <> 0").select("query_id", "i", r6("x").alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (p1_segments, j7_pending, j7_complete_files, a23_frame_times, p16_formats, p17_clip_plan, j6_interval_overlap, t3_sliding_windows, t1_stream_ingest, p15_categories, g5_category_counts, s1_media_scan, p12_evidence, p21_terms, g10_observations, m5_span_features, m6_still_spans, a21_frame_differences, a22_changed_frames, p23_text_features)}
+QUERIES = {f.__name__: f for f in (p1_segments, j7_pending, j7_complete_files, a23_frame_times, p16_formats, p17_clip_plan, j6_interval_overlap, t3_sliding_windows, t1_stream_ingest, p15_categories, g5_category_counts, s1_media_scan, u1_union_of_roots, p12_evidence, p21_terms, g10_observations, m5_span_features, m6_still_spans, a21_frame_differences, a22_changed_frames, p23_text_features)}
 
 
 def _case(column: str) -> str:
@@ -227,6 +237,8 @@ SELECT s::BIGINT AS window_start, event_type, count(*)::BIGINT AS n, round(sum(v
     "s1_media_scan": f"""WITH f AS (SELECT '/data/target/' || ['clips', 'node_modules', 'Target', '.git', '2024'][doc_id % 5 + 1] || '/' || source || '/v' || doc_id || ['.MP4', '.mov', '.txt', '.mts', '.mpeg', '', '.mp4.txt'][doc_id % 7 + 1] AS path, source, n_chars AS length, doc_id FROM documents)
 SELECT path, length, regexp_extract(path, '[^/]*$') AS file_name, source AS parent_name, CASE WHEN path LIKE '%.MP4' THEN 'video/mp4' WHEN path LIKE '%.mov' THEN 'video/quicktime' ELSE 'video/mpeg' END AS mime_type, {_case("path")} AS category
 FROM f WHERE doc_id % 7 IN (0, 1, 4) AND doc_id % 5 IN (0, 4)""",
+    "u1_union_of_roots": f"""WITH f AS (SELECT '/data/target/' || ['clips', 'node_modules', 'Target', '.git', '2024'][doc_id % 5 + 1] || '/' || source || '/v' || doc_id || ['.MP4', '.mov', '.txt', '.mts', '.mpeg', '', '.mp4.txt'][doc_id % 7 + 1] AS path, source, n_chars AS length, doc_id FROM documents)
+SELECT path, length, source AS parent_name, {_case("path")} AS category FROM f WHERE doc_id % 7 IN (0, 1, 4) AND doc_id % 5 IN (0, 1, 4)""",
     "p12_evidence": """SELECT doc_id, md5(CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END) AS evidence, length(left(text, 500))::INT AS error_length,
   regexp_matches(lower(text), 'oom|out of memory|invalid data|could not decode|no such file') AS permanent FROM documents""",
     "p21_terms": "SELECT item_id, array_to_string(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')[1:12], ' ') AS terms FROM benchmark",

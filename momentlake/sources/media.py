@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,11 @@ def catalog(files: DataFrame) -> DataFrame:
     return rows.orderBy(F.lower("path"), "path")
 
 
+def united(files: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """The catalog of what scans of the roots return of files (path, length, modified), each file once."""
+    return catalog(reduce(DataFrame.unionByName, (media_paths(files, r) for r in roots)))
+
+
 def scan_folders(spark: SparkSession, roots: list[str]) -> DataFrame:
     """The catalog of several roots; overlapping ones give each file once."""
     return catalog(reduce(DataFrame.unionByName, (scan(spark, r) for r in roots)))
