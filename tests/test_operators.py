@@ -171,7 +171,7 @@ def test_ingest_retries_and_dead_letters(spark):
     got = ingest.build(rows, stored, failed, embedder, 8)
     assert sorted(r.id for r in got.chunks.collect()) == ["i1", "i3", "i4"]
     bad = got.failed.collect()
-    assert [(r.id, r.attempts, len(r.error)) for r in bad] == [("i2", 3, 500)]
+    assert [(r.id, r.attempts, len(r.error)) for r in bad] == [("i2", 1, 500)]  # its error is permanent
     again = got.failed.withColumn("error", F.lit("new")).withColumn("start_time", F.lit(9.0))
     merged = ingest.dead_letters(got.failed, again).collect()
     assert [(r.error, r.start_time) for r in merged] == [("new", 2.0)]
