@@ -175,6 +175,13 @@ def _digest(role: str, text: str) -> bytes:
     return hashlib.blake2b(len(head).to_bytes(8, "little") + head + text.encode(), digest_size=16).digest()
 
 
+@lru_cache
+def _arrow(fields: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, fields.split(","))])
+
+
 _CHUNK = "conv_id long, chunk long, turns array<long>, roles array<string>, texts array<string>, copies array<long>, letters binary, symbols binary, digests binary"
 
 
@@ -185,29 +192,30 @@ def _chunked(rows: DataFrame, chunk_rows: int) -> DataFrame:
         base, n = TaskContext.get().partitionId() << 32, 0
         conv, held, chars = None, [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> dict:
             turns, roles, texts, copies = map(list, zip(*held, strict=True))
             seen, symbols, digests = set(), bytearray(), [_digest(r, t) for r, t in zip(roles, texts, strict=True)]
             for role, text, d in zip(roles, texts, digests, strict=True):
                 symbols.append(AGAIN if (x := symbol(role, text)) != GONE and d in seen else x)
                 seen.add(d)
             letters = bytes({"s": 0, "u": 1, "a": 2}.get(r[:1], 3) for r in roles)
-            return pa.RecordBatch.from_pydict({
-                "conv_id": pa.array([conv], pa.int64()), "chunk": pa.array([base + n], pa.int64()), "turns": pa.array([turns], pa.list_(pa.int64())), "roles": [roles], "texts": [texts],
-                "copies": pa.array([copies], pa.list_(pa.int64())), "letters": [letters], "symbols": [bytes(symbols)], "digests": [b"".join(digests)],
-            })
+            return {"conv_id": conv, "chunk": base + n, "turns": turns, "roles": roles, "texts": texts, "copies": copies, "letters": letters, "symbols": bytes(symbols), "digests": b"".join(digests)}
 
+        done, size = [], 0  # chunks leave some at a time
         for b in batches:
             for c, *row in zip(b["conv_id"].to_pylist(), b["turn"].to_pylist(), b["role"].to_pylist(), b["text"], b["copies"].to_pylist(), strict=True):
                 row[2] = row[2].as_py()
                 if held and (c != conv or len(held) >= chunk_rows or chars >= CHUNK_CHARS):
-                    yield flush()
-                    held, chars, n = [], 0, n + 1
+                    done.append(flush())
+                    held, chars, n, size = [], 0, n + 1, size + chars
+                    if size >= CHUNK_CHARS:
+                        yield pa.RecordBatch.from_pylist(done, _arrow(_CHUNK))
+                        done, size = [], 0
                 conv = c
                 held.append(row)
                 chars += len(row[2])
         if held:
-            yield flush()
+            yield pa.RecordBatch.from_pylist([*done, flush()], _arrow(_CHUNK))
 
     return rows.mapInArrow(run, _CHUNK)
 
@@ -279,12 +287,6 @@ def _plans(chunks: DataFrame, costs: Costs) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("chunk")).mapInArrow(joined, "chunk long, last long, first long")
 
 
-@lru_cache
-def _arrow(fields: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, fields.split(","))])
-
-
 _COUNTS = ("blank", "duplicate", "truncated", "illegal", "cost")
 _PART = "conv_id long, chunk long, audit string, repaired binary, n_repaired long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", first_letter long, last_letter long, low long, high long, turns long, state long"
 
@@ -293,7 +295,7 @@ def _repaired(chunks: DataFrame, costs: Costs) -> DataFrame:
     """Per chunk (with seen, last and first): audit, repaired turns (role:text, by newlines) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tables(costs)
+        t, done, size = tables(costs), [], 0
         for b in batches:
             for k in range(b.num_rows):
                 row = {c: b[c][k] for c in b.schema.names}
@@ -321,11 +323,17 @@ def _repaired(chunks: DataFrame, costs: Costs) -> DataFrame:
                 blank = int(copies[symbols == GONE].sum())
                 duplicate = int(copies[symbols == AGAIN].sum() + (copies[symbols < GONE] - 1).sum())
                 illegal = sum(again) + sum((x, y) not in LEGAL for x, y in zip(letters, letters[1:], strict=False))
-                yield pa.RecordBatch.from_pylist([{
+                done.append({
                     "conv_id": row["conv_id"].as_py(), "chunk": row["chunk"].as_py(), "audit": "".join(audit), "repaired": "\n".join(lines).encode(), "n_repaired": len(lines),
                     "blank": blank, "duplicate": duplicate, "truncated": int(((symbols >= 4) & (symbols < GONE)).sum()), "illegal": illegal, "cost": cost,
                     "first_letter": letters[0], "last_letter": letters[-1], "low": int(turns[0]) if len(turns) else None, "high": int(turns[-1]) if len(turns) else None, "turns": len(turns), "state": state,
-                }], _arrow(_PART))
+                })
+                size += len(done[-1]["repaired"])
+                if size >= CHUNK_CHARS:
+                    yield pa.RecordBatch.from_pylist(done, _arrow(_PART))
+                    done, size = [], 0
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _arrow(_PART))
 
     return chunks.mapInArrow(run, _PART)
 
