@@ -2,10 +2,10 @@
 
 Segments come in parts. A part's postings (term, id, frequency, length of the segment) lie in files by term hash, each
 sorted by term; a removed segment is a row of the part that removes it, and a segment counts as of the last part that
-names it. A search reads the terms that are asked for. The rarest term of each query gives its candidates: only their other postings are joined, so a
-common term meets the segments of a query's rare one and not all of its own. Where a query's rarest term is itself
-in more than `large` segments, the postings are read from those with the greatest impacts down, until the k-th score found
-beats what the rest of the query's terms could still add to the impacts that were not read.
+names it. A search reads the terms that are asked for. The rarest term of each query gives its candidates: only their
+other postings are joined, so a common term meets the segments of a query's rare one and not all of its own. Where a
+query's rarest term is itself in more than `large` segments, postings are read from those with the greatest impacts
+down, until the k-th score found beats what the query's other terms could still add to the impacts that were not read.
 """
 
 from __future__ import annotations
@@ -33,12 +33,19 @@ class TextIndex:
 
     def _parts(self) -> list[tuple[int, str]]:
         try:
-            rows = self.spark.read.schema("part long, folder string").json(f"{self.path}/log")
+            rows = self.spark.read.schema("part long, folder string, base boolean").json(f"{self.path}/log")
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" in str(e):
                 return []
             raise
-        return sorted((r.part, r.folder) for r in rows.collect())  # a row a part
+        rows = sorted((r.part, r.folder, r.base) for r in rows.collect())  # a row a part
+        first = max((part for part, _, base in rows if base), default=0)
+        return [(part, folder) for part, folder, _ in rows if part >= first]
+
+    def _publish(self, part: int, folder: str, base: bool) -> None:
+        """One more row of the log: the part counts from now on; a base, instead of all before it."""
+        row = self.spark.range(1).select(F.lit(part).cast("long").alias("part"), F.lit(folder).alias("folder"), F.lit(base).alias("base"))
+        row.coalesce(1).write.mode("append").json(f"{self.path}/log")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         folders = [f"{self.path}/{folder}/{name}" for _, folder in self._parts()]
@@ -49,7 +56,7 @@ class TextIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def add(self, segments: DataFrame, removed: DataFrame | None = None) -> int:
-        """Adds segments (id, source_file, text), in place of those that have their ids, and takes out removed ones (id)."""
+        """Adds segments (id, source_file, text; ids unique), in place of those that have their ids, and takes out removed ones (id), unless they are added too."""
         parts = self._parts()
         part, folder = (parts[-1][0] + 1 if parts else 1), f"part-{uuid.uuid4().hex}"
         words = segments.select(F.col("id").cast("string").alias("id"), "source_file", terms(F.col("text")).alias("w"))
@@ -62,8 +69,7 @@ class TextIndex:
         # frequent terms are dealt over several files of their bucket by id
         dealt = each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id")
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
-        row = self.spark.range(1).select(F.lit(part).cast("long").alias("part"), F.lit(folder).alias("folder"))
-        row.coalesce(1).write.mode("append").json(f"{self.path}/log")
+        self._publish(part, folder, False)
         return part
 
     def segments(self) -> DataFrame:
@@ -79,7 +85,7 @@ class TextIndex:
         folder, part = f"part-{uuid.uuid4().hex}", (self._parts() or [(0, "")])[-1][0] + 1
         live.select("id", "source_file", "length", F.lit(False).alias("gone"), F.lit(part).cast("long").alias("part")).write.parquet(f"{self.path}/{folder}/segments")
         postings.withColumn("part", F.lit(part).cast("long")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").select("term", "id", "tf", "length", "part", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/postings")
-        self.spark.range(1).select(F.lit(part).cast("long").alias("part"), F.lit(folder).alias("folder")).coalesce(1).write.mode("overwrite").json(f"{self.path}/log")
+        self._publish(part, folder, True)
 
     def search(self, queries: DataFrame, k: int, sources: DataFrame | None = None, large: int = 1_000_000) -> DataFrame:
         """query_id, rank, id, bm25, score (1.0): fulltext.search() over the stored segments."""
