@@ -52,10 +52,10 @@ def format_duration(seconds: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes by powers of 1024 up to GB, with one decimal; whole bytes below."""
-    out = F.format_string("%.1f GB", n / 1024.0**3)
+    """Bytes by powers of 1024 up to GB, with one decimal (halves to the even one); whole bytes below."""
+    out = F.format_string("%.1f GB", F.bround(n / 1024.0**3, 1))
     for unit, power in (("MB", 2), ("KB", 1)):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n)).otherwise(out)
 
 

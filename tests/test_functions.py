@@ -29,6 +29,8 @@ def test_windows(spark):
 def test_formats(spark):
     r = one(spark, *(M.format_duration(F.lit(float(x))).alias(f"d{i}") for i, x in enumerate((5, 65, 3661, -3, 59.6))), *(M.format_bytes(F.lit(x)).alias(f"b{i}") for i, x in enumerate((12, 1536, 5 << 20, 3 << 30, 2048 << 30))))
     assert tuple(r) == ("0:05", "1:05", "1:01:01", "0:00", "1:00", "12 B", "1.5 KB", "5.0 MB", "3.0 GB", "2048.0 GB")
+    halves = one(spark, *(M.format_bytes(F.lit(x)).alias(f"h{i}") for i, x in enumerate((349440, 349542, 349645, 1310720, (1 << 30) * 5 // 4))))
+    assert tuple(halves) == ("341.2 KB", "341.3 KB", "341.5 KB", "1.2 MB", "1.2 GB")  # a half goes to the even digit, as in C's printf
     r = one(spark, M.clip_name(F.lit("/a/my.clip.mp4"), F.lit(3.4), F.lit(75.0)).alias("n"), M.number_text(F.lit(25.0)).alias("t"), M.number_text(F.lit(2.5)).alias("u"), M.segment_id(F.lit(7)).alias("s"))
     assert tuple(r) == ("match_my.clip_00m03s-01m15s.mp4", "25", "2.5", "segment_000007")
 
