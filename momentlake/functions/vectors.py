@@ -23,7 +23,8 @@ def norm(v: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """v divided by its norm; by 1 where the norm is at most 1e-12."""
     n = norm(v)
-    return F.transform(_double(v), lambda x: x / F.when(n > GUARD, n).otherwise(1.0))
+    both = F.array(F.struct(_double(v).alias("v"), F.when(n > GUARD, n).otherwise(1.0).alias("n")))  # the norm once a vector, not once a component
+    return F.transform(both, lambda b: F.transform(b["v"], lambda x: x / b["n"]))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions.text import terms
 from momentlake.operators.search import rank_within
+from momentlake.sources.shared import shared_path
 
 K1, B, MOST_TERMS = 1.2, 0.75, 12
 
@@ -23,17 +24,23 @@ def postings(segments: DataFrame, only: DataFrame | None = None) -> DataFrame:
 def search(segments: DataFrame, queries: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, bm25, score (1.0): the k best segments (id, source_file, text) that hold all of a query's first 12 terms.
 
-    Sources are applied before the cut. Only postings of the queries' terms are joined.
+    Sources are applied before the cut. Only postings of the queries' terms are joined. Queries that ask for the same
+    terms are answered once, and only segments that hold the rarest term of a query are scored for it.
     """
     if sources is not None:
         segments = segments.join(sources.select("source_file").distinct(), "source_file", "left_semi")
-    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"), MOST_TERMS)).alias("w")).filter(F.size("w") > 0)
-    asked = asked.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
-    hits = postings(segments, asked)
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(terms(F.col("text"), MOST_TERMS))).alias("w")).filter(F.size("w") > 0)
+    each = asked.select("w").distinct().select("w", F.explode("w").alias("term"))
+    hits, path = postings(segments, each), shared_path(segments.sparkSession, "postings")  # read three times
+    hits.write.parquet(path)
+    hits = segments.sparkSession.read.schema(hits.schema).parquet(path)
     corpus = segments.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(asked, "term").join(F.broadcast(corpus))
+    rarest = each.join(df, "term").groupBy("w").agg(F.count("*").alias("known"), F.min(F.struct("df", "term")).alias("rarest")).filter(F.col("known") == F.size("w"))
+    held = rarest.select("w", F.col("rarest.term").alias("term")).join(hits.select("term", "id"), "term")
+    scored = held.select("w", "id", F.explode("w").alias("term")).join(hits, ["term", "id"]).join(df, "term").join(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    found = scored.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).filter("n = n_terms")
-    return rank_within(found, k, ["query_id"], [F.desc(F.round("bm25", 9)), F.col("id")]).select("query_id", "rank", "id", "bm25", F.lit(1.0).alias("score"))
+    found = scored.groupBy("w", "id").agg(F.sum(part).alias("bm25"), F.count("*").alias("n")).filter(F.col("n") == F.size("w"))
+    best = rank_within(found, k, ["w"], [F.desc(F.round("bm25", 9)), F.col("id")])
+    return asked.join(best, "w").select("query_id", "rank", "id", "bm25", F.lit(1.0).alias("score"))

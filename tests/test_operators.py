@@ -90,6 +90,24 @@ def test_fulltext_needs_all_terms_and_folds(spark):
     assert {r.id for r in fulltext.search(seg, q, 5, only).collect()} == {2}
 
 
+def test_fulltext_scores_equal_queries_once(spark, monkeypatch):
+    seg = spark.createDataFrame([(i, "/a", f"label part p{i % 50}") for i in range(400)], "id long, source_file string, text string")
+    q = spark.createDataFrame([(i, "label p7 part" if i % 2 else "part label p7") for i in range(200)], "query_id long, text string")
+    scored, rank = [], fulltext.rank_within
+    monkeypatch.setattr(fulltext, "rank_within", lambda df, *a: (scored.append(df.count()), rank(df, *a))[1])
+    rows = fulltext.search(seg, q, 3).collect()
+    assert len(rows) == 600 and {(r["rank"], r.id) for r in rows} == {(1, 7), (2, 57), (3, 107)}
+    assert scored == [8]  # 1,600 before
+
+
+def test_a_norm_is_taken_once_a_vector(spark):
+    from momentlake.functions import vectors
+
+    plan = spark.range(1).select(vectors.l2_normalize(F.array(F.col("id").cast("double"), F.lit(2.0))).alias("v"))
+    assert plan.first().v == [0.0, 1.0]
+    assert "struct(" in plan._jdf.queryExecution().analyzed().toString()  # the norm is bound outside of the function of components
+
+
 def _fuse(lists, n):
     """The same in plain Python: hits in order of lists and ranks, merged per source."""
     found = []
