@@ -16,6 +16,7 @@ from momentlake.operators.search import CELLS, dedupe_ranked, largest, rank_with
 from momentlake.sources.shared import shared_path
 
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
+SLACK = 1e-9  # what sums of products may differ by between two orders
 STILL_SPREAD = 0.03  # fixed value: how far the brightness of a still span may vary
 
 
@@ -62,14 +63,16 @@ def exclude_baseline(df: DataFrame, dimension: int) -> DataFrame:
     return scored.filter(F.col("score") >= cutoff).drop("score")
 
 
-def neighbours(df: DataFrame, k: int) -> DataFrame:
+def neighbours(df: DataFrame, k: int, bounds: DataFrame | None = None) -> DataFrame:
     """a, b, distance, rank: each row's k nearest others by cosine distance (id long, embedding), ties to smaller ids.
 
     Rows are cut into n blocks, and each pair of blocks is compared in a task, of which each row's k best leave it:
     2 * n copies of a row are shuffled. Blocks hold BLOCK rows, more (up to BLOCK_BYTES) once there are pairs enough
-    for all cores. Vectors that are null or hold null or non-finite components take no part.
+    for all cores. Vectors that are null or hold null or non-finite components take no part. bounds: id, bound of rows
+    whose k-th neighbour is known to be no farther than that; their block pairs then give what is within it only.
     """
     rows = df.select("id", F.col("embedding").cast("array<double>").alias("embedding")).filter(vectors.is_valid(F.col("embedding")))
+    rows = rows.withColumn("bound", F.lit(float("inf"))) if bounds is None else rows.join(bounds.select("id", "bound"), "id", "left").fillna(float("inf"), "bound")
     count, size = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
     enough = math.ceil(math.sqrt(4 * df.sparkSession.sparkContext.defaultParallelism))
     n = max(1, -(-count * 8 * (size or 1) // BLOCK_BYTES), min(-(-count // BLOCK), enough))
@@ -82,17 +85,19 @@ def neighbours(df: DataFrame, k: int) -> DataFrame:
             right = right.sort_by("id")
             x, y = (np.asarray(t["embedding"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
             a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            least = -left["bound"].to_numpy() - SLACK
             step = max(1, CELLS // len(b))
             for at in range(0, len(a), step):
                 near = x[at : at + step] @ y.T - 1
                 near[a[at : at + step, None] == b[None, :]] = -np.inf
-                i, j, v, _ = largest(near, k)
+                own = least[at : at + step]
+                i, j, v, _ = largest(near, k, own, bool(np.isfinite(own).all()))
                 keep = np.isfinite(v)
                 parts.append((a[at + i[keep]], b[j[keep]], 0.0 - v[keep]))
         return pa.table(dict(zip(("a", "b", "distance"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
 
     one = rows.withColumn("j", other).groupBy("i", "j")
-    two = rows.withColumnRenamed("i", "j").withColumn("i", other).groupBy("i", "j")
+    two = rows.select(F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("i").alias("j")).withColumn("i", other).groupBy("i", "j")
     pairs = one.cogroup(two).applyInArrow(nearest, "a long, b long, distance double")
     return rank_within(pairs, k, ["a"], [F.col("distance"), F.col("b")])
 

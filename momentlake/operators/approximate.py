@@ -4,6 +4,8 @@ A table sorts the rows by the signs of some random projections and then by one m
 `block` rows; rows of a range are compared with each other, so that a table costs one shuffle of the rows and
 rows x block products, however alike the rows are. Equal vectors are told apart by their ids and may fill many ranges.
 Tables are added until the neighbours of a sample of rows, whose true ones one scan gives, are found with the recall asked for.
+Where the neighbours have to be the true ones (complete), those of the first tables bound how far the true ones can be,
+and one sweep over all pairs of blocks gives what is within those bounds: quadratic, but without sorting what is far.
 """
 
 from __future__ import annotations
@@ -54,12 +56,12 @@ def _table(rows: DataFrame, dimension: int, centre: np.ndarray, number: int, blo
     return dealt.select("id", "embedding").mapInArrow(nearest, "a long, b long, distance double")
 
 
-def approximate_neighbours(df: DataFrame, k: int, recall: float = 0.9, block: int = BLOCK, most_tables: int = 64, at_once: int = 4, sample: int = SAMPLE) -> DataFrame:
+def approximate_neighbours(df: DataFrame, k: int, recall: float = 0.9, block: int = BLOCK, most_tables: int = 64, at_once: int = 4, sample: int = SAMPLE, complete: bool = False) -> DataFrame:
     """a, b, distance, rank, recall: k near others of each row (id long, unique; unit-length embedding), ties to smaller ids.
 
     recall: the share of the sample's true neighbours, or others as near, that was found; tables are added, at_once at
-    a time, until it reaches the one asked for or there are most_tables. Vectors that are null or hold null or
-    non-finite components take no part.
+    a time, until it reaches the one asked for or there are most_tables. complete: after the first tables a sweep
+    finds whatever they missed. Vectors that are null or hold null or non-finite components take no part.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, "near")
 
@@ -79,13 +81,16 @@ def approximate_neighbours(df: DataFrame, k: int, recall: float = 0.9, block: in
     true = top_k(rows, asked, own + 1, dimension, columns=("id",), ties=("id",)).filter("query_id <> id")
     true = staged(rank_within(true, own, ["query_id"], [F.desc("score"), F.col("id")], "place").filter(F.col("place") == own).select(F.col("query_id").alias("a"), F.col("distance").alias("kth")), "true")
     blocks, best, tables, reached = -(-n // block), None, 0, 0.0
-    while reached < recall and tables < most_tables:
+    while reached < recall and tables < (at_once if complete else most_tables):
         found = best.drop("rank") if best is not None else None
         for number in range(tables, tables + at_once):
             table = _table(rows, dimension, centre, number, blocks, k)
             found = table if found is None else found.unionByName(table)
         tables += at_once
         best = staged(rank_within(found.groupBy("a", "b").agg(F.min("distance").alias("distance")), k, ["a"], [F.col("distance"), F.col("b")]), f"best{tables}")
+        if complete and blocks > 1:
+            kth = best.filter(F.col("rank") == own).select(F.col("a").alias("id"), F.col("distance").alias("bound"))
+            best = staged(neighbours(rows, own, kth), "complete")
         hit = best.join(true, "a").filter(F.col("distance") <= F.col("kth") + 1e-9).count()
         reached = hit / max(1, true.count() * own)
     return best.withColumn("recall", F.lit(float(min(reached, 1.0))))

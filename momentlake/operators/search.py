@@ -73,11 +73,13 @@ def _right(v: Column, dimension: int) -> Column:
     return F.when(vectors.is_valid(v) & (F.size(v) != dimension), other).otherwise(vectors.is_valid(v))
 
 
-def largest(s: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column, value and place of each row's k largest values (of those that reach its least), ties to smaller columns."""
+def largest(s: np.ndarray, k: int, least: np.ndarray | None = None, few: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column, value and place of each row's k largest values (of those that reach its least), ties to smaller columns; few: where few reach it, so that values need not be parted first."""
     n = s.shape[1]
-    limit = np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n)]
-    limit = limit if least is None else np.maximum(limit, least)
+    limit = least
+    if not few:
+        limit = np.partition(s, n - min(k, n), axis=1)[:, n - min(k, n)]
+        limit = limit if least is None else np.maximum(limit, least)
     i, j = np.nonzero(s >= limit[:, None])
     v = s[i, j]
     order = np.lexsort((j, -v, i))

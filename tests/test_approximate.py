@@ -25,6 +25,20 @@ def test_recall_is_measured_and_reached(spark):
     assert 0 < one.recall < 0.9
 
 
+def test_a_sweep_completes_what_the_tables_missed(spark):
+    x = np.random.default_rng(5).normal(size=(900, 24))
+    x[100:140] = x[100]  # more equal ones than neighbours
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, x)
+    tables = approximate.approximate_neighbours(df, 5, block=100, at_once=1, most_tables=1).first()
+    assert tables.recall < 0.9
+    got = approximate.approximate_neighbours(df, 5, block=100, at_once=1, complete=True).orderBy("a", "rank").toPandas()
+    want = anomalies.neighbours(df, 5).orderBy("a", "rank").toPandas()
+    assert (got.recall == 1).all() and np.allclose(got.distance, want.distance) and len(got) == 4500
+    single = ~got.a.between(100, 139)
+    assert (got.b[single] == want.b[single]).all()
+
+
 def test_many_equal_vectors(spark):
     x = np.repeat([[1.0, 0.0], [0.0, 1.0]], [900, 100], axis=0)
     got = approximate.approximate_neighbours(frame(spark, x), 3, block=100).toPandas()
