@@ -215,20 +215,17 @@ def _event_files(spark: SparkSession, d: str, n: int, late: int = 0) -> DataFram
     path, events = shared_path(spark, "events"), table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     part = F.least(F.floor((F.unix_micros("ts") - low) * n / (high - low + 1)) + F.when(F.col("event_id") % 50 == 0, late).otherwise(0), F.lit(n - 1))
-    for k in range(n):
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
     end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit(high + 86_400_000_000)).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
-    end.coalesce(1).write.mode("append").parquet(path)
-    return streams.read_records(spark, path, events.schema, files_per_trigger=1)
+    files = streams.write_batches([*(events.filter(part == k) for k in range(n)), end], path)
+    return streams.read_records(spark, path, events.schema, files_per_trigger=files)
 
 
 def _first_events(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream in files that go back in time, one a batch; of each user the first event."""
     home, rank = shared_path(spark, "seen"), ["us", "event_id"]
     events = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("us"), "event_id")
-    for k in range(4):
-        events.filter(F.pmod("event_id", F.lit(4)) == 3 - k).coalesce(1).write.mode("append").parquet(f"{home}/in")
-    rows = streams.read_records(spark, f"{home}/in", events.schema, files_per_trigger=1)
+    files = streams.write_batches([events.filter(F.pmod("event_id", F.lit(4)) == 3 - k) for k in range(4)], f"{home}/in")
+    rows = streams.read_records(spark, f"{home}/in", events.schema, files_per_trigger=files)
     keyed.keep_best(rows, f"{home}/out", f"{home}/checkpoint", "user_id", rank).awaitTermination()
     return keyed.stored_best(spark, f"{home}/out", "user_id long, us long, event_id long", "user_id", rank)
 

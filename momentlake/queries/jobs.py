@@ -30,6 +30,12 @@ def _media(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(_source(F.col("doc_id")).alias("source_file"), (F.length("text") * 60).cast("long").alias("duration_ms"), F.col("doc_id").cast("string").alias("payload"), "doc_id")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _still(media: DataFrame) -> DataFrame:
     """id of still spans: each span has two frames of twelve equal bytes."""
     spans = index_job.expected_spans(media, CONFIG).select(F.split("payload", ":")[0].cast("long").alias("doc"), "segment")
@@ -87,10 +93,9 @@ def i1_index_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _in_files(spark: SparkSession, d: str, n: int = 4) -> DataFrame:
     """Media as a stream of n batches: those whose doc_id has remainder 0, 1, ... by n."""
-    path, media = shared_path(spark, "media"), _media(spark, d)
-    for k in range(n):
-        media.filter(F.pmod("doc_id", F.lit(n)) == k).coalesce(1).write.mode("append").parquet(path)
-    return streams.read_records(spark, path, media.schema, files_per_trigger=1)
+    path, media = shared_path(spark, "batches"), _staged(_media(spark, d), "media")
+    files = streams.write_batches([media.filter(F.pmod("doc_id", F.lit(n)) == k) for k in range(n)], path)
+    return streams.read_records(spark, path, media.schema, files_per_trigger=files)
 
 
 def i8_pinned_versions(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,22 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def write_batches(parts: list[DataFrame], path: str) -> int:
+    """Writes each part as the same number of files, which it returns: read_records() with that many files per trigger gives the parts as batches.
+
+    A part is dealt over all cores; where it has too few rows for its files, empty ones are added.
+    """
+    spark, have = parts[0].sparkSession, 0
+    files = max(2, spark.sparkContext.defaultParallelism)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+        now = len(spark.read.schema(part.schema).parquet(path).inputFiles())
+        for _ in range(have + files - now):
+            spark.createDataFrame([], part.schema).write.mode("append").parquet(path)
+        have += files
+    return files
+
+
 def ingest(stream: DataFrame, table: SnapshotTable, checkpoint: str, key: str = "id", after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Upserts each micro-batch by key: a batch that runs twice changes nothing. Stops when all there is has been read; `after` sees each batch."""
 

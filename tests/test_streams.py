@@ -63,6 +63,17 @@ def test_windows_close_once_and_late_rows_are_kept(spark, tmp_path):
     assert sorted(map(str, store.closed().collect())) == before
 
 
+def test_batches_of_several_files(spark, tmp_path):
+    parts = [spark.range(1000, 1060), spark.range(1).filter("id < 0"), spark.range(3)]
+    files = ingest.write_batches(parts, f"{tmp_path}/in")
+    assert files == 4  # the cores; one file, so one task, a batch before
+    schema, seen = parts[0].schema, []
+    stream = ingest.read_records(spark, f"{tmp_path}/in", schema, files_per_trigger=files)
+    note = lambda batch, _: seen.append(sorted(r.id for r in batch.collect()))
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(1000, 1060)), [], [0, 1, 2]] and len(spark.read.parquet(f"{tmp_path}/in").inputFiles()) == 12
+
+
 def test_metrics_of_more_than_a_hundred_batches(spark, tmp_path):
     rows = [(i, "x") for i in range(104)]
     for i in range(104):
