@@ -92,17 +92,28 @@ def overlap_ratio(start: Column, end: Column, other_start: Column, other_end: Co
     return overlap / F.greatest(F.least(end - start, other_end - other_start), F.lit(0.001))
 
 
-def spaced_frames(n_frames: Column, fps: Column, most: int, start: Column | None = None, end: Column | None = None) -> Column:
-    """At most `most` evenly spaced frame numbers of a span (seconds), both ends included; null where there are no frames."""
+def _frame_span(n_frames: Column, fps: Column, most: int, start: Column | None, end: Column | None) -> tuple[Column, Column, Column]:
+    """First and last frame of a span (seconds), and how many of them spaced_frames() takes."""
     rate = F.greatest(fps, F.lit(0.001))
     first = F.lit(0) if start is None else F.least(n_frames - 1, F.greatest(F.lit(0), (start * rate).cast("int")))
     last = n_frames - 1 if end is None else F.least(n_frames - 1, F.greatest(first, (end * rate).cast("int") - 1))
-    count = F.least(F.lit(most), last - first + 1)
+    return first, last, F.least(F.lit(most), last - first + 1)
+
+
+def spaced_frames(n_frames: Column, fps: Column, most: int, start: Column | None = None, end: Column | None = None) -> Column:
+    """At most `most` evenly spaced frame numbers of a span (seconds), both ends included; null where there are no frames."""
+    first, last, count = _frame_span(n_frames, fps, most, start, end)
     step = (last - first) / F.greatest(count - 1, F.lit(1))
-    spaced = F.transform(F.sequence(F.lit(0), count - 1), lambda i: (first + i * step).cast("int"))
+    span = F.array(F.struct(first.alias("first"), count.alias("count"), step.alias("step")))  # once a span, not once a frame
+    spaced = F.transform(span, lambda s: F.transform(F.sequence(F.lit(0), s["count"] - 1), lambda i: (s["first"] + i * s["step"]).cast("int")))[0]
     return F.when(n_frames > 0, spaced)
 
 
+def spaced_count(n_frames: Column, fps: Column, most: int, start: Column | None = None, end: Column | None = None) -> Column:
+    """The number of spaced_frames(), without making them."""
+    return F.when(n_frames > 0, _frame_span(n_frames, fps, most, start, end)[2])
+
+
 def first_segments(spans: Column, most: int | None) -> Column:
     """The first `most` spans of an array, all of them for null."""
     return spans if most is None else F.slice(spans, 1, most)

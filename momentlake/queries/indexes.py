@@ -207,7 +207,7 @@ def p22_fold(spark: SparkSession, d: str) -> DataFrame:
 def a23_spaced_frames(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     n, fps, start = (F.col("o_totalprice").cast("int") % 700), (F.col("o_custkey") % 5 + 20).cast("double"), (F.col("o_orderkey") % 9).cast("double")
-    return o.select("o_orderkey", F.array_join(M.spaced_frames(n, fps, 8, start, start + 10), " ").alias("frames"), F.size(M.spaced_frames(n, fps, 500)).alias("whole"))
+    return o.select("o_orderkey", F.array_join(M.spaced_frames(n, fps, 8, start, start + 10), " ").alias("frames"), M.spaced_count(n, fps, 500).alias("whole"))
 
 
 def _event_files(spark: SparkSession, d: str, n: int, late: int = 0) -> DataFrame:

@@ -35,6 +35,20 @@ def test_formats(spark):
     assert tuple(r) == ("match_my.clip_00m03s-01m15s.mp4", "25", "2.5", "segment_000007")
 
 
+def test_spaced_frames_are_counted_without_being_made(spark):
+    rows = [(n, most, a, b) for n in (0, 1, 7, 90, 600) for most in (1, 8) for a, b in ((0.0, 1.0), (2.0, 3.5), (50.0, 60.0))]
+    df = spark.createDataFrame(rows, "n int, most int, a double, b double")
+    for most in (1, 8, 500):
+        spaced, count = (f(F.col("n"), F.lit(25.0), most, F.col("a"), F.col("b")) for f in (M.spaced_frames, M.spaced_count))
+        for r in df.select("n", "a", "b", spaced.alias("s"), count.alias("c")).collect():
+            assert (r.s, r.c) == (None, None) if r.n == 0 else len(r.s) == r.c
+            if r.n:
+                first = min(r.n - 1, int(r.a * 25))
+                last = min(r.n - 1, max(first, int(r.b * 25) - 1))
+                want = min(most, last - first + 1)
+                assert r.s == [int(first + i * ((last - first) / max(want - 1, 1))) for i in range(want)]
+
+
 def test_overlap_and_intervals(spark):
     r = one(spark, M.overlap_ratio(*(F.lit(x) for x in (0.0, 10.0, 8.0, 30.0))).alias("a"), M.overlap_ratio(*(F.lit(x) for x in (0.0, 10.0, 10.0, 30.0))).alias("b"), M.valid_interval(F.lit(0.0), F.lit(float("inf"))).alias("c"), M.valid_interval(F.lit(2), F.lit(2)).alias("d"), M.valid_interval(F.lit(0), F.lit(1)).alias("e"))
     assert tuple(r) == (0.2, 0.0, False, False, True)
