@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from momentlake.functions import vectors
 from momentlake.operators.search import CELLS, dedupe_ranked, largest, rank_within
 from momentlake.sources.shared import shared_path
 
-BLOCK, BLOCK_BYTES = 2048, 32 << 20
+BLOCK, BLOCK_BYTES, FRAME_BYTES = 2048, 32 << 20, 4 << 20
 SLACK = 1e-9  # what sums of products may differ by between two orders
 STILL_SPREAD = 0.03  # fixed value: how far the brightness of a still span may vary
 
@@ -166,11 +167,14 @@ def span_luma(frames: DataFrame) -> DataFrame:
 
     def luma(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = []
-            for rgb in b["rgb"]:
-                x = np.frombuffer(rgb.as_py() or b"", np.uint8)
-                x = x[: len(x) // 3 * 3].reshape(-1, 3)
-                values.append(float((x @ np.array([0.299, 0.587, 0.114])).mean() / 255) if len(x) else 0.0)
+            rgb, values = b["rgb"].fill_null(b""), np.zeros(b.num_rows)
+            sizes = pc.binary_length(rgb).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes >= 3]):  # frames of one size are one array
+                same, step = np.flatnonzero(sizes == size), max(1, FRAME_BYTES // int(size))
+                for at in range(0, len(same), step):
+                    some = same[at : at + step]
+                    x = np.frombuffer(b"".join(rgb.take(pa.array(some)).to_pylist()), np.uint8).reshape(len(some), size)
+                    values[some] = (x[:, : size // 3 * 3].reshape(len(some), -1, 3) @ np.array([0.299, 0.587, 0.114])).mean(1) / 255
             yield pa.RecordBatch.from_arrays([b["span_id"], b["frame_idx"], pa.array(values, pa.float64())], ["span_id", "frame_idx", "luma"])
 
     return frames.select("span_id", "frame_idx", "rgb").mapInArrow(luma, "span_id long, frame_idx int, luma double")

@@ -63,8 +63,8 @@ def _embedder(busy: bool = True):  # noqa: ANN202
 
 def _three_runs(spark: SparkSession, d: str) -> tuple[IndexStore, list[index_job.Report]]:
     """A first run, the same again, and one that tries failed spans again with an embedder that is not busy any more."""
-    store, media = IndexStore(spark, shared_path(spark, "index")), _media(spark, d)
-    still, again = _still(media), index_job.IndexConfig(**{**CONFIG.__dict__, "retry_failed": True})
+    store, media = IndexStore(spark, shared_path(spark, "index")), _staged(_media(spark, d), "media")  # read in each run
+    still, again = _staged(_still(media), "still"), index_job.IndexConfig(**{**CONFIG.__dict__, "retry_failed": True})
     runs = ((CONFIG, _embedder()), (CONFIG, _embedder()), (again, _embedder(busy=False)))
     return store, [index_job.run_index(media, store, embedder, config, still, now) for now, (config, embedder) in enumerate(runs, 1)]
 

@@ -112,3 +112,12 @@ def test_a_published_batch_is_not_run_again(spark, tmp_path):
     index_job.run_index(spark.createDataFrame([("/z", 60_000, "z")], MEDIA), store, embed, CONFIG, batch="checkpoint:0")
     got = index_job.run_index_stream(stream, store, embed, CONFIG, f"{tmp_path}/checkpoint")
     assert got.reports == [] and store.version() == 1
+
+
+def test_the_runs_of_a_query_share_their_media_and_still_spans(spark, monkeypatch):
+    from momentlake.queries import jobs
+
+    seen = []
+    monkeypatch.setattr(index_job, "run_index", lambda media, store, embedder, config, still, now: seen.append(media.inputFiles() + still.inputFiles()))
+    jobs._three_runs(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and all(seen) and not any("documents.parquet" in f for run in seen for f in run)  # each run read the documents twice before
