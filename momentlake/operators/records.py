@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from momentlake.sources.shared import shared_path
 
 
+def _held(expected: DataFrame, known: DataFrame) -> DataFrame:
+    """expected with _held: whether known (source_file, id) has the chunk. Rows of a source meet where they are: what is dealt by source_file is not shuffled again."""
+    ids = known.select("source_file", "id").filter("id is not null and source_file is not null").withColumn("_known", F.lit(True))
+    rows = expected.withColumn("_known", F.lit(False)).unionByName(ids, allowMissingColumns=True)
+    held = F.max("_known").over(W.partitionBy("source_file", "id"))
+    return rows.withColumn("_held", held).filter("not _known").drop("_known")
+
+
 def pending(expected: DataFrame, stored: DataFrame, failed: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Chunks (id) that are not stored and, unless they are retried, have not failed."""
     left = expected.join(stored.select("id"), "id", "left_anti")
@@ -16,8 +24,11 @@ def pending(expected: DataFrame, stored: DataFrame, failed: DataFrame, retry_fai
 
 
 def complete_files(expected: DataFrame, stored: DataFrame) -> DataFrame:
-    """Sources all of whose expected chunks (source_file, id) are stored."""
-    held = expected.join(stored.select("id", F.lit(True).alias("held")), "id", "left")
+    """Sources all of whose expected chunks (source_file, id) are stored; compared within sources where stored has source_file."""
+    if "source_file" in stored.columns:
+        held = _held(expected.select("source_file", "id"), stored).withColumnRenamed("_held", "held")
+    else:
+        held = expected.join(stored.select("id", F.lit(True).alias("held")), "id", "left")
     return held.groupBy("source_file").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("ok")).filter("ok").select("source_file")
 
 

@@ -245,3 +245,24 @@ def test_manifest_alias_and_stats(spark, tmp_path):
     assert records.activate(log, versions, "live", 1, 5).count() == 1
     with pytest.raises(ValueError):
         records.activate(log, versions, "live", 2, 6)
+
+
+def segments_stay_where_they_are(spark, name):
+    from momentlake.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line.lstrip(" :+-*()0123456789") for line in plan.splitlines()]
+    shuffles = [line for line in lines if line.startswith("Exchange")]
+    return len(shuffles) == sum(line.startswith("Generate explode") for line in lines) and all("REPARTITION_BY_NUM" in line for line in shuffles)
+
+
+def test_files_are_complete_without_a_shuffle_of_their_segments(spark):
+    assert segments_stay_where_they_are(spark, "j7_complete_files")
+    rows = spark.createDataFrame([("/a", "a0"), ("/a", "a1"), ("/b", "b0"), ("/b", "b1"), ("/c", "c0"), ("/d", None)], "source_file string, id string")
+    stored = spark.createDataFrame([("/a", "a0"), ("/a", "a1"), ("/a", "a9"), ("/b", "b1"), ("/b", "b1"), ("/c", None), ("/d", None), ("/e", "e0")], "source_file string, id string")
+    for known in (stored, stored.select("id")):
+        assert [r.source_file for r in records.complete_files(rows, known).collect()] == ["/a"]
