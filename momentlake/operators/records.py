@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,13 +20,21 @@ def _held(expected: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def pending(expected: DataFrame, stored: DataFrame, failed: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """Chunks (id) that are not stored and, unless they are retried, have not failed."""
+    """Chunks (id) that are not stored and, unless they are retried, have not failed.
+
+    Where all three have source_file, chunks are compared within their sources: segments of media that were dealt by
+    source_file before they were cut are then not shuffled. Else they are compared by id.
+    """
+    known = [stored] if retry_failed else [stored, failed]
+    if all("source_file" in df.columns for df in (expected, *known)):
+        ids = reduce(DataFrame.unionByName, (df.select("source_file", "id") for df in known))
+        return _held(expected, ids).filter("not _held").drop("_held")
     left = expected.join(stored.select("id"), "id", "left_anti")
     return left if retry_failed else left.join(failed.select("id"), "id", "left_anti")
 
 
 def complete_files(expected: DataFrame, stored: DataFrame) -> DataFrame:
-    """Sources all of whose expected chunks (source_file, id) are stored; compared within sources where stored has source_file."""
+    """Sources all of whose expected chunks (source_file, id) are stored; compared within sources where stored has source_file, as in pending()."""
     if "source_file" in stored.columns:
         held = _held(expected.select("source_file", "id"), stored).withColumnRenamed("_held", "held")
     else:

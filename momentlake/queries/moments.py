@@ -36,7 +36,7 @@ def _dealt(spark: SparkSession, d: str, most: int = 1_000_000) -> DataFrame:
 
 def j7_pending(spark: SparkSession, d: str) -> DataFrame:
     """Chunks left to index: those of orders with status F are stored, the first chunks of those with status P have failed."""
-    expected = ingest.segments(_durations(spark, d), keep=("o_orderstatus",))
+    expected = ingest.segments(_dealt(spark, d), keep=("o_orderstatus",))
     stored, failed = expected.filter("o_orderstatus = 'F'"), expected.filter("o_orderstatus = 'P' and segment = 0")
     return records.pending(expected, stored, failed).select("id", "source_file", "segment")
 

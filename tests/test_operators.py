@@ -266,3 +266,14 @@ def test_files_are_complete_without_a_shuffle_of_their_segments(spark):
     stored = spark.createDataFrame([("/a", "a0"), ("/a", "a1"), ("/a", "a9"), ("/b", "b1"), ("/b", "b1"), ("/c", None), ("/d", None), ("/e", "e0")], "source_file string, id string")
     for known in (stored, stored.select("id")):
         assert [r.source_file for r in records.complete_files(rows, known).collect()] == ["/a"]
+
+
+def test_pending_chunks_without_a_shuffle_of_them(spark):
+    assert segments_stay_where_they_are(spark, "j7_pending")
+    rows = spark.createDataFrame([("/a", "a0", 1), ("/a", "a1", 2), ("/a", "a1", 3), ("/b", "b0", 4), ("/b", None, 5), ("/c", "c0", 6)], "source_file string, id string, n int")
+    stored = spark.createDataFrame([("/a", "a0"), ("/a", "a0"), ("/b", None), ("/e", "e0")], "source_file string, id string")
+    failed = spark.createDataFrame([("/b", "b0")], "source_file string, id string")
+    for a, b in ((stored, failed), (stored.select("id"), failed), (stored.select("id"), failed.select("id"))):
+        left, again = records.pending(rows, a, b), records.pending(rows, a, b, retry_failed=True)
+        assert left.columns == again.columns and {*left.columns} == {*rows.columns}
+        assert sorted(r.n for r in left.collect()) == [2, 3, 5, 6] and sorted(r.n for r in again.collect()) == [2, 3, 4, 5, 6]
