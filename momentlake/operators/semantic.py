@@ -27,7 +27,8 @@ def vector_from_field(data: Column, path: str, dimension: int) -> Column:
     """The array of finite numbers at a path of a record, as floats; an error if it is missing, not such an array or of another dimension."""
     v = F.try_variant_get(structured.field(data, path), "$", "array<double>").cast("array<float>")
     wrong = F.concat(F.lit(f"field {path!r} is no vector of {dimension} finite numbers: "), F.coalesce(F.to_json(structured.field(data, path)), F.lit("missing")))
-    return F.when(is_valid(v, dimension), v).otherwise(F.raise_error(wrong).cast("array<float>"))
+    checked = lambda x: F.when(is_valid(x, dimension), x).otherwise(F.raise_error(wrong).cast("array<float>"))
+    return F.transform(F.array(v), checked)[0]  # read once a record, not once for each check
 
 
 def semantic_search(version: IndexVersion, records: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int, provider: str, model: str, filters: tuple[tuple[str, str, object], ...] = ()) -> DataFrame:

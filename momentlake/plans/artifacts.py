@@ -62,8 +62,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def understand(outputs: DataFrame, runs: DataFrame) -> Imported:
     """The new rows that outputs add to what runs (media_id, key, request_hash) hold; a repeated run adds none.
 
-    Raises ValueError on invalid records or on a known key with other records.
+    Raises ValueError on invalid records or on a known key with other records. Outputs are made once, and written, as
+    checks, hashes and all that is imported read them.
     """
+    outputs = staged(outputs, "outputs")
     if not invalid_records(outputs).isEmpty():
         raise ValueError("invalid records")
     hashes = staged(request_hashes(outputs), "hashes")  # read for conflicts, runs and all that hangs on them
@@ -72,9 +74,11 @@ def understand(outputs: DataFrame, runs: DataFrame) -> Imported:
         raise ValueError("idempotency key used with another request")
     fresh = hashes.join(runs.select("media_id", "key"), ["media_id", "key"], "left_anti")
     new_runs = fresh.select(new_id("run", F.col("media_id"), F.col("key")).alias("id"), "media_id", "key", "request_hash", F.lit("completed").alias("status"))
-    rows = outputs.join(new_runs.select("media_id", "key", F.col("id").alias("run_id")), ["media_id", "key"])
-    rows = rows.withColumn("analyzer_run_id", new_id("analyzer", F.col("run_id"), F.col("name"))).withColumn("artifact_id", new_id("artifact", F.col("analyzer_run_id")))
-    rows = staged(rows, "rows")  # each of the five outputs reads it
+    # ids follow from what a row holds, so rows are joined with the known runs only, where there are any
+    rows = outputs.filter("media_id is not null and key is not null")
+    if not runs.isEmpty():
+        rows = staged(rows.join(runs.select("media_id", "key"), ["media_id", "key"], "left_anti"), "rows")
+    rows = rows.withColumn("run_id", new_id("run", F.col("media_id"), F.col("key"))).withColumn("analyzer_run_id", new_id("analyzer", F.col("run_id"), F.col("name"))).withColumn("artifact_id", new_id("artifact", F.col("analyzer_run_id")))
     analyzers = rows.select(F.col("analyzer_run_id").alias("id"), "run_id", "name").distinct()
     artifacts = rows.groupBy(F.col("artifact_id").alias("id"), "analyzer_run_id", "media_id", "artifact_type").agg(F.count("*").alias("record_count"), F.lit("completed").alias("status"))
     records = rows.select(new_id("record", F.col("artifact_id"), F.col("segment_id")).alias("id"), "artifact_id", "media_id", "segment_id", "start_ms", "end_ms", "data")

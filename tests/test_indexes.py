@@ -109,3 +109,18 @@ def test_owned_files(spark):
     files = spark.createDataFrame([("/a/b/c.mp4",), ("/ab/c.mp4",), ("/a/x.mp4",), ("/d/e/f/g.mp4",)], "path string")
     roots = spark.createDataFrame([("/a/b/",), ("/a/b",), ("/d",)], "root string")
     assert sorted(r.path for r in media.owned(files, roots).collect()) == ["/a/b/c.mp4", "/d/e/f/g.mp4"]
+
+
+def test_vectors_are_made_once_for_an_import(spark, tmp_path):
+    own, asked = ingest.hashing_embedder(4), str(tmp_path / "asked")
+
+    def embedder(texts):
+        with open(asked, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return own(texts)
+
+    media = spark.createDataFrame([(f"m{i}", 60_000, f"text {i}") for i in range(5)], "media_id string, duration_ms long, payload string")
+    got = artifacts.understand(artifacts.vector_outputs(media, embedder, 4, "k", "clip"), spark.createDataFrame([], "media_id string, key string, request_hash string"))
+    assert [x.count() for x in (got.runs, got.analyzers, got.artifacts, got.records, got.edges)] == [5, 5, 5, 15, 15]
+    texts = open(asked).read().splitlines()
+    assert len(texts) == len(set(texts)) == 15
